@@ -15,7 +15,7 @@ COMMON = (
     "the", "of", "and", "to", "in", "is", "that", "with", "by", "for", "le", "la", "les", "des", "du", "et", "un", "une", "en", "que", "pour", "dans",
     "der", "die", "das", "und", "den", "mit", "nicht", "ist", "ein", "zu", "el", "los", "las", "por", "con", "no", "su", "para", "y", "se",
 )
-MAX_CHAR_JSD, MAX_WORD_JSD = 0.28, 0.65
+MAX_CHAR_JSD, MAX_WORD_JSD = 0.28, 0.40
 MIN_CHARS, MIN_WORDS = 200, 50
 
 
@@ -30,6 +30,10 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when((sp > 0) & (sq > 0), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2)))
 
 
+def _count_of(array: str, value: int) -> Column:
+    return F.size(F.filter(array, lambda x: x == value))
+
+
 def text_counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the base counts, and the two histograms (arrays of double) of every whole text. One scan, no shuffle."""
     lit = F.lit
@@ -56,7 +60,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
     at = F.filter(F.sequence(lit(0), F.size("_s") - 1), lambda j: F.coalesce(same(j, j - 1), lit(False)) | F.coalesce(same(j, j + 1), lit(False)))
     d = d.withColumn("_p", F.when(F.col("_s").isNotNull(), F.sort_array(F.transform(at, lambda j: F.get("_s", j)["i"]))))
     covered = F.transform("_p", lambda p, j: F.least(lit(3), F.coalesce(F.get("_p", j + 1) - p, lit(3))))
-    bins = [F.size(F.filter("_k", lambda x, b=b: x == b)).cast("double") for b in range(1, len(COMMON) + 1)]
+    bins = [_count_of("_k", b).cast("double") for b in range(1, len(COMMON) + 1)]
     return d.select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.coalesce(F.aggregate(covered, lit(0), lambda a, b: a + b), lit(0)).cast("long").alias("n_repeat_words"),
