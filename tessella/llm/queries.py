@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tessella.llm.decontaminate import contamination, item_digest
+from tessella.llm.line_crf import score_quality
+from tessella.llm.packing import pack_documents
 from tessella.llm.quality_rules import CLASSES, COMMON, MAX_CHAR_JSD, MAX_WORD_JSD, MIN_CHARS, MIN_WORDS, quality_rules
 from tessella.llm.shared import table
+from tessella.llm.toxicity import score_toxicity
+from tessella.llm.training_order import training_order
 from tessella.llm.url_filter import RULES, filter_urls
 from tessella.llm.warc import warc_round_trip
 
+
+
+def _decontaminate(spark, sf_dir):
+    d = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return d.select("doc_id", "n_words", "n_hit", "n_items", item_digest(F.col("item_ids")).alias("items_sha256"), "contaminated")
+
+
 QUERIES = {
     "op1_quality_rules": lambda s, d: quality_rules(table(s, d, "documents")),
+    "op2_line_crf": lambda s, d: score_quality(table(s, d, "documents"), table(s, d, "labels")),
+    "op3_packing": lambda s, d: pack_documents(table(s, d, "documents")),
     "op5_url_filter": lambda s, d: filter_urls(table(s, d, "pages")),
+    "op6_decontaminate": _decontaminate,
     "op7_warc": lambda s, d: warc_round_trip(table(s, d, "pages")),
+    "op8_training_order": lambda s, d: training_order(table(s, d, "documents")),
+    "op9_toxicity": lambda s, d: score_toxicity(table(s, d, "documents"), table(s, d, "labels")),
 }
 
 
@@ -60,4 +79,15 @@ f as (select payload_digest, min(page_id) first from d where payload_bytes >= 10
 select page_id, payload_bytes, payload_digest, case when first is null or page_id = first then 'response' else 'revisit' end record_type, case when page_id <> first then first end refers_to
 from d left join f using (payload_digest)"""
 
-ORACLE = {"op1_quality_rules": _op1(), "op5_url_filter": _op5(), "op7_warc": OP7}
+OP6 = r"""
+with low as (select doc_id, row_number() over () rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+it as (select item_id::varchar item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+win as (select distinct item, least(10, len(w)) n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') g from it, unnest(range(1, len(w) - least(10, len(w)) + 2)) u(i) where len(w) > 0),
+dw as (select rid, i, s.n, array_to_string(w[i : i + s.n - 1], ' ') g from low, (select distinct n from win) s, unnest(range(1, len(w) - s.n + 2)) u(i) where len(w) >= s.n),
+hit as (select rid, i, dw.n, item from dw join win using (n, g)),
+cov as (select rid, count(distinct p) h from (select rid, unnest(range(i, i + n)) p from (select distinct rid, i, n from hit)) group by rid),
+ids as (select rid, count(*) k, string_agg(item, ',' order by item) s from (select distinct rid, item from hit) group by rid)
+select doc_id, len(w)::bigint n_words, coalesce(h, 0)::bigint n_hit, coalesce(k, 0)::bigint n_items, sha256(coalesce(s, '')) items_sha256, coalesce(h, 0) > 0 contaminated
+from low left join cov using (rid) left join ids using (rid)"""
+
+ORACLE = {"op6_decontaminate": OP6, "op1_quality_rules": _op1(), "op5_url_filter": _op5(), "op7_warc": OP7}

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _OWN: dict[str, str] = {}
 
@@ -40,3 +41,8 @@ def fold(doc_id, n: int):
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a frame whose row count was checked against the bound; otherwise left to a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def plus(schema: StructType, ddl: str) -> StructType:
+    """schema with the fields of ddl after its own; schema itself stays as it is."""
+    return StructType(schema.fields + StructType.fromDDL(ddl).fields)
