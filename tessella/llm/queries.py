@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.decontaminate import contamination, item_digest
 from tessella.llm.line_crf import score_quality
+from tessella.llm.near_dedup import near_duplicates
 from tessella.llm.packing import pack_documents
 from tessella.llm.quality_rules import CLASSES, COMMON, MAX_CHAR_JSD, MAX_WORD_JSD, MIN_CHARS, MIN_WORDS, quality_rules
 from tessella.llm.shared import table
@@ -30,6 +31,7 @@ QUERIES = {
     "op7_warc": lambda s, d: warc_round_trip(table(s, d, "pages")),
     "op8_training_order": lambda s, d: training_order(table(s, d, "documents")),
     "op9_toxicity": lambda s, d: score_toxicity(table(s, d, "documents"), table(s, d, "labels")),
+    "op10_near_dedup": lambda s, d: near_duplicates(table(s, d, "documents")),
 }
 
 
@@ -90,4 +92,17 @@ ids as (select rid, count(*) k, string_agg(item, ',' order by item) s from (sele
 select doc_id, len(w)::bigint n_words, coalesce(h, 0)::bigint n_hit, coalesce(k, 0)::bigint n_items, sha256(coalesce(s, '')) items_sha256, coalesce(h, 0) > 0 contaminated
 from low left join cov using (rid) left join ids using (rid)"""
 
-ORACLE = {"op6_decontaminate": OP6, "op1_quality_rules": _op1(), "op5_url_filter": _op5(), "op7_warc": OP7}
+OP10 = r"""
+with w as (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+g as (select distinct rid, array_to_string(w[i : i + 4], ' ') g from w, unnest(range(1, greatest(2, len(w) - 3))) u(i) where len(w) > 0),
+n as (select rid, count(*) n from g group by rid),
+rare as (select rid, g, row_number() over (partition by rid order by c, g) r from g join (select g, count(*) c from g group by g) using (g)),
+pre as (select rid, g from rare join n using (rid) where r <= n - ceil(0.85 * n) + 1),
+cand as (select distinct least(a.rid, b.rid) a, greatest(a.rid, b.rid) b from pre a join pre b using (g) where a.rid < b.rid),
+links as (select a, b from (select a, b, count(*) i from cand join g x on x.rid = a join g y on y.rid = b and y.g = x.g group by a, b)
+  join n p on p.rid = a join n q on q.rid = b where 100 * i >= 85 * (p.n + q.n - i)),
+both as (select a, b from links union select b, a from links),
+reach as (with recursive r as (select rid a, rid b from w union select r.a, both.b from r join both on both.a = r.b) select a, min(doc_id) c from r join w on w.rid = r.b group by a)
+select doc_id, coalesce(n, 0)::bigint n_shingles, c component_id, doc_id = c kept from w join reach on a = rid left join n using (rid)"""
+
+ORACLE = {"op10_near_dedup": OP10, "op6_decontaminate": OP6, "op1_quality_rules": _op1(), "op5_url_filter": _op5(), "op7_warc": OP7}
