@@ -24,8 +24,6 @@ SHINGLE, SIMILARITY = 5, 0.85
 SIGNATURE, TREES, DEPTH = 128, 16, 4
 #: Documents of a node that are compared exhaustively; larger nodes branch.
 NODE = 64
-#: Signatures agree in at least this share for a pair to be proven on sets: 4.5 standard errors under the similarity.
-LOOK = 0.71
 #: Best partners offered per document in the first round; each next round offers four times as many.
 OFFER = 4
 #: Nodes still larger than this after the last level are cut into overlapping blocks, see _last_nodes().
@@ -51,6 +49,13 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple
     return (np.concatenate(out) if out else np.zeros(0, B.U)), np.concatenate([[0], np.cumsum(count)])
 
 
+def _running(x: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, ... values modulo 2 ** 64."""
+    out = np.zeros(len(x) + 1, B.U)
+    np.cumsum(x, out=out[1:])
+    return out
+
+
 def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """SIGNATURE minwise values (32 bits) of each document; zero for empty sets."""
     out = np.zeros((len(bounds) - 1, SIGNATURE), np.uint32)
@@ -70,7 +75,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             for i, j, b, o in B.blocks(buf, off, 1 << 19):
                 sets, bounds = shingle_sets(b, o, size)
                 sig = signatures(sets, bounds)
-                acc = [np.concatenate([[0], np.cumsum(B.mix(sets + B.U(s)))]).astype(B.U) for s in (1, 2)]
+                acc = [_running(B.mix(sets + B.U(s))) for s in (1, 2)]
                 dig = [(a[bounds[1:]] - a[bounds[:-1]]).view(np.int64) for a in acc]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(dig[0]), pa.array(dig[1]), pa.array([r.tobytes() for r in sig], pa.binary())],
@@ -156,9 +161,9 @@ def _blocked(rows: DataFrame, block: int) -> DataFrame:
     return fine.select("node", "rep").unionByName(cut)
 
 
-def _best(rep: np.ndarray, label: np.ndarray, sig: np.ndarray, tried: list, k: int, look: float) -> set[tuple[int, int]]:
+def _best(rep: np.ndarray, label: np.ndarray, sig: np.ndarray, tried: list, k: int, share: float) -> set[tuple[int, int]]:
     """For each document of one node its k best partners by signature, in other components and not yet refused."""
-    out, least = set(), look * SIGNATURE
+    out, least = set(), share * SIGNATURE
     for i in range(len(rep)):
         other = np.flatnonzero(label != label[i])
         if not len(other):
@@ -174,7 +179,7 @@ def _best(rep: np.ndarray, label: np.ndarray, sig: np.ndarray, tried: list, k: i
     return out
 
 
-def offers(nodes: DataFrame, k: int, look: float) -> DataFrame:
+def offers(nodes: DataFrame, k: int, share: float) -> DataFrame:
     """Distinct pairs a < b to be proven. nodes: node, rep, signature, label, tried (refused partners, or null)."""
 
     def pairs(batches):
@@ -195,7 +200,7 @@ def offers(nodes: DataFrame, k: int, look: float) -> DataFrame:
             sig, tried, found = _matrix(t.column("signature")), t.column("tried").to_pylist(), set()
             for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if j > i + 1:
-                    found |= _best(rep[i:j], label[i:j], sig[i:j], tried[i:j], k, look)
+                    found |= _best(rep[i:j], label[i:j], sig[i:j], tried[i:j], k, share)
             if found:
                 x = np.array(sorted(found), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
@@ -245,16 +250,21 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             buf, off = B.column(batch.column(0))
             for _, _, b, o in B.blocks(buf, off, 1 << 19):
                 got, bounds = shingle_sets(b, o, size)
-                acc = np.concatenate([[0], np.cumsum(B.mix(got + B.U(1)))]).astype(B.U)
+                acc = _running(B.mix(got + B.U(1)))
                 rep = (acc[bounds[1:]] - acc[bounds[:-1]]).view(np.int64)
                 arrays = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(rep), arrays], names=["rep", "shingles"])
 
     first = small(wanted.select(F.col("first").alias("_first")).distinct(), BROADCAST_ROWS)
-    found = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(first, F.col("_id") == F.col("_first"), "left_semi").select("text").mapInArrow(sets, "rep long, shingles array<long>")
+    found = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(first, F.col("_id").eqNullSafe(F.col("_first")), "left_semi").select("text").mapInArrow(sets, "rep long, shingles array<long>")
     return found.join(small(wanted.select("rep"), BROADCAST_ROWS), "rep", "left_semi").dropDuplicates(["rep"])
 
 
+def look(similarity: float) -> float:
+    """Share of coordinates in which the signatures of a pair must agree for it to be proven on sets: 4.5 standard errors under the similarity."""
+    return similarity - 4.5 * (similarity * (1 - similarity) / SIGNATURE) ** 0.5
+
+
 def similarity_join(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows has doc_id, n_shingles, rep (its content) for every document; links has a, b, contents joined into the same components by proven links."""
     spark = docs.sparkSession
@@ -267,7 +277,7 @@ def similarity_join(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     links = refused = sets = None
     k = OFFER
     while True:
-        pairs = stored(offers(now, k, LOOK), "pairs")
+        pairs = stored(offers(now, k, look(similarity)), "pairs")
         if pairs.isEmpty():
             break
         if sets is None:  # later pairs are of documents that have a pair now
