@@ -10,13 +10,13 @@ from tessella.llm.near_dedup import near_duplicates
 from tessella.llm.packing import pack_documents
 from tessella.llm.quality_rules import CLASSES, COMMON, MAX_CHAR_JSD, MAX_WORD_JSD, MIN_CHARS, MIN_WORDS, quality_rules
 from tessella.llm.shared import table
+from tessella.llm.suffix_dedup import suffix_dedup
 from tessella.llm.toxicity import score_toxicity
 from tessella.llm.training_order import training_order
 from tessella.llm.url_filter import RULES, filter_urls
 from tessella.llm.warc import warc_round_trip
 
 
-
 def _decontaminate(spark, sf_dir):
     d = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return d.select("doc_id", "n_words", "n_hit", "n_items", item_digest(F.col("item_ids")).alias("items_sha256"), "contaminated")
@@ -26,6 +26,7 @@ QUERIES = {
     "op1_quality_rules": lambda s, d: quality_rules(table(s, d, "documents")),
     "op2_line_crf": lambda s, d: score_quality(table(s, d, "documents"), table(s, d, "labels")),
     "op3_packing": lambda s, d: pack_documents(table(s, d, "documents")),
+    "op4_suffix_dedup": lambda s, d: suffix_dedup(table(s, d, "documents")),
     "op5_url_filter": lambda s, d: filter_urls(table(s, d, "pages")),
     "op6_decontaminate": _decontaminate,
     "op7_warc": lambda s, d: warc_round_trip(table(s, d, "pages")),
@@ -92,6 +93,18 @@ ids as (select rid, count(*) k, string_agg(item, ',' order by item) s from (sele
 select doc_id, len(w)::bigint n_words, coalesce(h, 0)::bigint n_hit, coalesce(k, 0)::bigint n_items, sha256(coalesce(s, '')) items_sha256, coalesce(h, 0) > 0 contaminated
 from low left join cov using (rid) left join ids using (rid)"""
 
+OP4 = r"""
+with d as (select row_number() over () rid, doc_id, hex(encode(coalesce(text, ''))) x from documents),
+s as (select rid, i, x[2 * i + 1 : 2 * i + 400] g from d, unnest(range(0, length(x) // 2 - 199)) u(i) where length(x) >= 400),
+g as (select rid, i from (select rid, i, count(*) over (partition by md5(g)) c from s) where c > 1),
+r as (select rid, i, i > coalesce(max(i) over (partition by rid order by i rows between unbounded preceding and 1 preceding), -1000) + 200 fresh from g),
+t as (select rid, sum(fresh::int) over (partition by rid order by i) k, i from r),
+c as (select rid, k, min(i) a, max(i) + 200 z from t group by all),
+n as (select rid, sum(z - a)::bigint n_removed, count(*) n_spans, list(a order by a) a, list(z order by a) z from c group by rid)
+select doc_id, (length(x) // 2)::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans,
+  sha256(unhex(coalesce(array_to_string(list_transform(range(1, len(a) + 2), lambda j: x[2 * (case when j = 1 then 0 else z[j - 1] end) + 1 : 2 * (case when j > len(a) then length(x) // 2 else a[j] end)]), ''), x))) kept_sha256
+from d left join n using (rid)"""
+
 OP10 = r"""
 with w as (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
 g as (select distinct rid, array_to_string(w[i : i + 4], ' ') g from w, unnest(range(1, greatest(2, len(w) - 3))) u(i) where len(w) > 0),
@@ -101,8 +114,8 @@ pre as (select rid, g from rare join n using (rid) where r <= n - ceil(0.85 * n)
 cand as (select distinct least(a.rid, b.rid) a, greatest(a.rid, b.rid) b from pre a join pre b using (g) where a.rid < b.rid),
 links as (select a, b from (select a, b, count(*) i from cand join g x on x.rid = a join g y on y.rid = b and y.g = x.g group by a, b)
   join n p on p.rid = a join n q on q.rid = b where 100 * i >= 85 * (p.n + q.n - i)),
-both as (select a, b from links union select b, a from links),
-reach as (with recursive r as (select rid a, rid b from w union select r.a, both.b from r join both on both.a = r.b) select a, min(doc_id) c from r join w on w.rid = r.b group by a)
+twoway as (select a, b from links union select b, a from links),
+reach as (with recursive r as (select rid a, rid b from w union select r.a, twoway.b from r join twoway on twoway.a = r.b) select a, min(doc_id) c from r join w on w.rid = r.b group by a)
 select doc_id, coalesce(n, 0)::bigint n_shingles, c component_id, doc_id = c kept from w join reach on a = rid left join n using (rid)"""
 
-ORACLE = {"op10_near_dedup": OP10, "op6_decontaminate": OP6, "op1_quality_rules": _op1(), "op5_url_filter": _op5(), "op7_warc": OP7}
+ORACLE = {"op10_near_dedup": OP10, "op4_suffix_dedup": OP4, "op6_decontaminate": OP6, "op1_quality_rules": _op1(), "op5_url_filter": _op5(), "op7_warc": OP7}
