@@ -30,10 +30,6 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when((sp > 0) & (sq > 0), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2)))
 
 
-def _count_of(array: str, value: int) -> Column:
-    return F.size(F.filter(array, lambda x: x == value))
-
-
 def text_counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the base counts, and the two histograms (arrays of double) of every whole text. One scan, no shuffle."""
     lit = F.lit
@@ -42,7 +38,9 @@ def text_counts(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.select("doc_id", "lang", "_t", "_w", lines.alias("_l"), F.size("_w").alias("_n"))
     three = F.when(F.col("_n") >= 3, F.transform(F.sequence(lit(0), F.col("_n") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))))
-    lower = F.transform("_w", lambda w: F.array_position(F.array(*map(lit, COMMON)), F.lower(w)).cast("int"))
+    # one character for each common word, so that a bin's count is a matter of string lengths
+    common = F.filter(F.transform("_w", F.lower), lambda w: w.isin(*COMMON))
+    marks = F.array_join(F.transform(common, lambda w: F.char(64 + F.array_position(F.array(*map(lit, COMMON)), w))), "")
     d = d.select(
         "doc_id", "lang", F.col("_n").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
@@ -51,7 +49,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
         three.alias("_g"),
         F.length("_t").alias("_chars"),
         F.array(*(F.regexp_count("_t", lit(c)).cast("double") for c in CLASSES)).alias("_c"),
-        F.filter(lower, lambda x: x > 0).alias("_k"),
+        marks.alias("_k"),
     )
     # only texts in which a window repeats are sorted
     pairs = F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -60,12 +58,12 @@ def text_counts(docs: DataFrame) -> DataFrame:
     at = F.filter(F.sequence(lit(0), F.size("_s") - 1), lambda j: F.coalesce(same(j, j - 1), lit(False)) | F.coalesce(same(j, j + 1), lit(False)))
     d = d.withColumn("_p", F.when(F.col("_s").isNotNull(), F.sort_array(F.transform(at, lambda j: F.get("_s", j)["i"]))))
     covered = F.transform("_p", lambda p, j: F.least(lit(3), F.coalesce(F.get("_p", j + 1) - p, lit(3))))
-    bins = [_count_of("_k", b).cast("double") for b in range(1, len(COMMON) + 1)]
+    bins = [(F.length("_k") - F.length(F.replace("_k", lit(chr(64 + b))))).cast("double") for b in range(1, len(COMMON) + 1)]
     return d.select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.coalesce(F.aggregate(covered, lit(0), lambda a, b: a + b), lit(0)).cast("long").alias("n_repeat_words"),
         F.concat("_c", F.array(F.col("_chars") - F.aggregate("_c", lit(0.0), lambda a, b: a + b))).alias("char_hist"),
-        F.concat(F.array(*bins), F.array((F.col("n_words") - F.size("_k")).cast("double"))).alias("word_hist"),
+        F.concat(F.array(*bins), F.array((F.col("n_words") - F.length("_k")).cast("double"))).alias("word_hist"),
     )
 
 
