@@ -1,10 +1,70 @@
-"""The corpus pipeline: toxicity, near duplicates, repeated passages, benchmark passages, packing."""
+"""The corpus pipeline: toxicity, near duplicates, repeated passages, benchmark passages, packing.
+
+Every stage takes all documents that the one before kept, and all but the last return the columns of documents. Nulls: a null text has no words and
+passes every filter; a null doc_id passes the near-duplicate stage. Columns whose names begin with an underscore are reserved.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm.decontaminate import contamination
+from tessella.llm.near_dedup import drop_near_duplicates
+from tessella.llm.packing import pack_documents
+from tessella.llm.shared import stored, table
+from tessella.llm.suffix_dedup import remove_repeats
+from tessella.llm.toxicity import score_toxicity
+
+#: Documents of this shingle similarity or more are near duplicates.
+SIMILARITY = 0.8
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, trained on the labels outside its held-out fold, does not reject."""
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), keep=[c for c in docs.columns if c != "doc_id"])
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the smallest doc_id."""
+    return drop_near_duplicates(docs, SIMILARITY)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes of strings of 200 bytes that occur more than once; n_chars is that of the remaining text."""
+    d = remove_repeats(docs)
+    kept = F.when(F.col("text").isNotNull(), F.col("_kept"))
+    n_chars = F.when(F.col("_n_removed") > 0, F.length("_kept").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+    return d.withColumns({"n_chars": n_chars, "text": kept}).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    d = contamination(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
+    return d.where("not contaminated").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 ids."""
+    return pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("decontaminate", decontaminate),
+    ("packing", packing),
+]
+#: A trained model rejects the toxic documents: SQL can't express that.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

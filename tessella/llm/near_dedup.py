@@ -67,22 +67,22 @@ def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (a 128-bit digest of the set), signature, for every row."""
+    """doc_id, key (a digest of the text), n_shingles, set_a and set_b (a 128-bit digest of the set), signature, for every row."""
 
     def sketch(batches):
         for batch in batches:
-            buf, off = B.column(batch.column(1))
+            buf, off = B.column(batch.column(2))
             for i, j, b, o in B.blocks(buf, off, 1 << 19):
                 sets, bounds = shingle_sets(b, o, size)
                 sig = signatures(sets, bounds)
                 acc = [_running(B.mix(sets + B.U(s))) for s in (1, 2)]
                 dig = [(a[bounds[1:]] - a[bounds[:-1]]).view(np.int64) for a in acc]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(dig[0]), pa.array(dig[1]), pa.array([r.tobytes() for r in sig], pa.binary())],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "signature"],
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(dig[0]), pa.array(dig[1]), pa.array([r.tobytes() for r in sig], pa.binary())],
+                    names=["doc_id", "key", "n_shingles", "set_a", "set_b", "signature"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(sketch, "doc_id long, key long, n_shingles long, set_a long, set_b long, signature binary")
 
 
 def _chosen(tree: int, level: int, similarity: float) -> np.ndarray:
@@ -266,7 +266,7 @@ def look(similarity: float) -> float:
 
 
 def similarity_join(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows has doc_id, n_shingles, rep (its content) for every document; links has a, b, contents joined into the same components by proven links."""
+    """(rows, links): rows has doc_id, key, n_shingles, rep (its content) for every document; links has a, b, contents joined into the same components by proven links."""
     spark = docs.sparkSession
     rows = stored(sketches(docs, size), "sketches")
     # copies are one content from here on; summed before the shuffle
@@ -297,11 +297,11 @@ def similarity_join(docs: DataFrame, similarity: float = SIMILARITY, size: int =
         k *= 4
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
-    return rows.select("doc_id", "n_shingles", F.col("set_a").alias("rep")).join(small(reps.select("rep", "first"), BROADCAST_ROWS), "rep", "left"), links
+    return rows.select("doc_id", "key", "n_shingles", F.col("set_a").alias("rep")).join(small(reps.select("rep", "first"), BROADCAST_ROWS), "rep", "left"), links
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, trees: int = TREES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, trees: int = TREES, keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (and key, a digest of the text, if keyed) for every row of docs (doc_id, text).
 
     component_id is the smallest doc_id reachable by links; documents without words are linked with nothing, and stay. A null doc_id takes
     the smallest id of its component and isn't kept; rows that repeat the smallest doc_id are all kept. Recall is that of `trees` trees (about
@@ -315,5 +315,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     low = stored(label.join(low, "label").select(F.col("rep").alias("_rep"), "_low"), "lowest")
     d = rows.join(small(low, BROADCAST_ROWS), F.col("rep") == F.col("_rep"), "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("_low", "first")).otherwise(F.col("doc_id"))
-    d = d.select("doc_id", "n_shingles", own.alias("component_id"))
+    d = d.select("doc_id", "n_shingles", own.alias("component_id"), *["key"] * keyed)
     return d.withColumn("kept", (F.col("n_shingles") == 0) | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float, size: int = SHINGLE, trees: int = TREES) -> DataFrame:
+    """docs (any columns, with doc_id and text) with one row of each group of near duplicates: the one with the smallest doc_id.
+
+    Rows that repeat a doc_id and its text leave one. Rows without doc_id can't be told apart and stay, as do texts without words.
+    """
+    key = F.xxhash64("text")
+    marks = near_duplicates(docs.where("doc_id is not null"), similarity, size, trees, keyed=True).where("kept")
+    marks = stored(marks.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("_n")), "survivors")
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (key == F.col("_key"))
+    out = docs.where("doc_id is null").unionByName(docs.join(small(marks.where("_n = 1"), BROADCAST_ROWS), same, "left_semi"))
+    repeated = marks.where("_n > 1")
+    if repeated.isEmpty():
+        return out
+    more = docs.join(small(repeated, BROADCAST_ROWS), same, "left_semi").withColumn("_key", key).dropDuplicates(["doc_id", "_key"])
+    return out.unionByName(more.drop("_key"))
