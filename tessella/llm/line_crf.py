@@ -116,7 +116,10 @@ def train(texts: list[str], y: np.ndarray) -> dict:
     if len(set(y.tolist())) < 2:
         return {"none": float(np.clip(y.mean(), 0.01, 0.99))}
     buf, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    x, size, first = line_features(buf, off)
+    parts = [line_features(b, o) for _, _, b, o in B.blocks(buf, off)]
+    x, size = (np.concatenate([part[k] for part in parts]) for k in (0, 1))
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(part[2]) for part in parts]))])
+    del parts
     mean, std = x.mean(0), x.std(0) + 1e-3
     mean[-1], std[-1] = 0, 1
     x = (x - mean) / std

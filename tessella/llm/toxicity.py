@@ -80,6 +80,32 @@ def document_logits(words: np.ndarray, first: np.ndarray, bias: float) -> np.nda
     return out
 
 
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of each word, start and end of each distinct word in a text that has each once, that text, and the number of words of each document.
+
+    Texts are taken in blocks, so that what is held grows with the words and not with several numbers for each byte.
+    """
+    raw = [t.encode() for t in texts]
+    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    hashes, count, known, spelt = [], [], np.zeros(0, B.U), []
+    for _, _, b, o in B.blocks(buf, off):
+        p, start = _padded(b, o)
+        s, e, _ = B.spans(p != 32, np.array([0, len(p)]))
+        h = B.span_hash(B.prefix(p), s, e)
+        hashes.append(h)
+        count.append(np.diff(np.searchsorted(s, start)))
+        new, one = np.unique(h, return_index=True)
+        fresh = ~np.isin(new, known)
+        text = p.tobytes()
+        spelt += [text[i:j] for i, j in zip(s[one[fresh]].tolist(), e[one[fresh]].tolist())]
+        known = np.concatenate([known, new[fresh]])
+    order = np.argsort(known)
+    ids = order[np.searchsorted(known[order], np.concatenate(hashes))] if hashes else np.zeros(0, np.int64)
+    ue = np.cumsum([len(w) + 1 for w in spelt]).astype(np.int64)
+    us = ue - np.array([len(w) for w in spelt], np.int64)
+    return ids, us, ue, np.frombuffer(b" " + b"".join(w + b" " for w in spelt), np.uint8), np.concatenate(count) if count else np.zeros(0, np.int64)
+
+
 def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
     """Joint gradient descent on embeddings and softmax. Returns each bucket's part of the logit, and the bias."""
     rng = np.random.default_rng(seed)
@@ -87,19 +113,14 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7)
     if len(set(y.tolist())) < 2:
         rate = float(y.mean()) if len(y) else 0.0
         return np.zeros(size, np.float32), float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
-    raw = [t.encode() for t in texts]
-    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    p, start = _padded(buf, off)
-    s, e, _ = B.spans(p != 32, np.array([0, len(p)]))
+    ids, us, ue, p, count = _words(texts)
     pre = B.prefix(p)
-    _, one, ids = np.unique(B.span_hash(pre, s, e), return_index=True, return_inverse=True)
-    us, ue = s[one], e[one]
     gram, owner = [], []
     for n in GRAMS:
         h, _ = _grams(p, pre, n)
-        count = np.maximum(ue + 2 - n - (us - 1), 0)
-        w = np.repeat(np.arange(len(us)), count)
-        gram.append(h[np.repeat(us - 1, count) + np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count)])
+        many = np.maximum(ue + 2 - n - (us - 1), 0)
+        w = np.repeat(np.arange(len(us)), many)
+        gram.append(h[np.repeat(us - 1, many) + np.arange(len(w)) - np.repeat(np.cumsum(many) - many, many)])
         owner.append(w)
     gram, owner = np.concatenate(gram), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
@@ -107,8 +128,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7)
     per = np.bincount(owner, minlength=len(us))
     head = np.cumsum(per) - per
     some = per > 0
-    first = np.searchsorted(s, start)
-    count = np.diff(first)
+    first = np.concatenate([[0], np.cumsum(count)])
     runs = -(-count // RUN)
     doc = np.repeat(np.arange(len(texts)), runs)
     run_of = np.repeat(np.cumsum(runs) - runs, count) + (np.arange(len(ids)) - np.repeat(first[:-1], count)) // RUN
