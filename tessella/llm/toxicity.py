@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tessella.llm import bytesops as B
 from tessella.llm.shared import fold, plus
 
-GRAMS = (3, 4, 5)
-BUCKET_BITS, DIM, RUN = 18, 4, 16
+GRAMS = (3, 4, 5, 6, 7)
+BUCKET_BITS, DIM, RUN = 18, 4, 2
 #: Grams of fewer training documents than this keep a zero embedding.
 MIN_DOCS = 6
 #: Bound of the training sample: rows of each class, and characters of one row.
@@ -106,7 +106,7 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return ids, us, ue, np.frombuffer(b" " + b"".join(w + b" " for w in spelt), np.uint8), np.concatenate(count) if count else np.zeros(0, np.int64)
 
 
-def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(texts: list[str], y: np.ndarray, epochs: int | None = None, seed: int = 7) -> tuple[np.ndarray, float]:
     """Joint gradient descent on embeddings and softmax. Returns each bucket's part of the logit, and the bias."""
     rng = np.random.default_rng(seed)
     size = 1 << BUCKET_BITS
@@ -147,6 +147,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7)
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     last = np.cumsum(runs)[runs > 0] - 1
     has = np.flatnonzero(runs > 0)
+    epochs = epochs or EPOCHS
     for epoch in range(epochs):
         words = np.zeros((len(us), DIM), np.float32)
         words[some] = np.add.reduceat(emb[gram], head[some], axis=0) / per[some, None]
