@@ -24,8 +24,10 @@ SHINGLE, SIMILARITY = 5, 0.85
 SIGNATURE, TREES, DEPTH = 128, 16, 4
 #: Documents of a node that are compared exhaustively; larger nodes branch.
 NODE = 64
-#: Best partners offered per document in the first round; each next round offers four times as many.
-OFFER = 4
+#: Best partners offered per document in the first round of a batch of trees; each next round offers GROWTH times as many.
+OFFER, GROWTH = 2, 8
+#: Trees of the first batch: it joins most copies, so that the other trees' nodes hold few documents of different components.
+FIRST_TREES = 2
 #: Nodes still larger than this after the last level are cut into overlapping blocks, see _last_nodes().
 BLOCK = 1024
 _rng = np.random.default_rng(11)
@@ -85,6 +87,17 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(sketch, "doc_id long, key long, n_shingles long, set_a long, set_b long, signature binary")
 
 
+def _short(reps: DataFrame) -> DataFrame:
+    """rep and the low byte of each value of its signature: enough to compare two (unequal values agree in 1 of 256), a quarter of the size."""
+
+    def cut(batches):
+        for batch in batches:
+            low = B.column(batch.column(1))[0].reshape(-1, SIGNATURE, 4)[:, :, 0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in low], pa.binary())], names=["rep", "short"])
+
+    return reps.select("rep", "signature").mapInArrow(cut, "rep long, short binary")
+
+
 def _chosen(tree: int, level: int, similarity: float) -> np.ndarray:
     """Which coordinates the nodes of a tree's level may pick (about 1 / similarity of them, one at least): shared by all documents."""
     rng = np.random.default_rng((tree + 1) * 1000 + level)
@@ -128,16 +141,16 @@ def _matrix(col) -> np.ndarray:
 
 
 def leaves(reps: DataFrame, trees: int, similarity: float, depth: int = DEPTH, limit: int = NODE) -> DataFrame:
-    """node, rep of all nodes to be compared (two documents or more); nodes with the same documents are kept once."""
+    """node, rep, n (documents), tree of all nodes to be compared (two documents or more); nodes with the same documents are kept once."""
     rows, out = _first_nodes(reps, trees, similarity), None
     for level in range(1, depth + 1):
         rows = stored(rows, f"nodes-{level}") if level > 1 else rows
         # a node's size and a digest of its documents, summed before the shuffle
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("rep"), 24)).alias("what")).where("n > 1")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("rep"), 24)).alias("what"), F.min("tree").alias("tree")).where("n > 1")
         sizes = stored(sizes, f"sizes-{level}")
         leaf = sizes if level == depth else sizes.where(F.col("n") <= limit)
-        once = leaf.groupBy("n", "what").agg(F.min("node").alias("node"))
-        found = rows.join(small(stored(once.select("node", "n"), "leaf-nodes"), BROADCAST_ROWS), "node").select("node", "rep", "n")
+        once = leaf.groupBy("n", "what").agg(F.min(F.struct("tree", "node")).alias("x")).select(F.col("x.node").alias("node"), "n", F.col("x.tree").alias("t"))
+        found = rows.join(small(stored(once, "leaf-nodes"), BROADCAST_ROWS), "node").select("node", "rep", "n", F.col("t").alias("tree"))
         out = found if out is None else out.unionByName(found)
         if level == depth:
             break
@@ -153,18 +166,24 @@ def _blocked(rows: DataFrame, block: int) -> DataFrame:
     """Nodes of at most 2 * block documents: a larger one becomes one node for each pair of its blocks of about `block` documents."""
     fine, large = rows.where(F.col("n") <= 2 * block), rows.where(F.col("n") > 2 * block)
     if large.isEmpty():
-        return fine.select("node", "rep")
+        return fine.select("node", "rep", "tree")
     k = F.expr(f"cast(ceil(n / {float(block)}D) as int)")
     large = large.withColumns({"_k": k, "_b": F.pmod(F.xxhash64("rep", F.lit(5)), k).cast("int")})
     pairs = large.select(F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_o"), "*")
-    cut = pairs.select(F.xxhash64("node", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("node"), "rep")
-    return fine.select("node", "rep").unionByName(cut)
+    cut = pairs.select(F.xxhash64("node", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("node"), "rep", "tree")
+    return fine.select("node", "rep", "tree").unionByName(cut)
 
 
 def _best(rep: np.ndarray, label: np.ndarray, sig: np.ndarray, tried: list, k: int, share: float) -> set[tuple[int, int]]:
-    """For each document of one node its k best partners by signature, in other components and not yet refused."""
+    """For each document of one node its k best partners by signature, in other components and not yet refused.
+
+    Documents of the node's largest component offer none: the others offer what links to them.
+    """
     out, least = set(), share * SIGNATURE
-    for i in range(len(rep)):
+    names, inverse, count = np.unique(label, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return out
+    for i in np.flatnonzero(inverse != np.argmax(count)).tolist() if count.max() > 1 else range(len(rep)):
         other = np.flatnonzero(label != label[i])
         if not len(other):
             continue
@@ -180,7 +199,7 @@ def _best(rep: np.ndarray, label: np.ndarray, sig: np.ndarray, tried: list, k: i
 
 
 def offers(nodes: DataFrame, k: int, share: float) -> DataFrame:
-    """Distinct pairs a < b to be proven. nodes: node, rep, signature, label, tried (refused partners, or null)."""
+    """Distinct pairs a < b to be proven. nodes: node, rep, short (signature of a byte each), label, tried (refused partners, or null)."""
 
     def pairs(batches):
         rest = None
@@ -197,7 +216,7 @@ def offers(nodes: DataFrame, k: int, share: float) -> DataFrame:
             if batch is not None:  # the last node may go on
                 rest, edges = t.slice(int(edges[-2])), edges[:-1]
             rep, label = t.column("rep").to_numpy(), t.column("label").to_numpy()
-            sig, tried, found = _matrix(t.column("signature")), t.column("tried").to_pylist(), set()
+            sig, tried, found = B.column(t.column("short"))[0].reshape(-1, SIGNATURE), t.column("tried").to_pylist(), set()
             for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if j > i + 1:
                     found |= _best(rep[i:j], label[i:j], sig[i:j], tried[i:j], k, share)
@@ -205,7 +224,7 @@ def offers(nodes: DataFrame, k: int, share: float) -> DataFrame:
                 x = np.array(sorted(found), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
-    rows = nodes.select("node", "rep", "signature", "label", "tried").repartition("node").sortWithinPartitions("node")
+    rows = nodes.select("node", "rep", "short", "label", "tried").repartition("node").sortWithinPartitions("node")
     return rows.mapInArrow(pairs, "a long, b long").distinct()
 
 
@@ -225,20 +244,20 @@ def proven(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """rep, label (smallest rep of its component) of every rep in links (a, b), by large-star and small-star rounds, each stored."""
-    e = stored(links.select("a", "b").distinct(), "links")
+    e = stored(links.select("a", "b").where("a <> b").distinct(), "links")
     while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        large = both.join(low, "a").where("b > a and b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        down = stored(large.distinct(), "large-stars")
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         nxt = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         nxt = stored(nxt, "stars")
         # stars: every rep has one neighbour below it, and no centre is below another
-        centres = nxt.select(F.col("b").alias("a")).distinct().join(nxt, "a", "left_semi")
-        if nxt.groupBy("a").count().where("count > 1").isEmpty() and centres.isEmpty():
+        ends = nxt.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("up")), F.struct(F.col("b").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.min("up").alias("low")).where("up > 1 or (up = 1 and low = 0)").isEmpty():
             break
-        e = nxt.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        e = nxt
     return stored(nxt.select(F.col("a").alias("rep"), F.col("b").alias("label")).unionByName(nxt.select(F.col("b").alias("rep"), F.col("b").alias("label")).distinct()), "components")
 
 
@@ -260,44 +279,73 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found.join(small(wanted.select("rep"), BROADCAST_ROWS), "rep", "left_semi").dropDuplicates(["rep"])
 
 
+def _unsettled(nodes: DataFrame, label: DataFrame | None, refused: DataFrame | None) -> DataFrame:
+    """nodes that hold more than one component, with label (the component of rep, itself if it has no link) and tried (partners that were refused)."""
+    if label is None:
+        now = nodes.withColumn("label", F.col("rep"))
+    else:
+        now = nodes.join(small(label, BROADCAST_ROWS), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        mixed = now.groupBy("node").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("node")
+        now = stored(now, "labelled")
+        now = now.join(small(stored(mixed, "mixed"), BROADCAST_ROWS), "node", "left_semi")
+    if refused is None:
+        return now.withColumn("tried", F.lit(None).cast("array<long>"))
+    both = refused.unionByName(refused.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return now.join(both.groupBy(F.col("a").alias("rep")).agg(F.collect_list("b").alias("tried")), "rep", "left")
+
+
+def _relabelled(label: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Labels after new links: components of the links between the components so far, then of their members."""
+    if label is None:
+        return components(new)
+    small_label = small(label, BROADCAST_ROWS)
+    for c in "ab":
+        new = new.join(small_label.select(F.col("rep").alias(c), F.col("label").alias(f"l{c}")), c, "left").withColumn(c, F.coalesce(f"l{c}", c)).drop(f"l{c}")
+    moved = components(new.where("a <> b"))
+    known = label.join(small(moved.select(F.col("rep").alias("label"), F.col("label").alias("_to")), BROADCAST_ROWS), "label", "left").select("rep", F.coalesce("_to", "label").alias("label"))
+    fresh = moved.join(small_label.select("rep"), "rep", "left_anti")
+    return stored(known.unionByName(fresh.select("rep", "label")), "labels")
+
+
 def look(similarity: float) -> float:
     """Share of coordinates in which the signatures of a pair must agree for it to be proven on sets: 4.5 standard errors under the similarity."""
     return similarity - 4.5 * (similarity * (1 - similarity) / SIGNATURE) ** 0.5
 
 
-def similarity_join(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows has doc_id, key, n_shingles, rep (its content) for every document; links has a, b, contents joined into the same components by proven links."""
+def similarity_join(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, trees: int = TREES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, links, labels): rows has doc_id, key, n_shingles, rep (its content) for every document; links has a, b, contents joined into the same components by proven links; labels has rep, label for every content with a link."""
     spark = docs.sparkSession
     rows = stored(sketches(docs, size), "sketches")
     # copies are one content from here on; summed before the shuffle
     reps = rows.where("n_shingles > 0").groupBy(F.col("set_a").alias("rep"), "signature").agg(F.min("doc_id").alias("first"))
     reps = stored(reps, "contents")
-    nodes = stored(_blocked(leaves(reps, trees, similarity), BLOCK).join(reps.select("rep", "signature"), "rep"), "leaves")
-    now = nodes.select("node", "rep", "signature", F.col("rep").alias("label"), F.lit(None).cast("array<long>").alias("tried"))
-    links = refused = sets = None
-    k = OFFER
-    while True:
-        pairs = stored(offers(now, k, look(similarity)), "pairs")
-        if pairs.isEmpty():
-            break
-        if sets is None:  # later pairs are of documents that have a pair now
+    nodes = stored(_blocked(leaves(reps, trees, similarity), BLOCK).join(_short(reps), "rep"), "leaves")
+    links = refused = sets = label = None
+    for lowest, highest in ((0, FIRST_TREES), (0, trees)) if trees > FIRST_TREES else ((0, trees),):
+        part, k = nodes.where(F.col("tree").between(lowest, highest - 1)), OFFER
+        while True:
+            now = _unsettled(part, label, refused)
+            pairs = stored(offers(now, k, look(similarity)), "pairs")
+            if pairs.isEmpty():
+                break
             ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-            sets = stored(_sets(docs, stored(reps.join(ends, "rep", "left_semi").select("rep", "first"), "wanted"), size), "sets")
-        done = stored(proven(pairs, sets, similarity), "proven")
-        new = done.where("linked").select("a", "b")
-        links = new if links is None else stored(links.unionByName(new), "all-links")
-        no = done.where("not linked").select("a", "b")
-        refused = no if refused is None else refused.unionByName(no)
-        label = components(links)
-        both = refused.unionByName(refused.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tried = both.groupBy(F.col("a").alias("rep")).agg(F.collect_list("b").alias("tried"))
-        now = nodes.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(tried, "rep", "left")
-        mixed = stored(now.groupBy("node").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("node"), "mixed")
-        now = stored(now.join(small(mixed, BROADCAST_ROWS), "node", "left_semi"), "round")
-        k *= 4
+            if sets is not None:
+                ends = ends.join(sets.select("rep"), "rep", "left_anti")
+            wanted = stored(reps.join(ends, "rep", "left_semi").select("rep", "first"), "wanted")
+            if not wanted.isEmpty():
+                more = stored(_sets(docs, wanted, size), "sets")
+                sets = more if sets is None else sets.unionByName(more)
+            done = stored(proven(pairs, sets, similarity), "proven")
+            no = done.where("not linked").select("a", "b")
+            refused = no if refused is None else refused.unionByName(no)
+            new = done.where("linked").select("a", "b")
+            if not new.isEmpty():
+                links = new if links is None else links.unionByName(new)
+                label = _relabelled(label, new)
+            k *= GROWTH
     if links is None:
-        links = spark.createDataFrame([], "a long, b long")
-    return rows.select("doc_id", "key", "n_shingles", F.col("set_a").alias("rep")).join(small(reps.select("rep", "first"), BROADCAST_ROWS), "rep", "left"), links
+        links, label = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "rep long, label long")
+    return rows.select("doc_id", "key", "n_shingles", F.col("set_a").alias("rep")).join(small(reps.select("rep", "first"), BROADCAST_ROWS), "rep", "left"), links, label
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, trees: int = TREES, keyed: bool = False) -> DataFrame:
@@ -307,8 +355,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     the smallest id of its component and isn't kept; rows that repeat the smallest doc_id are all kept. Recall is that of `trees` trees (about
     1 - 3e-6 for a pair just at the similarity in nodes that branch DEPTH times, more elsewhere).
     """
-    rows, links = similarity_join(docs, similarity, size, trees)
-    label = components(links) if not links.isEmpty() else links.select(F.col("a").alias("rep"), F.col("b").alias("label"))
+    rows, _, label = similarity_join(docs, similarity, size, trees)
     contents = rows.where("first is not null").select("rep", "first").distinct()
     label = contents.join(label, "rep", "inner")
     low = label.groupBy("label").agg(F.min("first").alias("_low"))
