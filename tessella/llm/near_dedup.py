@@ -2,9 +2,10 @@
 
 Every document with distinct content is SIGNATURE minwise values of its shingle set. In each of TREES independent trees a node picks, by hashes that
 all documents share, about 1 / similarity of the SIGNATURE coordinates; a document goes down to one child for each picked coordinate and
-its value there. Nodes of one document end; small nodes are compared exhaustively on signatures; larger ones branch again, up to DEPTH levels. Pairs
-that look similar are confirmed on full shingle sets. Where components are asked for, links inside one component need no proof: each round offers, per
-document, its best unproven partners in other components, and rounds go on until nothing is left to prove.
+its value there. Nodes of one document end; small nodes are compared exhaustively; larger ones branch again, up to DEPTH levels. Documents that by
+their signatures may have a partner in another component of their node are compared on full shingle sets, inside the node. A node gives no more
+links than it takes to join its components, and the first trees' components spare most of the other trees' nodes: what is written grows with the
+documents, not with the pairs of a large group.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ SHINGLE, SIMILARITY = 5, 0.85
 SIGNATURE, TREES, DEPTH = 128, 16, 4
 #: Documents of a node that are compared exhaustively; larger nodes branch.
 NODE = 64
-#: Best partners offered per document in the first round of a batch of trees; each next round offers GROWTH times as many.
-OFFER, GROWTH = 2, 8
+#: Cells of one membership matrix (64 MB).
+CELLS = 1 << 24
 #: Trees of the first batch: it joins most copies, so that the other trees' nodes hold few documents of different components.
 FIRST_TREES = 2
 #: Nodes still larger than this after the last level are cut into overlapping blocks, see _last_nodes().
@@ -174,58 +175,71 @@ def _blocked(rows: DataFrame, block: int) -> DataFrame:
     return fine.select("node", "rep", "tree").unionByName(cut)
 
 
-def _best(rep: np.ndarray, label: np.ndarray, sig: np.ndarray, tried: list, k: int, share: float) -> set[tuple[int, int]]:
-    """For each document of one node its k best partners by signature, in other components and not yet refused.
-
-    Documents of the node's largest component offer none: the others offer what links to them.
-    """
-    out, least = set(), share * SIGNATURE
-    names, inverse, count = np.unique(label, return_inverse=True, return_counts=True)
-    if len(names) < 2:
-        return out
-    for i in np.flatnonzero(inverse != np.argmax(count)).tolist() if count.max() > 1 else range(len(rep)):
-        other = np.flatnonzero(label != label[i])
-        if not len(other):
-            continue
-        same = (sig[other] == sig[i]).sum(1)
-        ok = same >= least
-        if tried[i]:
-            ok &= ~np.isin(rep[other], tried[i])
-        if ok.any():
-            other, same = other[ok], same[ok]
-            for j in other[np.lexsort((rep[other], -same))[:k]].tolist():
-                out.add((min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))))
+def _alike(label: np.ndarray, short: np.ndarray, share: float) -> np.ndarray:
+    """Which documents of a node have a partner in another component whose signature agrees in at least `share` of the values."""
+    out = np.zeros(len(label), bool)
+    for i in range(len(label) - 1):
+        hit = np.flatnonzero(((short[i + 1 :] == short[i]).sum(1) >= share * SIGNATURE) & (label[i + 1 :] != label[i]))
+        if len(hit):
+            out[i] = True
+            out[i + 1 + hit] = True
     return out
 
 
-def offers(nodes: DataFrame, k: int, share: float) -> DataFrame:
-    """Distinct pairs a < b to be proven. nodes: node, rep, short (signature of a byte each), label, tried (refused partners, or null)."""
-
-    def pairs(batches):
-        rest = None
-        for batch in _ended(batches):
-            t = pa.Table.from_batches([batch]) if batch is not None else None
-            if rest is not None:
-                t = rest if t is None else pa.concat_tables([rest, t])
-            if t is None or not t.num_rows:
-                continue
-            t = t.combine_chunks()
-            node = t.column("node").to_numpy()
-            cut = np.flatnonzero(np.diff(node)) + 1
-            edges = np.concatenate([[0], cut, [len(node)]])
-            if batch is not None:  # the last node may go on
-                rest, edges = t.slice(int(edges[-2])), edges[:-1]
-            rep, label = t.column("rep").to_numpy(), t.column("label").to_numpy()
-            sig, tried, found = B.column(t.column("short"))[0].reshape(-1, SIGNATURE), t.column("tried").to_pylist(), set()
-            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if j > i + 1:
-                    found |= _best(rep[i:j], label[i:j], sig[i:j], tried[i:j], k, share)
-            if found:
-                x = np.array(sorted(found), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+def shared_counts(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Size of the intersection of every two of the sets values[bounds[i] : bounds[i + 1]], as products of membership matrices of at most CELLS cells."""
+    n = len(bounds) - 1
+    _, column = np.unique(values, return_inverse=True)
+    row = np.repeat(np.arange(n), np.diff(bounds))
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((n, n), np.float64)
+    every = int(column[-1]) + 1 if len(column) else 0
+    wide = min(max(every, 1), max(256, CELLS // n))
+    for low in range(0, every, wide):
+        a, z = np.searchsorted(column, [low, low + wide])
+        m = np.zeros((n, wide), np.float32)
+        m[row[a:z], column[a:z] - low] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def _links(rep: np.ndarray, label: np.ndarray, values: np.ndarray, bounds: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between the documents of a node, by full sets: enough of them to join all components that the node's links join."""
+    size = np.diff(bounds)
+    both = shared_counts(values, bounds)
+    linked = np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1)
+    _, inverse = np.unique(label, return_inverse=True)
+    parent = np.arange(inverse.max() + 1).tolist()
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
+        x, y = find(int(inverse[i])), find(int(inverse[j]))
+        if x != y:
+            parent[x] = y
+            out.append((min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))))
+    return out
 
-    rows = nodes.select("node", "rep", "short", "label", "tried").repartition("node").sortWithinPartitions("node")
-    return rows.mapInArrow(pairs, "a long, b long").distinct()
+
+def _by_node(batches):
+    """Tables of whole nodes from batches sorted by node (first column); the last node of a batch waits for the next batch."""
+    rest = None
+    for batch in _ended(batches):
+        t = pa.Table.from_batches([batch]) if batch is not None else None
+        if rest is not None:
+            t = rest if t is None else pa.concat_tables([rest, t])
+        if t is None or not t.num_rows:
+            continue
+        t = t.combine_chunks()
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(t.column(0).to_numpy())) + 1, [t.num_rows]])
+        if batch is not None:
+            rest, edges = t.slice(int(edges[-2])), edges[:-1]
+        yield t, edges.tolist()
 
 
 def _ended(batches):
@@ -233,13 +247,40 @@ def _ended(batches):
     yield None
 
 
-def proven(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """pairs with `linked`: intersection and union of the full sets (rep, shingles)."""
+def alike(nodes: DataFrame, share: float) -> DataFrame:
+    """node, rep, label of documents to be compared in full: those with a partner in their node, in another component, of a similar signature."""
+
+    def rows(batches):
+        for t, edges in _by_node(batches):
+            label, short = t.column("label").to_numpy(), B.column(t.column("short"))[0].reshape(-1, SIGNATURE)
+            keep = np.zeros(len(label), bool)
+            for i, j in zip(edges[:-1], edges[1:]):
+                keep[i:j] = _alike(label[i:j], short[i:j], share)
+            if keep.any():
+                yield from t.select(["node", "rep", "label"]).filter(pa.array(keep)).to_batches()
+
+    d = nodes.select("node", "rep", "label", "short").repartition("node").sortWithinPartitions("node")
+    return d.mapInArrow(rows, "node long, rep long, label long")
+
+
+def proven(found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links of the nodes in found (node, rep, label), proven on full sets (rep, shingles): at most one fewer for each node than it has documents."""
     percent = round(similarity * 100)
-    left, right = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    d = pairs.join(left, "a").join(right, "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return d.select("a", "b", (100 * both >= percent * (F.size("sa") + F.size("sb") - both)).alias("linked"))
+
+    def rows(batches):
+        for t, edges in _by_node(batches):
+            rep, label = t.column("rep").to_numpy(), t.column("label").to_numpy()
+            shingles = t.column("shingles").combine_chunks()
+            shingles = shingles.chunk(0) if isinstance(shingles, pa.ChunkedArray) else shingles
+            off, values, out = shingles.offsets.to_numpy(), shingles.values.to_numpy(), []
+            for i, j in zip(edges[:-1], edges[1:]):
+                out += _links(rep[i:j], label[i:j], values[off[i] : off[j]], off[i : j + 1] - off[i], percent)
+            if out:
+                x = np.array(sorted(set(out)), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+
+    d = found.join(sets, "rep").select("node", "rep", "label", "shingles").repartition("node").sortWithinPartitions("node")
+    return d.mapInArrow(rows, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -279,19 +320,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found.join(small(wanted.select("rep"), BROADCAST_ROWS), "rep", "left_semi").dropDuplicates(["rep"])
 
 
-def _unsettled(nodes: DataFrame, label: DataFrame | None, refused: DataFrame | None) -> DataFrame:
-    """nodes that hold more than one component, with label (the component of rep, itself if it has no link) and tried (partners that were refused)."""
+def _unsettled(nodes: DataFrame, label: DataFrame | None) -> DataFrame:
+    """nodes that hold more than one component, with label: the component of rep, itself if it has no link."""
     if label is None:
-        now = nodes.withColumn("label", F.col("rep"))
-    else:
-        now = nodes.join(small(label, BROADCAST_ROWS), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        mixed = now.groupBy("node").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("node")
-        now = stored(now, "labelled")
-        now = now.join(small(stored(mixed, "mixed"), BROADCAST_ROWS), "node", "left_semi")
-    if refused is None:
-        return now.withColumn("tried", F.lit(None).cast("array<long>"))
-    both = refused.unionByName(refused.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return now.join(both.groupBy(F.col("a").alias("rep")).agg(F.collect_list("b").alias("tried")), "rep", "left")
+        return nodes.withColumn("label", F.col("rep"))
+    now = nodes.join(small(label, BROADCAST_ROWS), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = now.groupBy("node").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("node")
+    return now.join(small(stored(mixed, "mixed"), BROADCAST_ROWS), "node", "left_semi")
 
 
 def _relabelled(label: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -320,29 +355,22 @@ def similarity_join(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     reps = rows.where("n_shingles > 0").groupBy(F.col("set_a").alias("rep"), "signature").agg(F.min("doc_id").alias("first"))
     reps = stored(reps, "contents")
     nodes = stored(_blocked(leaves(reps, trees, similarity), BLOCK).join(_short(reps), "rep"), "leaves")
-    links = refused = sets = label = None
-    for lowest, highest in ((0, FIRST_TREES), (0, trees)) if trees > FIRST_TREES else ((0, trees),):
-        part, k = nodes.where(F.col("tree").between(lowest, highest - 1)), OFFER
-        while True:
-            now = _unsettled(part, label, refused)
-            pairs = stored(offers(now, k, look(similarity)), "pairs")
-            if pairs.isEmpty():
-                break
-            ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-            if sets is not None:
-                ends = ends.join(sets.select("rep"), "rep", "left_anti")
-            wanted = stored(reps.join(ends, "rep", "left_semi").select("rep", "first"), "wanted")
-            if not wanted.isEmpty():
-                more = stored(_sets(docs, wanted, size), "sets")
-                sets = more if sets is None else sets.unionByName(more)
-            done = stored(proven(pairs, sets, similarity), "proven")
-            no = done.where("not linked").select("a", "b")
-            refused = no if refused is None else refused.unionByName(no)
-            new = done.where("linked").select("a", "b")
-            if not new.isEmpty():
-                links = new if links is None else links.unionByName(new)
-                label = _relabelled(label, new)
-            k *= GROWTH
+    links = sets = label = None
+    for first_tree, last_tree in ((0, FIRST_TREES - 1), (FIRST_TREES, trees - 1)):
+        found = stored(alike(_unsettled(nodes.where(F.col("tree").between(first_tree, last_tree)), label), look(similarity)), "alike")
+        ends = found.select("rep").distinct()
+        if sets is not None:
+            ends = ends.join(sets.select("rep"), "rep", "left_anti")
+        wanted = stored(reps.join(ends, "rep", "left_semi").select("rep", "first"), "wanted")
+        if not wanted.isEmpty():
+            more = stored(_sets(docs, wanted, size), "sets")
+            sets = more if sets is None else sets.unionByName(more)
+        if sets is None:
+            continue
+        new = stored(proven(found, sets, similarity).distinct(), "proven")
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            label = _relabelled(label, new)
     if links is None:
         links, label = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "rep long, label long")
     return rows.select("doc_id", "key", "n_shingles", F.col("set_a").alias("rep")).join(small(reps.select("rep", "first"), BROADCAST_ROWS), "rep", "left"), links, label
