@@ -19,7 +19,7 @@ BUCKET_BITS, DIM, RUN = 18, 4, 2
 MIN_DOCS = 6
 #: Bound of the training sample: rows of each class, and characters of one row.
 SAMPLE = {1: 1200, 0: 1800}
-SAMPLE_CHARS = 50_000
+SAMPLE_CHARS = 6_000
 EPOCHS, RATE, DECAY = 30, 0.0005, 0.0
 
 
@@ -115,33 +115,32 @@ def train(texts: list[str], y: np.ndarray, epochs: int | None = None, seed: int
         return np.zeros(size, np.float32), float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
     ids, us, ue, p, count = _words(texts)
     pre = B.prefix(p)
-    gram, owner = [], []
+    grams, per = [], np.zeros(len(us), np.int64)
     for n in GRAMS:
         h, _ = _grams(p, pre, n)
         many = np.maximum(ue + 2 - n - (us - 1), 0)
-        w = np.repeat(np.arange(len(us)), many)
-        gram.append(h[np.repeat(us - 1, many) + np.arange(len(w)) - np.repeat(np.cumsum(many) - many, many)])
-        owner.append(w)
-    gram, owner = np.concatenate(gram), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    gram, owner = gram[order], owner[order]
-    per = np.bincount(owner, minlength=len(us))
-    head = np.cumsum(per) - per
-    some = per > 0
+        w = np.repeat(np.arange(len(us), dtype=np.int32), many)
+        grams.append((h[np.repeat(us - 1 - np.cumsum(many) + many, many) + np.arange(len(w))].astype(np.int32), w))
+        per += many
+    del pre, h
     first = np.concatenate([[0], np.cumsum(count)])
     runs = -(-count // RUN)
     doc = np.repeat(np.arange(len(texts)), runs)
     run_of = np.repeat(np.cumsum(runs) - runs, count) + (np.arange(len(ids)) - np.repeat(first[:-1], count)) // RUN
     run_head = np.searchsorted(run_of, np.arange(len(doc)))
     word_doc = np.unique(ids * np.int64(len(texts)) + np.repeat(np.arange(len(texts)), count))
-    known = np.bincount(gram, np.bincount(word_doc // len(texts), minlength=len(us))[owner], size) >= MIN_DOCS
+    in_docs = np.bincount(word_doc // len(texts), minlength=len(us))
+    del word_doc
+    known = sum(np.bincount(g, in_docs[w], size) for g, w in grams) >= MIN_DOCS
+    grams = [(g[known[g]], w[known[g]]) for g, w in grams]  # the others stay zero
     emb = np.where(known[:, None], rng.normal(0, 0.02, (size, DIM)), 0).astype(np.float32)
     soft = np.zeros((DIM, 2), np.float32)
     soft[:, 1] = rng.choice([-1, 1], DIM) * 0.5
     soft[:, 0] = -soft[:, 1]
     bias = np.zeros(2)
     # a gram's step is its gradient over the mean square of its share of a run: frequent grams don't outweigh telling ones
-    square = np.bincount(gram, ((1 / np.maximum(per, 1) / RUN) ** 2 * np.bincount(ids, minlength=len(us)))[owner], size) / len(doc)
+    share = (1 / np.maximum(per, 1) / RUN) ** 2 * np.bincount(ids, minlength=len(us))
+    square = sum(np.bincount(g, share[w], size) for g, w in grams) / len(doc)
     scale = (1 / (square + MIN_DOCS / len(doc) * np.median(1 / np.maximum(per, 1) / RUN) ** 2))[:, None].astype(np.float32)
     speed = [np.zeros_like(emb), np.zeros_like(soft), np.zeros_like(bias)]
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
@@ -150,7 +149,11 @@ def train(texts: list[str], y: np.ndarray, epochs: int | None = None, seed: int
     epochs = epochs or EPOCHS
     for epoch in range(epochs):
         words = np.zeros((len(us), DIM), np.float32)
-        words[some] = np.add.reduceat(emb[gram], head[some], axis=0) / per[some, None]
+        for g, w in grams:
+            if len(w):
+                head = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+                words[w[head]] += np.add.reduceat(emb[g], head, axis=0)
+        words /= np.maximum(per, 1)[:, None]
         mean = np.add.reduceat(words[ids], run_head, axis=0) / RUN
         logit = mean @ soft + bias
         diff = logit[:, 1] - logit[:, 0]
@@ -166,7 +169,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int | None = None, seed: int
         run_grad[pick] = both @ soft.T / RUN
         grad_soft, grad_bias = mean[pick].T @ both, both.sum(0)
         word_grad = np.stack([np.bincount(ids, run_grad[run_of, k], len(us)) for k in range(DIM)], 1) / np.maximum(per, 1)[:, None]
-        grad = np.stack([np.bincount(gram, word_grad[owner, k], size) for k in range(DIM)], 1)
+        grad = np.stack([sum(np.bincount(g, word_grad[w, k], size) for g, w in grams) for k in range(DIM)], 1)
         grad = np.where(known[:, None], grad * scale + DECAY * emb, 0)
         for x, g, v, rate in zip((emb, soft, bias), (grad, grad_soft, grad_bias), speed, (RATE, 0.02, 0.5)):
             v *= 0.9
