@@ -290,7 +290,7 @@ def components(links: DataFrame) -> DataFrame:
         both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a and b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        down = stored(large.distinct(), "large-stars")
+        down = large.distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         nxt = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         nxt = stored(nxt, "stars")
