@@ -36,7 +36,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def _positions(key: Column, level: int, bits: int) -> list[Column]:
     """HASHES bit positions by double hashing; each level has its own seed."""
     a, b = F.xxhash64(key, F.lit(2 * level)), F.xxhash64(key, F.lit(2 * level + 1))
-    return [F.pmod(a + F.lit(i) * F.shiftright(b, 8), F.lit(bits).cast("long")) for i in range(HASHES)]
+    return [F.pmod(F.shiftright(a, 2) + F.lit(i) * F.shiftright(b, 8), F.lit(bits).cast("long")) for i in range(HASHES)]
 
 
 def _encode(keys: DataFrame, level: int, bits: int) -> DataFrame:
