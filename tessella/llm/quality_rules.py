@@ -34,9 +34,14 @@ def text_counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the base counts, and the two histograms (arrays of double) of every whole text. One scan, no shuffle."""
     lit = F.lit
     d = docs.select("doc_id", "lang", F.coalesce("text", lit("")).alias("_t"))
+    # each class is taken out of what the one before left, run by run, and counted by the length it leaves; the classes are disjoint
+    rest = ["_t", *(f"_r{k}" for k in range(len(CLASSES)))]
+    for k, c in enumerate(CLASSES):
+        d = d.withColumn(rest[k + 1], F.regexp_replace(rest[k], f"{c}+", ""))
+    d = d.select("doc_id", "lang", "_t", F.array(*((F.length(a) - F.length(b)).cast("double") for a, b in zip(rest, rest[1:]))).alias("_c"))
     d = d.withColumn("_w", F.array_remove(F.split("_t", f"{SEPARATORS}+"), ""))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.select("doc_id", "lang", "_t", "_w", lines.alias("_l"), F.size("_w").alias("_n"))
+    d = d.select("doc_id", "lang", "_t", "_w", "_c", lines.alias("_l"), F.size("_w").alias("_n"))
     three = F.when(F.col("_n") >= 3, F.transform(F.sequence(lit(0), F.col("_n") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))))
     # one character for each common word, so that a bin's count is a matter of string lengths
     common = F.filter(F.transform("_w", F.lower), lambda w: w.isin(*COMMON))
@@ -48,7 +53,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         three.alias("_g"),
         F.length("_t").alias("_chars"),
-        F.array(*(F.regexp_count("_t", lit(c)).cast("double") for c in CLASSES)).alias("_c"),
+        "_c",
         marks.alias("_k"),
     )
     # only texts in which a window repeats are sorted
