@@ -402,12 +402,14 @@ def match_span(s, d):
     return N.match_span(f, ["doc_id"]).select("doc_id", "start_line", "end_line", "match_method")
 
 
-@query(r"""with c as (select conv_id, turn, split(text, chr(10))[1] l, 'zq ' || left(text, 9) || ' qz' q, trim(split(text, chr(10))[1]) f from conversations),
-w as (select conv_id, turn, q, a, k, trim(regexp_replace(array_to_string(split(text, chr(10))[a : a + k - 1], ' '), '\s+', ' ', 'g')) t, split(text, chr(10)) ls from c join conversations using (conv_id, turn), unnest(range(1, len(split(text, chr(10))) + 1)) x(a), unnest(range(1, least(15, len(split(text, chr(10))) - a + 1) + 1)) y(k)),
-g as (select conv_id, turn, first(a order by levenshtein(t, trim(regexp_replace(q, '\s+', ' ', 'g'))), abs(a - 1), k, a) a, first(k order by levenshtein(t, trim(regexp_replace(q, '\s+', ' ', 'g'))), abs(a - 1), k, a) k, bool_or(t = '') blank from w group by all)
-select conv_id, turn, a::int start_line, (a + k - 1)::int end_line from g where not blank""")
+@query(r"""with p as (select conv_id, turn, regexp_replace(text, '[^\x00-\x7F]', '', 'g') text from conversations), c as (select *, 'zq ' || left(text, 9) || ' qz' q, split(text, chr(10)) ls from p),
+w as (select conv_id, turn, q, a, k, array_to_string(ls[a : a + k - 1], chr(10)) r from c, unnest(range(1, len(ls) + 1)) x(a), unnest(range(1, least(15, len(ls) - a + 1) + 1)) y(k)),
+v as (select *, levenshtein(trim(regexp_replace(r, '\s+', ' ', 'g')), trim(regexp_replace(q, '\s+', ' ', 'g'))) cost from w),
+g as (select conv_id, turn, first(a order by cost, abs(a - 1), k, a) a, first(k order by cost, abs(a - 1), k, a) k, bool_or(contains(r, q) or contains(q, r)) exact from v group by all)
+select conv_id, turn, a::int start_line, (a + k - 1)::int end_line from g where not exact""")
 def match_span_fuzzy(s, d):
-    c = V.table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("code"), F.concat(F.lit("zq "), F.left("text", F.lit(9)), F.lit(" qz")).alias("snippet"), F.lit(0).alias("start_hint"), F.lit(0).alias("end_hint"))
+    # edit distances of letters outside ASCII are counted in bytes by some engines
+    c = V.table(s, d, "conversations").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "")).select("conv_id", "turn", F.col("text").alias("code"), F.concat(F.lit("zq "), F.left("text", F.lit(9)), F.lit(" qz")).alias("snippet"), F.lit(0).alias("start_hint"), F.lit(0).alias("end_hint"))
     return N.match_span(c, ["conv_id", "turn"]).where("match_method = 'levenshtein'").select("conv_id", "turn", "start_line", "end_line")
 
 
