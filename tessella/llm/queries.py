@@ -95,8 +95,9 @@ from low left join cov using (rid) left join ids using (rid)"""
 
 OP4 = r"""
 with d as (select row_number() over () rid, doc_id, hex(encode(coalesce(text, ''))) x from documents),
-s as (select rid, i, x[2 * i + 1 : 2 * i + 400] g from d, unnest(range(0, length(x) // 2 - 199)) u(i) where length(x) >= 400),
-g as (select rid, i from (select rid, i, count(*) over (partition by md5(g)) c from s) where c > 1),
+b as (select rid, b, x[2000 * b + 1 : 2000 * b + 2398] y from d, unnest(range(0, length(x) // 2000 + 1)) u(b)),
+s as (select rid, 1000 * b + j i, md5(y[2 * j + 1 : 2 * j + 400]) g from b, unnest(range(0, 1000)) u(j) where length(y) >= 2 * j + 400),
+g as (select rid, i from (select rid, i, count(*) over (partition by g) c from s) where c > 1),
 r as (select rid, i, i > coalesce(max(i) over (partition by rid order by i rows between unbounded preceding and 1 preceding), -1000) + 200 fresh from g),
 t as (select rid, sum(fresh::int) over (partition by rid order by i) k, i from r),
 c as (select rid, k, min(i) a, max(i) + 200 z from t group by all),
