@@ -36,7 +36,7 @@ def feistel(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) ->
 
 
 def sequences(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
-    """part, number, doc_id (the first document in it), n_ids, ids (zlib): each split's documents, end to end, in sequences of `length` ids.
+    """part, number, doc_id (the first document in it), n_ids, ids (unsigned 16 bits each): each split's documents, end to end, in sequences of `length` ids.
 
     The last sequence of a split is filled up with END_ID; n_ids counts the ids before that. Null text is empty: it gives its end id.
     """
@@ -49,7 +49,7 @@ def sequences(docs: DataFrame, length: int = LENGTH, path: str | None = None) ->
         rest, rest_doc = np.zeros(0, np.uint16), None
 
         def out(ids, docs_at, counts, first):
-            raw = [zlib.compress(ids[k * length : (k + 1) * length].astype("<u2").tobytes(), 1) for k in range(len(ids) // length)]
+            raw = [x.tobytes() for x in ids.astype("<u2").reshape(-1, length)]
             n = len(raw)
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(first, first + n)), pa.array(docs_at, pa.int64()), pa.array(counts, pa.int32()), pa.array(raw, pa.binary())],
@@ -98,16 +98,20 @@ def ordered(seqs: DataFrame, key: int = KEY) -> DataFrame:
 def write_shards(seqs: DataFrame, path: str, per_shard: int = PER_SHARD) -> None:
     """Writes shard=k folders of one file each, slots in order."""
 
-    def raw(batches):
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            ids = pa.array([zlib.decompress(x) for x in t.column("ids").to_pylist()], pa.binary())
-            yield from t.set_column(t.schema.get_field_index("ids"), "ids", ids).to_batches()
+    def each(f):
+        def run(batches):
+            for batch in batches:
+                t = pa.Table.from_batches([batch])
+                ids = pa.array([f(x) for x in t.column("ids").to_pylist()], pa.binary())
+                yield from t.set_column(t.schema.get_field_index("ids"), "ids", ids).to_batches()
+
+        return run
 
     d = seqs.select(F.expr(f"cast(slot div {per_shard} as int)").alias("shard"), "slot", "ids")
     n = max(1, (d.agg(F.max("shard")).first()[0] or 0) + 1)
+    d = d.mapInArrow(each(lambda x: zlib.compress(x, 1)), d.schema)
     d = d.repartitionByRange(min(n, max(1, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "shard").sortWithinPartitions("shard", "slot")
-    d = d.mapInArrow(raw, d.schema).select(F.col("ids").cast("string").alias("value"), "shard")
+    d = d.mapInArrow(each(zlib.decompress), d.schema).select(F.col("ids").cast("string").alias("value"), "shard")
     d.write.partitionBy("shard").option("lineSep", chr(END_ID) + "\0").text(path)
 
 
