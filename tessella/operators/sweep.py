@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.blocks import block_features
+from tessella.sources.storage import stored
 
 BINS = 20
 
@@ -18,10 +19,12 @@ def threshold_sweep(pairs: DataFrame, postings: DataFrame, labels: DataFrame, bl
 
     postings: by, path, token_index, feature_id, act > 0 (one row per token and feature). labels: path, token_index, concept (one row per token and
     concept). blocks: concept, path, token_index, block. Thresholds are i * max / (bins - 1); a pair without postings or labels has zeros.
+    Candidates (some tens for each concept) and the postings of their features are stored, so that what finds them runs once.
     exhaustive drops the early stop: without it, a pair stops at the first threshold that isn't better and has lower precision and block recall than the best so far.
     """
     by = list(by or [])
     key = [*by, "concept", "feature_id"]
+    pairs = stored(pairs, "candidates")
     wanted = pairs.select(*key)
     post = postings.join(wanted.select(*by, "feature_id").distinct(), [*by, "feature_id"], "left_semi")
     top = post.groupBy(*by, "feature_id").agg(F.max("act").alias("_max"))
@@ -30,7 +33,8 @@ def threshold_sweep(pairs: DataFrame, postings: DataFrame, labels: DataFrame, bl
     def under(act):  # number of thresholds below act
         return F.size(F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: act > i * step))
 
-    post = post.join(top, [*by, "feature_id"]).withColumn("_k", under(F.col("act")))
+    top = stored(top, "feature-maxima")
+    post = stored(post.join(top, [*by, "feature_id"]).withColumn("_k", under(F.col("act"))), "candidate-postings")
     total = post.groupBy(*by, "feature_id", "_k").agg(F.count("*").alias("_pp"))
     on = post.join(labels.select("path", "token_index", "concept"), ["path", "token_index"]).join(wanted, key, "left_semi")
     true = on.groupBy(*key, "_k").agg(F.count("*").alias("_tp"))
