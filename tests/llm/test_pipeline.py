@@ -44,3 +44,16 @@ def test_stages(spark, sf):
 def test_run(spark, sf):
     d = corpus_pipeline.run(spark, sf)
     assert d.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(d.columns)
+
+
+def test_odd_documents(spark, sf):
+    """Nulls, repeated rows, long texts, clashing columns, and no rows."""
+    from test_operators import ODD, clashing, frame
+
+    d = clashing(spark).withColumn("predicted", F.lit(9)).withColumn("contaminated", F.lit(True))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, sf)
+        assert name == "packing" or out.columns == d.columns
+        ids = [r["doc_id"] for r in out.collect()]
+        assert {1, 2, 3, 8, None} <= set(ids) and (name == "near_dedup" or len(ids) >= len(ODD))
+        assert stage(spark, frame(spark, []), sf).count() == 0
