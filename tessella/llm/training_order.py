@@ -107,12 +107,20 @@ def write_shards(seqs: DataFrame, path: str, per_shard: int = PER_SHARD) -> None
 
         return run
 
+    spark, small = seqs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     d = seqs.select(F.expr(f"cast(slot div {per_shard} as int)").alias("shard"), "slot", "ids")
-    n = max(1, (d.agg(F.max("shard")).first()[0] or 0) + 1)
+    n = (seqs.drop("ids").agg(F.max("slot")).first()[0] or 0) // per_shard + 1
+    parts = min(n, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     d = d.mapInArrow(each(lambda x: zlib.compress(x, 1)), d.schema)
-    d = d.repartitionByRange(min(n, max(1, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "shard").sortWithinPartitions("shard", "slot")
+    # slots are known to be 0 .. total: ranges of shards need no sample
+    d = d.repartitionById(parts, F.expr(f"cast(shard * {parts}L div {n}L as int)")).sortWithinPartitions("shard", "slot")
     d = d.mapInArrow(each(zlib.decompress), d.schema).select(F.col("ids").cast("string").alias("value"), "shard")
-    d.write.partitionBy("shard").option("lineSep", chr(END_ID) + "\0").text(path)
+    before = spark.conf.get(small)
+    spark.conf.set(small, 1000)  # two megabytes of sequences at once
+    try:
+        d.write.partitionBy("shard").option("lineSep", chr(END_ID) + "\0").text(path)
+    finally:
+        spark.conf.set(small, before)
 
 
 def read_slots(spark: SparkSession, path: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
@@ -136,8 +144,9 @@ def read_slots(spark: SparkSession, path: str, length: int = LENGTH, per_shard:
 def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
     """Writes the shards into the shared folder and returns, per sequence, slot, shard, index, doc_id, n_ids, and the crc32 of the ids read back."""
     spark = docs.sparkSession
-    seqs = ordered(stored(sequences(docs, length), "sequences"), key)
+    base = stored(sequences(docs, length), "sequences")
     path = shared_path(spark, "shards")
-    write_shards(seqs, path, per_shard)
+    write_shards(ordered(base, key), path, per_shard)
+    seqs = ordered(base.drop("ids"), key)
     back = read_slots(spark, path, length, per_shard).select(F.col("slot").alias("_slot"), F.crc32("ids").alias("ids_crc32"))
-    return seqs.drop("ids", "part", "number").join(back, F.col("slot") == F.col("_slot")).select("slot", F.expr(f"slot div {per_shard}").alias("shard"), "index", "doc_id", "n_ids", "ids_crc32")
+    return seqs.drop("part", "number").join(back, F.col("slot") == F.col("_slot")).select("slot", F.expr(f"slot div {per_shard}").alias("shard"), "index", "doc_id", "n_ids", "ids_crc32")
