@@ -367,6 +367,18 @@ def levenshtein(s, d):
     return t.join(t.select(F.col("l").alias("r"), F.col("a").alias("b")), F.col("l") < F.col("r")).select("l", "r", F.levenshtein("a", "b").alias("distance"))
 
 
+def bytewise(table: str) -> str:
+    """Relation x (f, g): the characters of the table's texts that aren't printable ASCII or white space, and a control character for each. DuckDB's edit distance counts bytes; an error if there are more than 22."""
+    return rf"""x as (select f, case when length(f) > 22 then error('more characters than stand-ins') else left((select string_agg(chr(i::int), '' order by i) from (select unnest(range(1, 9) || range(14, 28)) i)), length(f)) end g
+from (select coalesce(string_agg(distinct c, '' order by c), '') f from (select unnest(string_split(regexp_replace(text, '[\x09-\x0D\x1C-\x7F]', '', 'g'), '')) c from {table}) where c <> ''))"""
+
+
+@query(f"with {bytewise('benchmark')}, t as (select item_id, translate(text, f, g) text from benchmark cross join x) select a.item_id l, b.item_id r, levenshtein(a.text, b.text)::int distance from t a join t b on a.item_id < b.item_id")
+def levenshtein_whole(s, d):
+    t = V.table(s, d, "benchmark").select(F.col("item_id").alias("l"), F.col("text").alias("a"))
+    return t.join(t.select(F.col("l").alias("r"), F.col("a").alias("b")), F.col("l") < F.col("r")).select("l", "r", F.levenshtein("a", "b").alias("distance"))
+
+
 @query(r"select doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) text from documents")
 def normalize_text(s, d):
     return V.table(s, d, "documents").select("doc_id", X.normalize_text(F.coalesce("text", F.lit(""))).alias("text"))
@@ -413,6 +425,16 @@ def match_span_fuzzy(s, d):
     return N.match_span(c, ["conv_id", "turn"]).where("match_method = 'levenshtein'").select("conv_id", "turn", "start_line", "end_line")
 
 
+@query(rf"""with {bytewise('conversations')}, p as (select conv_id, turn, translate(text, f, g) text from conversations cross join x), c as (select *, 'zq ' || left(text, 9) || ' qz' q, split(text, chr(10)) ls from p),
+w as (select conv_id, turn, q, a, k, array_to_string(ls[a : a + k - 1], chr(10)) r from c, unnest(range(1, len(ls) + 1)) x(a), unnest(range(1, least(15, len(ls) - a + 1) + 1)) y(k)),
+v as (select *, levenshtein(trim(regexp_replace(r, '\s+', ' ', 'g')), trim(regexp_replace(q, '\s+', ' ', 'g'))) cost from w),
+g as (select conv_id, turn, first(a order by cost, abs(a - 1), k, a) a, first(k order by cost, abs(a - 1), k, a) k, bool_or(contains(r, q) or contains(q, r)) exact from v group by all)
+select conv_id, turn, a::int start_line, (a + k - 1)::int end_line from g where not exact""")
+def match_span_fuzzy_whole(s, d):
+    c = V.table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("code"), F.concat(F.lit("zq "), F.left("text", F.lit(9)), F.lit(" qz")).alias("snippet"), F.lit(0).alias("start_hint"), F.lit(0).alias("end_hint"))
+    return N.match_span(c, ["conv_id", "turn"]).where("match_method = 'levenshtein'").select("conv_id", "turn", "start_line", "end_line")
+
+
 @query("select conv_id, role, turn // 2 start_line, string_agg(turn, ',' order by turn) turns, min(turn)::varchar match_method from conversations group by all")
 def span_merge(s, d):
     c = V.table(s, d, "conversations").select("conv_id", "role", F.expr("turn div 2").alias("start_line"), F.expr("turn div 2").alias("end_line"), F.lit("x").alias("text"), F.col("turn").cast("string").alias("match_method"), F.array(F.col("turn").cast("string")).alias("annotations"), F.col("turn").alias("ordinal"))
