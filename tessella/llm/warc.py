@@ -69,11 +69,11 @@ def gzip_members(records: list[bytes]) -> bytes:
 
 
 def _parse(data: bytes, at: int) -> tuple[dict, int]:
-    """The record at `at` and the place after it; raises ValueError if a check fails."""
+    """The record at `at` and the place after it; raises ValueError if a check fails. Its header may have any length, up to the next version line."""
     if not data.startswith(VERSION, at):
         raise ValueError("no version line")
-    head_end = data.find(END, at, at + (1 << 16))
-    if head_end < 0:
+    head_end = data.find(END, at)
+    if head_end < 0 or data.find(b"\n" + VERSION, at, head_end) >= 0:
         raise ValueError("unfinished header")
     head = {}
     for row in data[at:head_end].split(b"\r\n")[1:]:

@@ -199,6 +199,15 @@ def test_warc_salvage(spark):
     assert list(warc.salvage(b"")) == [] and [k for k, _ in warc.salvage(b"junk")] == ["gap"]
 
 
+def test_warc_long_header(spark):
+    url = "http://a/?WARC/1.1&" + "q" * 120_000
+    p = spark.createDataFrame([(1, url, "<p>" + "x" * 100), (2, "u", "<p>" + "x" * 100), (3, url, None)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.warc_round_trip(p).collect()) == [(1, 103, "response", None), (2, 103, "revisit", 1), (3, 0, "response", None)]
+    whole = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 1\r\n\r\n1" + warc.END
+    out = list(warc.salvage(b"WARC/1.1\r\nWARC-Refers-To: 7\r\n" + whole))
+    assert [k for k, _ in out] == ["gap", "record"] and "warc-refers-to" not in out[1][1]["head"]
+
+
 def test_training_order(spark):
     for n in (1, 2, 5, 100, 257):
         assert sorted(training_order.feistel(np.arange(n), n).tolist()) == list(range(n))
