@@ -43,10 +43,15 @@ def tree_labels(tokens: DataFrame, tree: DataFrame) -> DataFrame:
     return tokens.join(hit, ["path", "token_index"], "left").withColumn("concepts", F.coalesce(F.transform("_n", lambda n: n["type"]), F.array().cast("array<string>"))).drop("_n")
 
 
-def deepest_node(spans: DataFrame, tree: DataFrame) -> DataFrame:
-    """spans (path, span_id, span_start, span_end) with node_type: that of the smallest named node containing the span (of equal ones the last in pre-order); null if none does."""
+def deepest_node(spans: DataFrame, tree: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """spans (path, span_id, span_start, span_end) with node_type: that of the smallest named node containing the span (of equal ones the last in pre-order); null if none does.
+
+    Both sides are dealt to buckets of the path, a span to that of its start, and a node, with its end, to all that it covers.
+    """
     nodes = tree.where("is_named").select("path", "preorder", "type", F.col("start_byte").alias("_ns"), F.col("end_byte").alias("_ne"))
-    d = spans.join(nodes, "path").where((F.col("_ns") <= F.col("span_start")) & (F.col("_ne") >= F.col("span_end")))
+    # an empty span may lie at a node's very end
+    nodes = nodes.withColumn("_bucket", F.explode(_buckets(F.col("_ns"), F.col("_ne") + 1, bucket)))
+    d = spans.withColumn("_bucket", F.floor(F.col("span_start") / bucket).cast("long")).join(nodes, ["path", "_bucket"]).where((F.col("_ns") <= F.col("span_start")) & (F.col("_ne") >= F.col("span_end")))
     d = d.groupBy("path", "span_id").agg(F.max_by("type", F.struct((F.col("_ns") - F.col("_ne")).alias("w"), "preorder")).alias("node_type"))
     return spans.join(d, ["path", "span_id"], "left")
 

@@ -153,6 +153,18 @@ def ordered_metrics(s, d):
     return m.withColumn("k", F.row_number().over(Window.partitionBy("concept").orderBy(*key[1:]))).join(heads, "concept").select("concept", "feature_id", (F.col("k") + F.col("head")).cast("int").alias("place"))
 
 
+@query(f"""{MET} select layer, concept, feature_id, (row_number() over (partition by layer order by concept, pmi desc, "precision" desc, recall desc, f1 desc, count_joint desc, feature_id))::int place from m""")
+def ordered_metrics_whole(s, d):
+    from pyspark.sql import Window
+
+    # each layer has its own pair table and order
+    m = M.ordered_metrics(_pairs(s, d))
+    key = [*(F.desc(c) for c in ("pmi", "precision", "recall", "f1", "count_joint")), "feature_id"]
+    first = m.groupBy("layer", "concept").agg(F.count("*").alias("n"))
+    heads = first.join(first.select("layer", F.col("concept").alias("c2"), F.col("n").alias("n2")), "layer").groupBy("layer", "concept").agg(F.coalesce(F.sum(F.when(F.col("c2") < F.col("concept"), F.col("n2"))), F.lit(0)).alias("head"))
+    return m.withColumn("k", F.row_number().over(Window.partitionBy("layer", "concept").orderBy(*key))).join(heads, ["layer", "concept"]).select("layer", "concept", "feature_id", (F.col("k") + F.col("head")).cast("int").alias("place"))
+
+
 EVT = """with ev as (select user_id::varchar path, (row_number() over (partition by user_id order by ts, event_id) - 1)::int token_index, event_type concept, value act, (props->>'$.k')::int feature_id from events),
 con as (select path, token_index, concept from ev), """ + BLK
 
@@ -296,6 +308,12 @@ def deepest_node(s, d):
     return S.deepest_node(sp, _tree(s, d)).groupBy("path", "node_type").agg(F.count("*").alias("n"), F.sum("span_id").alias("total"))
 
 
+@query(f"{TRE}, h as (select tk.path, tk.token_index, first(type order by z - a, preorder desc) node_type from (select path, token_index, ba, bz from tk) tk join tre on tre.path = tk.path and tre.a <= ba and tre.z >= bz group by all) select tk.path, node_type, count(*) n, sum(token_index)::bigint total from tk left join h using (path, token_index) group by all")
+def deepest_node_whole(s, d):
+    sp = providers.byte_tokens(V.files(s, d)).select("path", F.col("token_index").alias("span_id"), F.col("start_byte").alias("span_start"), F.col("end_byte").alias("span_end"))
+    return S.deepest_node(sp, _tree(s, d)).groupBy("path", "node_type").agg(F.count("*").alias("n"), F.sum("span_id").alias("total"))
+
+
 @query("""with a as (select conv_id, turn, role, left(text, 1) l from conversations), r as (select *, row_number() over (partition by conv_id, role, l order by turn) k from a)
 select conv_id, string_agg(role || l, ',' order by turn) labels, string_agg(turn, ',' order by turn) turns from r where k = 1 group by conv_id""")
 def annotation_dedup(s, d):
@@ -329,6 +347,14 @@ def token_labels_graph(s, d):
     return t.groupBy("path", "line").agg(F.count("*").alias("n"), F.sum("token_index").alias("total"))
 
 
+@query(f"{TOK} select tk.path, line, count(*) n, sum(token_index)::bigint total from tk join (select path, line::int line, line_start, line_end from lin) l on l.path = tk.path and z > line_start and a < line_end group by all")
+def token_labels_graph_whole(s, d):
+    f = V.files(s, d)
+    g = S.line_table(f).select(F.lit("g").alias("concept"), "path", F.lit("v").alias("variable_name"), "line", F.lit(1).alias("column"), F.lit("").alias("code"), F.col("line_start").alias("span_start"), F.col("line_end").alias("span_end"), F.lit(None).cast("int").alias("num_writes"))
+    t = S.build_token_labels("graph", g, f, providers.tokens(f), filter_space_tokens=False)
+    return t.groupBy("path", "line").agg(F.count("*").alias("n"), F.sum("token_index").alias("total"))
+
+
 @query("select doc_id, strlen(left(coalesce(text, ''), (doc_id * 7 % 500)::bigint))::int bytes from documents")
 def char_to_byte(s, d):
     return V.table(s, d, "documents").select("doc_id", X.char_to_byte(F.coalesce("text", F.lit("")), (F.col("doc_id") * 7 % 500).cast("int")).alias("bytes"))

@@ -1,7 +1,11 @@
 """Queries over the whole of their input, on tables small enough for brute force."""
 
+import random
+
+import pytest
 from test_text_spans import edit
 
+from tessella.operators import spans as S
 from tessella.plans.catalog import QUERIES
 
 
@@ -22,3 +26,34 @@ def test_match_span_fuzzy(spark, tmp_path):
     assert cost[1] < min(cost[0], cost[2])
     assert [(r.start_line, r.end_line) for r in QUERIES["match_span_fuzzy_whole"](spark, str(tmp_path)).collect()] == [(1, 1)]
     assert QUERIES["match_span_fuzzy"](spark, str(tmp_path)).count() == 0
+
+
+def documents(spark, tmp_path, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' lang").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("bucket", [3, 1024])
+def test_deepest_node(spark, bucket):
+    rng = random.Random(bucket)
+    nodes = [(a := rng.randrange(60), a + rng.choice((0, 1, 6, 12, 40))) for _ in range(60)]
+    spans = [(a := rng.randrange(70), a + rng.randrange(4)) for _ in range(80)] + [(z, z) for _, z in nodes]
+    tree = spark.createDataFrame([("p", i, f"n{i}", True, a, z) for i, (a, z) in enumerate(nodes)], "path string, preorder int, type string, is_named boolean, start_byte int, end_byte int")
+    sp = spark.createDataFrame([("p", i, a, z) for i, (a, z) in enumerate(spans)], "path string, span_id int, span_start int, span_end int")
+    got = {r.span_id: r.node_type for r in S.deepest_node(sp, tree, bucket=bucket).collect()}
+    inside = [[(z - a, -i) for i, (a, z) in enumerate(nodes) if a <= s and z >= e] for s, e in spans]
+    assert got == {i: f"n{-min(x)[1]}" if x else None for i, x in enumerate(inside)}
+
+
+def test_all_tokens_and_lines(spark, tmp_path):
+    d = documents(spark, tmp_path, ["a b\n" * 4])
+    # tokens: a, space, b, line end, four times; a line end lies in no line's node
+    assert {(r.node_type, r.n, r.total) for r in QUERIES["deepest_node_whole"](spark, d).collect()} == {("l0", 6, 42), ("l1", 3, 15), ("l2", 3, 27), ("doc", 4, 36)}
+    assert {(r.line, r.n, r.total) for r in QUERIES["token_labels_graph_whole"](spark, d).collect()} == {(1, 4, 6), (2, 4, 22), (3, 4, 38), (4, 4, 54)}
+
+
+def test_all_layers(spark, sf):
+    places = {}
+    for r in QUERIES["ordered_metrics_whole"](spark, sf).collect():
+        places.setdefault(r.layer, []).append(r.place)
+    assert sorted(places) == [0, 1] and all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values())
