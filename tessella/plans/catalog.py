@@ -360,6 +360,13 @@ def char_to_byte(s, d):
     return V.table(s, d, "documents").select("doc_id", X.char_to_byte(F.coalesce("text", F.lit("")), (F.col("doc_id") * 7 % 500).cast("int")).alias("bytes"))
 
 
+@query("select doc_id, k::int k, strlen(left(coalesce(text, ''), (k * length(coalesce(text, '')) // 10)::bigint))::int bytes from documents, unnest(range(11)) u(k)")
+def char_to_byte_whole(s, d):
+    x = V.table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda k: F.struct(k.alias("k"), X.char_to_byte(F.col("text"), F.floor(F.length("text").cast("long") * k / 10).cast("int")).alias("bytes")))
+    return x.select("doc_id", F.inline(at))
+
+
 @query("select doc_id, replace(replace(left(text, 12), ' ', '▁'), 'e', '▁') token from documents where replace(replace(replace(left(text, (doc_id % 3)::bigint), ' ', '▁'), 'e', '▁'), '▁', '') <> ''")
 def space_filter(s, d):
     marks = lambda c: F.replace(F.replace(c, F.lit(" "), F.lit("▁")), F.lit("e"), F.lit("▁"))
@@ -367,6 +374,12 @@ def space_filter(s, d):
     return x.where(~X.is_space_token(F.col("_p"))).drop("_p")
 
 
+@query(f"{TOK}, m as (select path, token_index, replace(replace(token, ' ', '▁'), 'e', '▁') token from tk) select path, count(*) n, sum(token_index)::bigint total, sum(length(token))::bigint chars from m where replace(token, '▁', '') <> '' group by path")
+def space_filter_whole(s, d):
+    x = providers.tokens(V.files(s, d)).withColumn("token", F.replace(F.replace("token", F.lit(" "), F.lit("▁")), F.lit("e"), F.lit("▁")))
+    return x.where(~X.is_space_token(F.col("token"))).groupBy("path").agg(F.count("*").alias("n"), F.sum("token_index").alias("total"), F.sum(F.length("token")).alias("chars"))
+
+
 @query("select doc_id from documents where lang in ('en', 'de') and length(text) - length(replace(text, chr(10), '')) between 2 and 30 order by doc_id limit 150")
 def corpus_filter(s, d):
     x = V.table(s, d, "documents").select("doc_id", F.col("lang").alias("language"), F.col("text").alias("code"), F.col("doc_id").alias("ordinal"))

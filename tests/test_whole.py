@@ -57,3 +57,14 @@ def test_all_layers(spark, sf):
     for r in QUERIES["ordered_metrics_whole"](spark, sf).collect():
         places.setdefault(r.layer, []).append(r.place)
     assert sorted(places) == [0, 1] and all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values())
+
+
+def test_blank_tokens_and_places(spark, tmp_path):
+    text = "ab e  ee\nc"
+    long = "é" * 700 + "x" * 300
+    d = documents(spark, tmp_path, [text, long, None])
+    # tokens: ab, space, e, spaces, ee, line end, c; those of long are single é and one run of x
+    got = {r.path: (r.n, r.total, r.chars) for r in QUERIES["space_filter_whole"](spark, d).collect()}
+    assert got == {"/c/en/0.txt": (3, 0 + 5 + 6, 4), "/c/en/1.txt": (701, sum(range(701)), 1000)}
+    got = {(r.doc_id, r.k): r.bytes for r in QUERIES["char_to_byte_whole"](spark, d).collect()}
+    assert got == {(i, k): len(x[: k * len(x) // 10].encode()) for i, x in enumerate((text, long, "")) for k in range(11)}
