@@ -18,6 +18,9 @@ FILE_BYTES = 32 << 20
 #: Rows of the table of repeated payloads that may be broadcast (about 100 bytes each).
 BROADCAST_ROWS = 100_000
 END, VERSION, GZIP = b"\r\n\r\n", b"WARC/1.", b"\x1f\x8b\x08"
+UNFINISHED = "gzip: unfinished member"
+#: Compressed bytes that are read at a time.
+STEP = 1 << 14
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -92,30 +95,72 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
     kind, want = head.get("warc-type"), head.get("warc-payload-digest", "").removeprefix("sha256:")
     if kind == "response" and want and hashlib.sha256(payload).hexdigest() != want:
         raise ValueError("payload digest differs")
-    return {"head": head, "type": kind, "payload": payload}, end + 4
+    return {"head": head, "type": kind, "payload": payload, "checked": kind == "response" and bool(want)}, end + 4
+
+
+def _inflate(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """The bytes of the gzip member at `at`, up to the place where it ends or fails; the place after it, or None and a reason."""
+    z, out, k = zlib.decompressobj(31), [], at
+    while k < len(data) and not z.eof:
+        before = z.copy()
+        try:
+            out.append(z.decompress(data[k : k + STEP]))
+        except zlib.error as e:
+            try:
+                for b in range(k, k + STEP):
+                    out.append(before.decompress(data[b : b + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), None, f"gzip: {e}"
+        k += STEP
+    if not z.eof:
+        return b"".join(out), None, UNFINISHED
+    return b"".join(out), min(k, len(data)) - len(z.unused_data), ""
+
+
+def _inside(inner: bytes, damaged: bool) -> tuple[list[dict], list[tuple[int, int, str]]]:
+    """Records in a member's bytes, and the gaps between. Of a member that zlib finds damaged, only records whose payload digest was checked."""
+    found, gaps, at, bad, why = [], [], 0, None, ""
+    while at < len(inner):
+        try:
+            got, nxt = _parse(inner, at)
+            if damaged and not got["checked"]:
+                raise ValueError("no digest to check")
+        except ValueError as e:
+            if bad is None:
+                bad, why = at, str(e)
+            at = inner.find(VERSION, at + 1)
+            at = at if at >= 0 else len(inner)
+            continue
+        if bad is not None:
+            gaps.append((bad, at, why))
+            bad = None
+        found.append(got)
+        at = nxt
+    if bad is not None:
+        gaps.append((bad, len(inner), why))
+    return found, gaps
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, object]]:
     """("record", dict) for each valid record, ("gap", (start, end, reason)) for each quarantined run of bytes.
 
-    After a failed check the search goes on at the next gzip member or version line from which a whole record can be read.
+    After a failed check the search goes on at the next gzip member or version line from which a whole record can be read, inside a gzip member too: a gap there has the
+    bytes of its member, and its place inside in the reason.
     """
     at, n, bad, why = 0, len(data), None, ""
     while at < n:
+        gaps = []
         try:
             if data.startswith(GZIP, at):
-                z = zlib.decompressobj(31)
-                try:
-                    inner = z.decompress(data[at:])
-                except zlib.error as e:
-                    raise ValueError(f"gzip: {e}") from None
-                if not z.eof:
-                    raise ValueError("gzip: unfinished member")
-                found, used = [], 0
-                while used < len(inner):
-                    got, used = _parse(inner, used)
-                    found.append(got)
-                nxt = n - len(z.unused_data)
+                inner, nxt, wrong = _inflate(data, at)
+                found, gaps = _inside(inner, nxt is None and wrong != UNFINISHED)
+                if nxt is None:
+                    for got in found:
+                        yield "record", got
+                    raise ValueError(f"{wrong}, inside: {gaps[0][0] if gaps else len(inner)} to {len(inner)}")
+                if gaps and not found:
+                    raise ValueError(gaps[0][2])
             else:
                 got, nxt = _parse(data, at)
                 found = [got]
@@ -130,6 +175,8 @@ def salvage(data: bytes) -> Iterator[tuple[str, object]]:
             bad = None
         for got in found:
             yield "record", got
+        for a, z, reason in gaps:
+            yield "gap", (at, nxt, f"{reason}, inside: {a} to {z}")
         at = nxt
     if bad is not None:
         yield "gap", (bad, n, why)

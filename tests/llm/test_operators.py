@@ -1,5 +1,7 @@
 """The ten operators: contracts against brute force or SQL, and nulls, ties, repeats, empty tables, long texts and clashing columns."""
 
+import gzip
+import hashlib
 import os
 import sys
 import zlib
@@ -208,6 +210,27 @@ def test_warc_long_header(spark):
     assert [k for k, _ in out] == ["gap", "record"] and "warc-refers-to" not in out[1][1]["head"]
 
 
+def test_warc_one_member():
+    def rec(i, body):
+        return b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-Id: %d\r\nWARC-Payload-Digest: sha256:%s\r\nContent-Length: %d\r\n\r\n%s" % (i, hashlib.sha256(body).hexdigest().encode(), len(body), body)
+
+    rng = np.random.default_rng(3)
+    good = [rec(i, rng.bytes(30_000)) for i in range(4)]
+    one = lambda records: gzip.compress(b"".join(r + warc.END for r in records))
+    ids = lambda data: [int(x["head"]["x-page-id"]) for k, x in warc.salvage(data) if k == "record"]
+    gaps = lambda data: [x for k, x in warc.salvage(data) if k == "gap"]
+    whole, hurt = one(good), one([good[0], good[1][:-1] + b"?!", good[2], good[3]])
+    assert ids(whole) == [0, 1, 2, 3] and gaps(whole) == []
+    assert ids(hurt) == [0, 2, 3] and len(gaps(hurt)) == 1 and gaps(hurt)[0][:2] == (0, len(hurt)) and f"inside: {len(good[0]) + 4} to" in gaps(hurt)[0][2]
+    cut = whole[: len(whole) * 5 // 8]
+    assert ids(cut) == [0, 1] and gaps(cut)[0][:2] == (0, len(cut)) and "unfinished member, inside" in gaps(cut)[0][2]
+    # damaged bytes that still inflate: the member's own check fails, and only records with a digest are taken
+    flip = len(whole) * 3 // 8
+    damaged = whole[:flip] + bytes([whole[flip] ^ 1]) + whole[flip + 1 :]
+    assert ids(damaged) == [0, 2, 3] and len(gaps(damaged)) == 1
+    assert ids(cut + whole) == [0, 1, 0, 1, 2, 3]
+
+
 def test_training_order(spark):
     for n in (1, 2, 5, 100, 257):
         assert sorted(training_order.feistel(np.arange(n), n).tolist()) == list(range(n))
