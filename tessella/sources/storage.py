@@ -11,9 +11,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or one temporary folder of our own where that is unset (tests)."""
+    """spark.checkpoint.dir. Unset, a temporary folder of our own serves local mode (tests); a cluster gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or _OWN.setdefault("dir", tempfile.mkdtemp(prefix="tessella-"))
+    if found:
+        return found
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _OWN.get("dir") or _OWN.setdefault("dir", tempfile.mkdtemp(prefix="tessella-"))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
