@@ -17,6 +17,8 @@ COMMON = (
 )
 MAX_CHAR_JSD, MAX_WORD_JSD = 0.28, 0.40
 MIN_CHARS, MIN_WORDS = 200, 50
+#: Languages whose references may be broadcast (about 500 bytes each), and the salts that documents of one language are dealt to beyond.
+LANGUAGES, SALTS = 20_000, 64
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -79,15 +81,25 @@ def references(counts: DataFrame) -> DataFrame:
     return counts.groupBy(F.col("lang").alias("_lang")).agg(*sums).select("_lang", F.array(*(f"c{i}" for i in range(n))).alias("_rc"), F.array(*(f"w{i}" for i in range(m))).alias("_rw"))
 
 
-def quality_rules(docs: DataFrame, max_char: float = MAX_CHAR_JSD, max_word: float = MAX_WORD_JSD, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
+def with_references(counts: DataFrame, languages: int = LANGUAGES) -> DataFrame:
+    """counts with the references of their language. Up to `languages` of these are broadcast, so no document moves; beyond, each language's documents are dealt to SALTS."""
+    ref = stored(references(counts), "language-references")
+    same = F.col("lang").eqNullSafe(F.col("_lang"))
+    if ref.limit(languages + 1).count() <= languages:
+        return counts.join(F.broadcast(ref), same)
+    dealt = counts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "char_hist"), F.lit(SALTS)))
+    ref = ref.withColumn("_salted", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(ref.hint("shuffle_hash"), same & (F.col("_salt") == F.col("_salted"))).drop("_salt", "_salted")
+
+
+def quality_rules(docs: DataFrame, max_char: float = MAX_CHAR_JSD, max_word: float = MAX_WORD_JSD, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, languages: int = LANGUAGES) -> DataFrame:
     """Base counts, distances to the document's language reference, and the verdict, for every row of docs (doc_id, text, lang).
 
     Distances are judged only from min_chars characters and min_words words on: shorter texts pass the method (base rules still hold).
     Null or empty text: all counts 0, base_failed. Repeated rows give repeated results; null lang is a language of its own; other columns are ignored.
     """
     counts = stored(text_counts(docs), "quality-counts")
-    ref = references(counts)
-    d = counts.join(ref, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    d = with_references(counts, languages)
     d = d.withColumns({"char_jsd": js_distance(F.col("char_hist"), F.col("_rc")), "word_jsd": js_distance(F.col("word_hist"), F.col("_rw"))})
     n_chars = F.aggregate("char_hist", F.lit(0.0), lambda a, b: a + b)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
