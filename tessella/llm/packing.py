@@ -14,31 +14,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import bytesops as B
-from tessella.llm.shared import plus, stored
+from tessella.llm.shared import plus, small, stored
 from tessella.llm.tokens import default_path, word_bpe
 
 LIMIT = 4096
 #: Bins of the pattern fit; patterns have up to PARTS documents and leave at most SLACK bins empty.
 BINS, PARTS, SLACK = 64, 4, 1
-#: Ranks within a length are counted in this many salts, so a frequent length is not one task's.
-SALTS = 32
+#: Ranks within a length are counted in salts, so that a frequent length is not one task's: SALTS of them, and more where they would hold over SALT_ROWS pieces.
+SALTS, SALT_ROWS = 32, 20_000
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Non-negative least squares by Lawson and Hanson's active sets."""
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Non-negative least squares by Lawson and Hanson's active sets, up to the optimum: each round that moves lowers the residual, so it ends."""
     n = a.shape[1]
-    x, free = np.zeros(n), np.zeros(n, bool)
-    ata, atb = a.T @ a, a.T @ b
-    eps = 1e-9 * max(1.0, np.abs(atb).max(initial=0))
-    for _ in range(rounds):
-        grad = np.where(free, -np.inf, atb - ata @ x)
-        j = int(np.argmax(grad))
-        if grad[j] <= eps:
-            break
+    x, free, shut = np.zeros(n), np.zeros(n, bool), np.zeros(n, bool)
+    eps = 1e-9 * max(1.0, np.abs(a.T @ b).max(initial=0))
+    while True:
+        grad = np.where(free | shut, -np.inf, a.T @ (b - a @ x))
+        j = int(np.argmax(grad)) if n else 0
+        if not n or grad[j] <= eps:
+            return x
         free[j] = True
         while True:
             idx = np.flatnonzero(free)
-            z = np.linalg.lstsq(ata[np.ix_(idx, idx)], atb[idx], rcond=None)[0]
+            z = np.linalg.lstsq(a[:, idx], b, rcond=None)[0]
             if (z > 0).all():
                 x[:] = 0
                 x[idx] = z
@@ -49,7 +48,9 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
             gone = idx[neg & (x[idx] <= eps * 1e-3)]
             free[gone if len(gone) else idx[neg][:1]] = False
             x[~free] = 0
-    return x
+        # a column that rounding put out again at once waits until another one has moved
+        shut[:] = False if free[j] else shut
+        shut[j] = not free[j]
 
 
 def patterns(bins: int, parts: int, slack: int) -> list[tuple[int, ...]]:
@@ -91,15 +92,10 @@ def plan(histogram: dict[int, int], limit: int = LIMIT) -> tuple[np.ndarray, int
         wanted[bin_of(k)] += v
     pats = [p for p in patterns(bins, PARTS, SLACK) if all(wanted[k] for k in p)]
     if pats:
-        # the columns of the largest shares of the histogram come first where there are more than can be fitted
-        a = np.zeros((bins, len(pats)))
+        a = np.zeros((bins, len(pats)))  # all of them: under 5,000 for 64 bins
         for j, p in enumerate(pats):
             for k in p:
                 a[k - 1, j] += 1
-        if len(pats) > 3000:
-            score = np.array([min(wanted[k] / p.count(k) for k in p) for p in pats])
-            best = np.argsort(-score, kind="stable")[:3000]
-            pats, a = [pats[j] for j in best], a[:, best]
         times = np.floor(nnls(a, wanted[1:]) + 1e-6).astype(np.int64)
         members = {k: sorted((x for x in left if bin_of(x) == k), reverse=True) for k in range(1, bins + 1)}
         for j in np.argsort([-p[0] for p in pats], kind="stable"):
@@ -194,14 +190,16 @@ def pack(parts: DataFrame, limit: int = LIMIT) -> DataFrame:
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     shift = 44
     model = spark.sparkContext.broadcast(((runs[:, 0] << shift) + runs[:, 1], runs))
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    # at most limit rows
+    salts = spark.createDataFrame([(k, max(SALTS, -(-v // SALT_ROWS))) for k, v in hist.items()], "_length long, _salts int")
+    salted = parts.join(F.broadcast(salts), F.col("length") == F.col("_length"), "left").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_salts")).cast("int")).drop("_length", "_salts")
     counts = salted.groupBy("length", "_salt").count()
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     heads = counts.select(F.col("length").alias("_l"), F.col("_salt").alias("_s"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_head"))
     rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = salted.withColumn("_rank", rank.cast("long"))
-    # at most limit * SALTS rows of three numbers
-    ranked = ranked.join(F.broadcast(heads), (F.col("length") == F.col("_l")) & (F.col("_salt") == F.col("_s"))).withColumn("_rank", F.col("_rank") + F.col("_head"))
+    # beyond the bound of a broadcast, heads go to where the window has dealt the pieces
+    ranked = ranked.join(small(stored(heads, "salt-heads")), (F.col("length") == F.col("_l")) & (F.col("_salt") == F.col("_s"))).withColumn("_rank", F.col("_rank") + F.col("_head"))
 
     def place(batches):
         key, runs = model.value
