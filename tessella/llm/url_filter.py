@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import stored
+from tessella.llm.shared import drop, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path prefix)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 BITS_PER_KEY, HASHES = 10, 5
-#: Bits that one level may have (16 MB); a longer list is looked up by a shuffled semi-join instead.
+#: Bits that one level may have (16 MB); a longer list is cut into shards by its keys' hash.
 MAX_BITS = 1 << 27
 URL = r"(?s)://([^/?#]*)([^?#]*)"
 
@@ -58,41 +60,52 @@ class Cascade:
     """Exact membership in `listed` for every key of `universe`, without a join on the probing side.
 
     Level 0 encodes the listed keys; each next level encodes those keys of the other side that the level before wrongly lets
-    through, over the whole key universe, until none is left. Null keys are in neither set. Repeated keys count once.
+    through, over the whole key universe, until none is left. Null keys are in neither set. Repeated keys count once. Keys are dealt by hash to as many shards, each with a
+    cascade of its own, as keep a level within max_bits.
     """
 
     def __init__(self, universe: DataFrame, listed: DataFrame, max_bits: int = MAX_BITS):
         """universe, listed: one column `key`."""
         inside = listed.where("key is not null").distinct()
-        rest = universe.where("key is not null").distinct().join(inside, "key", "left_anti")
-        now, other = stored(inside, "listed"), stored(rest, "unlisted")
-        self.listed, self.levels = now, []
-        self.exact_join = False
-        count = now.count()
+        rest = stored(universe.where("key is not null").distinct().join(inside, "key", "left_anti"), "unlisted")
+        inside = stored(inside, "listed")
+        # a level may take 64 bits more than its keys ask for, and a shard more keys than the mean
+        self.shards = max(1, -(-inside.count() * BITS_PER_KEY * 5 // (4 * max_bits)))
+        if self.shards > 1:
+            inside, rest = (stored(d.withColumn("_shard", self.shard(F.col("key"))), "key-shards", ("_shard",)) for d in (inside, rest))
+        self.levels = [self._levels(*((d.where(F.col("_shard") == k).select("key") if self.shards > 1 else d) for d in (inside, rest))) for k in range(self.shards)]
+
+    def shard(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(self.shards)).cast("int")
+
+    @staticmethod
+    def _levels(now: DataFrame, other: DataFrame) -> list[tuple[DataFrame, int]]:
+        levels, count = [], now.count()
         while count:
-            level, n = len(self.levels), max(64, -(-count * BITS_PER_KEY // 64) * 64)
-            if n > max_bits:
-                self.exact_join = True
-                return
+            level, n = len(levels), max(64, -(-count * BITS_PER_KEY // 64) * 64)
             bits = stored(_encode(now, level, n), f"bloom-{level}")
-            self.levels.append((bits, n))
+            levels.append((bits, n))
             now, other = stored(other.where(_probe(F.col("key"), bits.scalar(), level, n)), f"pass-{level}"), now
             count = now.count()
-
-    def contains(self, key: Column) -> Column:
-        """True for listed keys, false for the universe's others; the first level that lacks the key decides."""
-        out = F.lit(len(self.levels) % 2 == 1)
-        for level in range(len(self.levels) - 1, -1, -1):
-            bits, n = self.levels[level]
+        return levels
+
+    def contains(self, key: Column, shard: int = 0) -> Column:
+        """True for the shard's listed keys, false for the universe's others; the first level that lacks the key decides."""
+        levels = self.levels[shard]
+        out = F.lit(len(levels) % 2 == 1)
+        for level in range(len(levels) - 1, -1, -1):
+            bits, n = levels[level]
             out = F.when(_probe(key, bits.scalar(), level, n), out).otherwise(F.lit(level % 2 == 1))
         return F.coalesce(key.isNotNull() & out, F.lit(False))
 
     def mark(self, df: DataFrame, key: str, name: str) -> DataFrame:
-        """df with the boolean column `name`: by the filters, or by a shuffled join where the list exceeds max_bits."""
-        if not self.exact_join:
+        """df with the boolean column `name`. Of several shards, each is a pass over its own rows, stored, so that one shard's filters are in memory at a time."""
+        if self.shards == 1:
             return df.withColumn(name, self.contains(F.col(key)))
-        found = self.listed.select(F.col("key").alias("_key"), F.lit(True).alias("_in"))
-        return df.join(found, F.col(key) == F.col("_key"), "left").withColumn(name, F.coalesce("_in", F.lit(False))).drop("_key", "_in")
+        dealt = stored(df.withColumn("_shard", self.shard(F.col(key))), "rows-by-shard", ("_shard",))
+        parts = [stored(dealt.where(F.col("_shard") == k).drop("_shard").withColumn(name, self.contains(F.col(key), k)), "marked") for k in range(self.shards)]
+        drop(dealt)
+        return reduce(DataFrame.unionByName, parts)
 
 
 def filter_urls(pages: DataFrame, rules=RULES, listed: DataFrame | None = None, max_bits: int = MAX_BITS) -> DataFrame:
