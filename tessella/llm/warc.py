@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -10,13 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import shared_path, small, stored
+from tessella.llm.shared import shared_path, stored, weighted_join
 
+LOG = logging.getLogger(__name__)
 MIN_REVISIT = 100
 #: Bytes of payload for one archive file, on average over the corpus: files are read whole.
 FILE_BYTES = 32 << 20
-#: Rows of the table of repeated payloads that may be broadcast (about 100 bytes each).
-BROADCAST_ROWS = 100_000
 END, VERSION, GZIP = b"\r\n\r\n", b"WARC/1.", b"\x1f\x8b\x08"
 UNFINISHED = "gzip: unfinished member"
 #: Compressed bytes that are read at a time.
@@ -24,7 +24,7 @@ STEP = 1 << 14
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def decided(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+def decided(pages: DataFrame, min_revisit: int = MIN_REVISIT, broadcast_rows: int | None = None) -> DataFrame:
     """pages (page_id, url, html) with payload, payload_bytes, digest, record_type, refers_to.
 
     Of records with equal payloads of min_revisit bytes or more, the one with the smallest page_id is the response; rows that
@@ -32,9 +32,8 @@ def decided(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """
     d = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     d = d.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.sha2(F.encode("payload", "UTF-8"), 256)})
-    groups = d.where(F.col("payload_bytes") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    groups = stored(groups, "payload-groups")
-    d = d.join(small(groups, BROADCAST_ROWS), "digest", "left")
+    groups = d.where(F.col("payload_bytes") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("n")).where("n > 1")
+    d = weighted_join(d, stored(groups, "payload-groups"), ["digest"], "left", broadcast_rows)
     revisit = F.coalesce((F.col("payload_bytes") >= min_revisit) & (F.col("page_id").isNull() | (F.col("page_id") != F.col("_first"))) & F.col("_first").isNotNull(), F.lit(False))
     return d.select("page_id", "url", "payload", "payload_bytes", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"))
 
@@ -149,6 +148,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, object]]:
     bytes of its member, and its place inside in the reason.
     """
     at, n, bad, why = 0, len(data), None, ""
+    ahead = {GZIP: -1, VERSION: -1}  # the next place of each, so that no bytes are searched twice
     while at < n:
         gaps = []
         try:
@@ -167,8 +167,10 @@ def salvage(data: bytes) -> Iterator[tuple[str, object]]:
         except ValueError as e:
             if bad is None:
                 bad, why = at, str(e)
-            places = [p for p in (data.find(GZIP, at + 1), data.find(VERSION, at + 1)) if p >= 0]
-            at = min(places, default=n)
+            for k, p in ahead.items():
+                if p <= at:
+                    ahead[k] = (data.find(k, at + 1) + n + 1) % (n + 1)  # n if there is none
+            at = min(ahead.values())
             continue
         if bad is not None:
             yield "gap", (bad, at, why)
@@ -186,7 +188,7 @@ SCHEMA = "path string, kind string, page_id long, payload_bytes long, payload_di
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Records (kind 'record') and quarantined gaps (kind 'gap': file, first byte, end, reason) of all archives under path.
+    """Records (kind 'record') and quarantined gaps (kind 'gap': file, first byte, end, reason) of all archives under path, files of up to 2 GB each.
 
     payload_bytes and payload_digest are those of the full payload, for revisits as their record states them. Empty files give no row.
     """
@@ -222,9 +224,26 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     return files.mapInArrow(rows, SCHEMA)
 
 
+def report_gaps(found: DataFrame) -> tuple[int, int]:
+    """Numbers of records and gaps in a stored result of read_warc(); the gaps are logged, by file."""
+    n = {r[0]: r[1] for r in found.groupBy("kind").count().collect()}
+    if n.get("gap"):
+        files = found.where("kind = 'gap'").groupBy("path").agg(F.count("*").alias("gaps"), F.sum(F.col("gap_end") - F.col("gap_start")).alias("bytes"), F.min("reason").alias("reason"))
+        for r in files.orderBy(F.desc("bytes"), "path").limit(100).collect():  # a report of the worst; all are in found
+            LOG.warning("%s: %d gaps of %d bytes quarantined (%s)", r["path"], r["gaps"], r["bytes"], r["reason"])
+    return n.get("record", 0), n.get("gap", 0)
+
+
 def warc_round_trip(pages: DataFrame) -> DataFrame:
-    """Writes pages as archives into the shared folder and returns what the salvage reader finds in them, one row per page."""
+    """Writes pages as archives into the shared folder and returns what the salvage reader finds in them, one row per page.
+
+    Gaps are logged; a page whose record is not found again is an error, never a row left out.
+    """
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_warc(pages, path)
-    return read_warc(spark, path, payloads=False).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = stored(read_warc(spark, path, payloads=False), "warc-records")
+    records, gaps = report_gaps(found)
+    if records != (want := pages.count()):
+        raise RuntimeError(f"{records} records read back of {want} pages, with {gaps} gaps, under {path}")
+    return found.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
