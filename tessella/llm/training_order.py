@@ -7,6 +7,7 @@ A shard file is a run of records of `length` little-endian unsigned 16-bit ids a
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from tessella.llm.shared import plus, shared_path, stored
 from tessella.llm.tokens import END_ID, default_path, word_bpe
 
 LENGTH, PER_SHARD, ROUNDS, KEY = 1024, 4096, 6, 20240229
+#: Bytes of ids that one task sorts into shards.
+TASK_BYTES = 64 << 20
 
 
 def feistel(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -95,32 +98,66 @@ def ordered(seqs: DataFrame, key: int = KEY) -> DataFrame:
     return seqs.mapInArrow(place, plus(seqs.schema, "index long, slot long"))
 
 
-def write_shards(seqs: DataFrame, path: str, per_shard: int = PER_SHARD) -> None:
-    """Writes shard=k folders of one file each, slots in order."""
+def write_shards(seqs: DataFrame, path: str, total: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> None:
+    """Writes shard=k folders of one file each, slots in order, of `total` sequences of `length` ids. A task sorts about TASK_BYTES of whole shards."""
 
     def each(f):
         def run(batches):
             for batch in batches:
-                t = pa.Table.from_batches([batch])
-                ids = pa.array([f(x) for x in t.column("ids").to_pylist()], pa.binary())
-                yield from t.set_column(t.schema.get_field_index("ids"), "ids", ids).to_batches()
+                for k in range(0, batch.num_rows, 1000):  # two megabytes of sequences at once
+                    t = pa.Table.from_batches([batch.slice(k, 1000)])
+                    ids = pa.array([f(x) for x in t.column("ids").to_pylist()], pa.binary())
+                    yield from t.set_column(t.schema.get_field_index("ids"), "ids", ids).to_batches()
 
         return run
 
-    spark, small = seqs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     d = seqs.select(F.expr(f"cast(slot div {per_shard} as int)").alias("shard"), "slot", "ids")
-    n = (seqs.drop("ids").agg(F.max("slot")).first()[0] or 0) // per_shard + 1
-    parts = min(n, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n = max(1, -(-total // per_shard))
+    parts = min(n, max(seqs.sparkSession.sparkContext.defaultParallelism, -(-n * per_shard * 2 * length // TASK_BYTES)))
     d = d.mapInArrow(each(lambda x: zlib.compress(x, 1)), d.schema)
     # slots are known to be 0 .. total: ranges of shards need no sample
     d = d.repartitionById(parts, F.expr(f"cast(shard * {parts}L div {n}L as int)")).sortWithinPartitions("shard", "slot")
     d = d.mapInArrow(each(zlib.decompress), d.schema).select(F.col("ids").cast("string").alias("value"), "shard")
-    before = spark.conf.get(small)
-    spark.conf.set(small, 1000)  # two megabytes of sequences at once
-    try:
-        d.write.partitionBy("shard").option("lineSep", chr(END_ID) + "\0").text(path)
-    finally:
-        spark.conf.set(small, before)
+    d.write.partitionBy("shard").option("lineSep", chr(END_ID) + "\0").text(path)
+
+
+def shard_files(spark: SparkSession, path: str) -> dict[int, str]:
+    """The file of each shard under path, by Spark's file system."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = {}
+    for folder in fs.listStatus(top):
+        name = folder.getPath().getName()
+        if name.startswith("shard="):
+            out[int(name[6:])] = next(p for f in fs.listStatus(folder.getPath()) if (p := f.getPath().toString()).rpartition("/")[2].startswith("part-"))
+    return out
+
+
+def resume(spark: SparkSession, path: str, slot: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD, step: int = 256) -> Iterator[tuple[int, bytes]]:
+    """(slot, ids) of every record from `slot` on, in order: a trainer's sequential read, resumed anywhere.
+
+    The first shard is opened at the record's own byte, (slot mod per_shard) * 2 * (length + 1); nothing before it is read, and at most `step` records are held.
+    """
+    stride, conf = 2 * (length + 1), spark._jsparkSession.sessionState().newHadoopConf()
+    for shard, file in sorted(shard_files(spark, path).items()):
+        if shard < slot // per_shard:
+            continue
+        at = spark._jvm.org.apache.hadoop.fs.Path(file)
+        fs = at.getFileSystem(conf)
+        k = slot - shard * per_shard if shard == slot // per_shard else 0
+        n = fs.getFileStatus(at).getLen() // stride
+        stream = fs.open(at)
+        try:
+            if k < n:
+                stream.seek(k * stride)
+            while k < n:
+                many = min(step, n - k)
+                data = bytes(spark._jvm.org.apache.commons.io.IOUtils.readFully(stream, many * stride))
+                for i in range(many):
+                    yield shard * per_shard + k + i, data[i * stride : (i + 1) * stride - 2]
+                k += many
+        finally:
+            stream.close()
 
 
 def read_slots(spark: SparkSession, path: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
@@ -146,7 +183,7 @@ def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_S
     spark = docs.sparkSession
     base = stored(sequences(docs, length), "sequences")
     path = shared_path(spark, "shards")
-    write_shards(ordered(base, key), path, per_shard)
+    write_shards(ordered(base, key), path, base.count(), length, per_shard)
     seqs = ordered(base.drop("ids"), key)
     back = read_slots(spark, path, length, per_shard).select(F.col("slot").alias("_slot"), F.crc32("ids").alias("ids_crc32"))
     return seqs.drop("part", "number").join(back, F.col("slot") == F.col("_slot")).select("slot", F.expr(f"slot div {per_shard}").alias("shard"), "index", "doc_id", "n_ids", "ids_crc32")
