@@ -98,10 +98,42 @@ def span_hash(pre: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix((pre[e] - pre[s]) * powers(_PINV, len(pre))[s])
 
 
+def hash_spans(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """span_hash() of disjoint spans in order, with prefix sums of about BLOCK bytes at a time, however long buf is."""
+    if len(buf) <= 2 * BLOCK:
+        return span_hash(prefix(buf), s, e)
+    out, i = np.empty(len(s), U), 0
+    while i < len(s):
+        j = max(i + 1, int(np.searchsorted(e, s[i] + BLOCK, "right")))
+        a, z = int(s[i]), int(e[j - 1])
+        if z - a <= 2 * BLOCK:
+            out[i:j] = span_hash(prefix(buf[a:z]), s[i:j] - a, e[i:j] - a)
+        else:  # one span longer than that
+            total = 0
+            for k in range(a, z, BLOCK):
+                total += int(prefix(buf[k : min(k + BLOCK, z)])[-1]) * pow(_P, k - a, 1 << 64)
+            out[i : i + 1] = mix(np.array([total % (1 << 64)], U))
+        i = j
+    return out
+
+
+def cuts(buf: np.ndarray, limit: int = BLOCK) -> list[int]:
+    """0, the places of separators near each multiple of limit, and the end of buf: pieces that cut no word. A longer word stays whole."""
+    gap = np.flatnonzero(~NOT_SPACE[buf])
+    out = [0]
+    while len(buf) - out[-1] > limit:
+        at = np.searchsorted(gap, out[-1] + limit, "right") - 1
+        at = at if at >= 0 and gap[at] > out[-1] else at + 1
+        if at >= len(gap):
+            break
+        out.append(int(gap[at]))
+    return [*out, len(buf)]
+
+
 def word_hashes(buf: np.ndarray, off: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes, starts and ends of words, and each document's first word."""
     s, e, first = spans(mask[buf], off)
-    return span_hash(prefix(buf), s, e), s, e, first
+    return hash_spans(buf, s, e), s, e, first
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:

@@ -49,12 +49,12 @@ def line_features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
         np.cumsum(code == k, out=acc[1:])
         share.append(np.sqrt((acc[end] - acc[start]) / np.maximum(size, 1)))
     s, e, _ = B.spans(B.NOT_SPACE[buf], off)
-    h = B.span_hash(B.prefix(buf), s, e)
+    h = B.hash_spans(buf, s, e)
     again = np.zeros(len(s) + 1, np.int64)
     np.cumsum(np.concatenate([[False], h[1:] == h[:-1]])[: len(s)], out=again[1:])
     lo, hi = np.searchsorted(s, start), np.searchsorted(s, end)
     words = hi - lo
-    line_hash = B.span_hash(B.prefix(buf), start, end)
+    line_hash = B.hash_spans(buf, start, end)
     same = np.zeros(len(size), bool)
     same[1:] = (line_hash[1:] == line_hash[:-1]) & (size[1:] > 0)
     same[first[:-1]] = False

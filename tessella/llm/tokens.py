@@ -94,7 +94,18 @@ class WordBPE:
             self.used += len(got)
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents of a block, each with END_ID after it, and their offsets."""
+        """Ids of all documents of a block, each with END_ID after it, and their offsets.
+
+        A long document is encoded in pieces cut at white space, which no token crosses.
+        """
+        if len(off) == 2 and len(buf) > 2 * B.BLOCK:
+            at = B.cuts(buf)
+            parts = [self._encode(buf[i:j], np.array([0, j - i]))[0][:-1] for i, j in zip(at, at[1:])]
+            ids = np.concatenate([*parts, np.array([END_ID], np.uint16)])
+            return ids, np.array([0, len(ids)])
+        return self._encode(buf, off)
+
+    def _encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(off) - 1
         low = B.lowered(buf).copy()
         code = _CLASS[low]

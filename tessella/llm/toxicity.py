@@ -1,6 +1,7 @@
-"""Toxicity: subword-bag embeddings, averaged over short runs of words, into a linear softmax; embeddings and softmax are trained together in numpy.
+"""Toxicity: bags of subword embeddings, averaged, into a linear softmax; embeddings and softmax are trained together in numpy.
 
-A document scores as its most toxic run of RUN words, so that one insult in a long text is not averaged away.
+A bag is a run of RUN words, at whatever word it starts, and a document scores as its most toxic run, so that one insult in a long text is not averaged away.
+With run = 0 the bag is the whole document.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ MIN_DOCS = 6
 #: Bound of the training sample: rows of each class, and characters of one row.
 SAMPLE = {1: 1200, 0: 1800}
 SAMPLE_CHARS = 6_000
+#: Labelled ids that are looked up for each text of the sample, as some texts are too long.
+OVERSAMPLE = 4
 EPOCHS, RATE, DECAY = 30, 0.0005, 0.0
 
 
@@ -45,7 +48,12 @@ def _grams(buf: np.ndarray, pre: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
 
 
 def word_scores(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean over the grams of each word of table, and each document's first word."""
+    """Mean over the grams of each word of table, and each document's first word. A long document is taken in pieces that cut no word."""
+    if len(off) == 2 and len(buf) > B.BLOCK:
+        at = B.cuts(buf, B.BLOCK // 4)
+        words = np.concatenate([word_scores(buf[i:j], np.array([0, j - i]), table)[0] for i, j in zip(at, at[1:])]) if len(at) > 2 else None
+        if words is not None:
+            return words, np.array([0, len(words)])
     p, start = _padded(buf, off)
     s, e, _ = B.spans(p != 32, np.array([0, len(p)]))
     pre = B.prefix(p)
@@ -61,22 +69,23 @@ def word_scores(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np
     return total / np.maximum(count, 1), np.searchsorted(s, start)
 
 
-def document_logits(words: np.ndarray, first: np.ndarray, bias: float) -> np.ndarray:
-    """Largest mean over the runs of RUN words of each document (a short last run is padded with zeros); bias where there is no word."""
-    n = len(first) - 1
-    out = np.full(n, float(bias))
+def runs_of(first: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, end word and document of all runs: of `run` words from each word that has so many from it on, else of all words of the document."""
     count = np.diff(first)
-    runs = -(-count // RUN)
-    if not runs.sum():
-        return out
-    base = np.repeat(first[:-1], runs)
-    k = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-    lo = base + k * RUN
-    hi = np.minimum(lo + RUN, np.repeat(first[1:], runs))
-    acc = np.concatenate([[0.0], np.cumsum(words)])
-    mean = (acc[hi] - acc[lo]) / RUN
-    full = runs > 0
-    out[full] = np.maximum.reduceat(mean, (np.cumsum(runs) - runs)[full]) + bias
+    many = np.minimum(count, np.maximum(1, count - run + 1) if run else 1)
+    doc = np.repeat(np.arange(len(count)), many)
+    lo = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + first[:-1][doc]
+    return lo, np.minimum(lo + run, first[1:][doc]) if run else first[1:][doc], doc
+
+
+def document_logits(words: np.ndarray, first: np.ndarray, bias: float, run: int = RUN) -> np.ndarray:
+    """Largest mean over the runs of each document; bias where there is no word."""
+    out = np.full(len(first) - 1, float(bias))
+    lo, hi, doc = runs_of(first, run)
+    if len(doc):
+        acc = np.concatenate([[0.0], np.cumsum(words)])
+        head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        out[doc[head]] = np.maximum.reduceat((acc[hi] - acc[lo]) / (hi - lo), head) + bias
     return out
 
 
@@ -106,7 +115,7 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return ids, us, ue, np.frombuffer(b" " + b"".join(w + b" " for w in spelt), np.uint8), np.concatenate(count) if count else np.zeros(0, np.int64)
 
 
-def train(texts: list[str], y: np.ndarray, epochs: int | None = None, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(texts: list[str], y: np.ndarray, epochs: int | None = None, seed: int = 7, run: int = RUN) -> tuple[np.ndarray, float]:
     """Joint gradient descent on embeddings and softmax. Returns each bucket's part of the logit, and the bias."""
     rng = np.random.default_rng(seed)
     size = 1 << BUCKET_BITS
@@ -123,52 +132,63 @@ def train(texts: list[str], y: np.ndarray, epochs: int | None = None, seed: int
         grams.append((h[np.repeat(us - 1 - np.cumsum(many) + many, many) + np.arange(len(w))].astype(np.int32), w))
         per += many
     del pre, h
-    first = np.concatenate([[0], np.cumsum(count)])
-    runs = -(-count // RUN)
-    doc = np.repeat(np.arange(len(texts)), runs)
-    run_of = np.repeat(np.cumsum(runs) - runs, count) + (np.arange(len(ids)) - np.repeat(first[:-1], count)) // RUN
-    run_head = np.searchsorted(run_of, np.arange(len(doc)))
+    per = np.maximum(per, 1)
+    lo, hi, doc = runs_of(np.concatenate([[0], np.cumsum(count)]), run)
+    if not len(doc):
+        return np.zeros(size, np.float32), 0.0
+    head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    length = hi - lo
+    runs = np.bincount(doc, minlength=len(texts))
     word_doc = np.unique(ids * np.int64(len(texts)) + np.repeat(np.arange(len(texts)), count))
     in_docs = np.bincount(word_doc // len(texts), minlength=len(us))
     del word_doc
     known = sum(np.bincount(g, in_docs[w], size) for g, w in grams) >= MIN_DOCS
     grams = [(g[known[g]], w[known[g]]) for g, w in grams]  # the others stay zero
+
+    def spread(value: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Sum, for each distinct word, of the value of every chosen run that holds it."""
+        n = length[which]
+        at = np.repeat(lo[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(ids[at], np.repeat(value, n), len(us))
+
     emb = np.where(known[:, None], rng.normal(0, 0.02, (size, DIM)), 0).astype(np.float32)
     soft = np.zeros((DIM, 2), np.float32)
     soft[:, 1] = rng.choice([-1, 1], DIM) * 0.5
     soft[:, 0] = -soft[:, 1]
     bias = np.zeros(2)
     # a gram's step is its gradient over the mean square of its share of a run: frequent grams don't outweigh telling ones
-    share = (1 / np.maximum(per, 1) / RUN) ** 2 * np.bincount(ids, minlength=len(us))
+    every = np.arange(len(doc))
+    share = spread(1 / length**2, every) / per**2
     square = sum(np.bincount(g, share[w], size) for g, w in grams) / len(doc)
-    scale = (1 / (square + MIN_DOCS / len(doc) * np.median(1 / np.maximum(per, 1) / RUN) ** 2))[:, None].astype(np.float32)
+    scale = (1 / (square + MIN_DOCS / len(doc) * np.median(1 / per) ** 2 / np.median(length) ** 2))[:, None].astype(np.float32)
     speed = [np.zeros_like(emb), np.zeros_like(soft), np.zeros_like(bias)]
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-    last = np.cumsum(runs)[runs > 0] - 1
-    has = np.flatnonzero(runs > 0)
     epochs = epochs or EPOCHS
+    acc = np.zeros((DIM, len(ids) + 1))
     for epoch in range(epochs):
         words = np.zeros((len(us), DIM), np.float32)
         for g, w in grams:
             if len(w):
-                head = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-                words[w[head]] += np.add.reduceat(emb[g], head, axis=0)
-        words /= np.maximum(per, 1)[:, None]
-        mean = np.add.reduceat(words[ids], run_head, axis=0) / RUN
+                first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+                words[w[first]] += np.add.reduceat(emb[g], first, axis=0)
+        words /= per[:, None]
+        for k in range(DIM):
+            np.cumsum(words[ids, k], out=acc[k, 1:])
+        mean = np.stack([(a[hi] - a[lo]) / length for a in acc], 1)
         logit = mean @ soft + bias
         diff = logit[:, 1] - logit[:, 0]
         if epoch < epochs // 4:  # every run of a document, until the grams tell something
-            pick, share = np.arange(len(doc)), 1 / runs[doc]
-        else:  # its most toxic run
-            order = np.lexsort((diff, doc))
-            pick, share = order[last], np.ones(len(has))
+            pick, share = every, 1 / runs[doc]
+        else:  # its most toxic run, the first of equal ones
+            top = np.flatnonzero(diff == np.repeat(np.maximum.reduceat(diff, head), np.diff(np.append(head, len(doc)))))
+            pick = top[np.unique(doc[top], return_index=True)[1]]
+            share = np.ones(len(pick))
         prob = 1 / (1 + np.exp(-diff[pick]))
         g = ((prob - y[doc[pick]]) * weight[doc[pick]] * share).astype(np.float32)
         both = np.stack([-g, g], 1)
-        run_grad = np.zeros((len(doc), DIM), np.float32)
-        run_grad[pick] = both @ soft.T / RUN
+        run_grad = both @ soft.T / length[pick][:, None]
         grad_soft, grad_bias = mean[pick].T @ both, both.sum(0)
-        word_grad = np.stack([np.bincount(ids, run_grad[run_of, k], len(us)) for k in range(DIM)], 1) / np.maximum(per, 1)[:, None]
+        word_grad = np.stack([spread(run_grad[:, k], pick) for k in range(DIM)], 1) / per[:, None]
         grad = np.stack([sum(np.bincount(g, word_grad[w, k], size) for g, w in grams) for k in range(DIM)], 1)
         grad = np.where(known[:, None], grad * scale + DECAY * emb, 0)
         for x, g, v, rate in zip((emb, soft, bias), (grad, grad_soft, grad_bias), speed, (RATE, 0.02, 0.5)):
@@ -178,6 +198,26 @@ def train(texts: list[str], y: np.ndarray, epochs: int | None = None, seed: int
     return (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, sizes: dict[int, int], chars: int) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of a bounded sample outside the held-out fold: of each class c, the sizes[c] texts of lowest hash and of at most chars characters among the OVERSAMPLE * sizes[c] labelled ids of lowest hash.
+
+    Of rows that repeat a doc_id, the least text counts, and of its labels the largest.
+    """
+    lab = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != held))
+    lab = lab.groupBy("doc_id").agg(F.max(label).alias("_y"))
+    chosen = None
+    for c, n in sizes.items():
+        part = lab.where(F.col("_y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(OVERSAMPLE * n)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    rows = docs.select("doc_id", F.col("text").alias("_t")).where(F.col("_t").isNotNull() & (F.length("_t") <= chars)).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_y").agg(F.min("_t").alias("_t"))
+    found = None
+    for c, n in sizes.items():
+        part = rows.where(F.col("_y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        found = part if found is None else found.unionByName(part)
+    got = sorted((r["doc_id"], r["_y"], r["_t"]) for r in found.collect())
+    return [r[2] for r in got], np.array([r[1] for r in got], np.int64)
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, sizes: dict[int, int], chars: int) -> tuple[list[str], np.ndarray]:
     """Texts and labels of a bounded sample: at most sizes[c] labelled rows of class c outside the held-out fold, lowest hash first, of at most chars characters."""
     lab = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != held))
