@@ -1,26 +1,30 @@
 """Benchmark decontamination by a prefix-filtered containment join.
 
-Item windows are cut into shingles; over the whole corpus the shingles of the benchmark are counted, and of each window only the rarest one, its
-necessary prefix token, is looked up in the documents. Where it occurs, length and position bounds say where the window would lie, and the
-window's words are compared there exactly.
+Item windows are cut into shingles; the shingles are counted over the whole corpus, and of each window only the rarest one, its necessary prefix token, is joined with
+the documents: each occurrence of a prefix shingle in a document, with the words around it, meets the windows that have this prefix. Length and position bounds say
+where the window would lie there, and its words are compared exactly. Windows, counts, occurrences and hits are tables of their own; the driver holds bitmaps of fixed size.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import bytesops as B
-from tessella.llm.shared import plus
+from tessella.llm.shared import drop, small, stored, weighted_join
 
 WINDOW, SHINGLE = 10, 3
-#: Bytes of item text that one index holds (about fifteen times that in memory); a larger benchmark is searched for in blocks of this size.
-INDEX_BYTES = 8 << 20
+#: Bits of a bitmap of shingles, for each shingle and at most (64 MB). A fuller bitmap lets more occurrences through to the join, and loses none.
+BITS_PER_KEY, MAX_BITS = 64, 1 << 29
+#: Longs of a bitmap in one row.
+CHUNK = 8192
+#: Bits of the filter of contaminated texts, where these are too many to broadcast.
+TEXT_BITS = 1 << 26
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -28,164 +32,192 @@ def words_of(text: str) -> list[bytes]:
     return _WORD.findall(text.encode("utf-8", "surrogatepass").translate(B.LOWER))
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
+def _hashed(words: list[bytes]) -> np.ndarray:
     """The hashes that word_hashes() gives the same words in a document."""
-    raw = b" ".join(words)
+    raw = np.frombuffer(b" ".join(words), np.uint8)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    return B.span_hash(B.prefix(np.frombuffer(raw, np.uint8)), starts, ends)
-
-
-class Index:
-    """Windows of some items: distinct word tuples, the items that hold each, and the shingles of each."""
-
-    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
-        found: dict[tuple[bytes, ...], set] = {}
-        for item, text in items:
-            words = words_of(text or "")
-            n = min(window, len(words))
-            for i in range(len(words) - n + 1 if n else 0):
-                found.setdefault(tuple(words[i : i + n]), set()).add(item)
-        self.words = list(found)
-        self.items = [sorted(x for x in s if x is not None) for s in found.values()]
-        self.shingles = [(min(SHINGLE, len(w)), B.grams(hashed(list(w)), min(SHINGLE, len(w)))) for w in self.words]
-        self.vocab = {n: np.unique(np.concatenate([h for k, h in self.shingles if k == n])) for n in {k for k, _ in self.shingles}}
-
-    def order(self, counts: dict[int, np.ndarray]) -> None:
-        """Picks each window's rarest shingle; ties go to the first."""
-        self.prefix: dict[int, dict[int, list[tuple[int, int]]]] = {n: {} for n in self.vocab}
-        for i, (n, h) in enumerate(self.shingles):
-            at = int(np.argmin(counts[n][np.searchsorted(self.vocab[n], h)]))
-            self.prefix[n].setdefault(int(h[at]), []).append((i, at))
-        self.keys = {n: np.array(sorted(p), B.U) for n, p in self.prefix.items()}
-        self.text = [b" ".join(w) for w in self.words]
-        self.size = [len(w) for w in self.words]
-        del self.shingles
-
-
-def _within(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return np.flatnonzero(keys[at] == h) if len(keys) else np.zeros(0, np.int64)
-
-
-def item_blocks(items: DataFrame, index_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
-    block, size = [], 0
-    for r in items.select(F.col("item_id").cast("string"), "text").where("text is not null").toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1])
-        if size >= index_bytes:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def shingle_counts(docs: DataFrame, index: Index) -> dict[int, np.ndarray]:
-    """Occurrences of the index's shingles in all documents; a shingle across two documents of a block may count, which only affects the order."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(index.vocab)
+    return B.hash_spans(raw, np.concatenate([[0], ends[:-1] + 1]), ends)
+
+
+def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """item, w (the words of a window, with spaces between), size, shingles (size of a shingle, hashes) of every window of items (item_id, text)."""
+
+    def cut(batches):
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text or "")
+                size = min(window, len(words))
+                n = min(SHINGLE, size)
+                if not n:
+                    continue
+                grams, raw = B.grams(_hashed(words), n).view(np.int64), [x.decode() for x in words]
+                for low in range(0, len(words) - size + 1, 4096):  # a few thousand windows of a long item at a time
+                    at = range(low, min(low + 4096, len(words) - size + 1))
+                    cols = [pa.array([item] * len(at), pa.string()), pa.array([" ".join(raw[i : i + size]) for i in at]), pa.array([size] * len(at), pa.int32()), pa.array([n] * len(at), pa.int32()), pa.array([grams[i : i + size - n + 1] for i in at], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["item", "w", "size", "n", "shingles"])
+
+    return items.select(F.col("item_id").cast("string"), "text").mapInArrow(cut, "item string, w string, size int, n int, shingles array<long>")
+
+
+class Bitmap:
+    """A set of 64-bit hashes as bits, two for each; it may hold more than was put in, never less. Its size is fixed by the number of keys, up to MAX_BITS."""
+
+    def __init__(self, keys: DataFrame, name: str, count: int, most: int = MAX_BITS):
+        """keys: the column `name`, which may repeat; count: how many there may be."""
+        self.bits = min(most, max(1 << 13, 1 << (max(1, count) * BITS_PER_KEY - 1).bit_length()))
+        mask = F.lit(self.bits - 1)
+        place = F.explode(F.array(F.col(name).bitwiseAND(mask), F.shiftrightunsigned(name, 34).bitwiseAND(mask)))
+        words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+        rows = words.groupBy(F.expr(f"w div {CHUNK}").alias("c")).agg(F.collect_list(F.struct("w", "b")).alias("x"))
+        self.words = np.zeros(self.bits // 64, B.U)
+        for batch in rows.select(F.col("x.w").alias("w"), F.col("x.b").alias("b")).toArrow().to_batches():
+            w, b = (batch.column(c).flatten().to_numpy() for c in ("w", "b"))
+            self.words[w] = b.view(B.U)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of h whose values may be in the set."""
+        mask = B.U(self.bits - 1)
+        has = lambda p: (self.words[p >> B.U(6)] >> (p & B.U(63))) & B.U(1) == 1
+        at = np.flatnonzero(has(h & mask))
+        return at[has((h[at] >> B.U(34)) & mask)]
+
+
+def _occurrences(h: np.ndarray, first: np.ndarray, bitmap: Bitmap, sizes: list[int]):
+    """(shingle size, document, word place, hash) of the shingles in the bitmap, none across documents."""
+    for n in sizes:
+        g = B.grams(h, n)
+        p = bitmap.find(g)
+        d = np.searchsorted(first, p, "right") - 1
+        ok = p + n <= first[d + 1]
+        yield n, d[ok], p[ok], g[p[ok]].view(np.int64)
+
+
+def shingle_counts(docs: DataFrame, bitmap: Bitmap, sizes: list[int]) -> DataFrame:
+    """n, h, c: occurrences of shingles in all documents, summed in each block first; of the bitmap's set, and a few others."""
+    model = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def count(batches):
-        vocab = {n: (v, np.zeros(len(v), np.int64)) for n, v in vocabulary.value.items()}
         for batch in batches:
             for _, _, b, o in B.blocks(*B.column(batch.column(0))):
-                h = B.word_hashes(B.lowered(b), o, B.ALNUM)[0]
-                for n, (v, total) in vocab.items():
-                    g = B.grams(h, n)
-                    hit = g[_within(g, v)]
-                    total += np.bincount(np.searchsorted(v, hit), minlength=len(v))
-        for n, (v, total) in vocab.items():
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"n": pa.array(np.full(len(some), n), pa.int32()), "i": pa.array(some, pa.int64()), "c": pa.array(total[some])})
-
-    out = {n: np.zeros(len(v), np.int64) for n, v in index.vocab.items()}
-    for r in docs.select("text").mapInArrow(count, "n int, i long, c long").groupBy("n", "i").agg(F.sum("c")).collect():
-        out[r[0]][r[1]] = r[2]
-    return out
-
-
-def block_hits(buf: np.ndarray, off: np.ndarray, index: Index) -> tuple[np.ndarray, dict[int, list[tuple[int, int, int]]]]:
-    """Words of each document, and by document the hits (first word, end word, window)."""
-    low = B.lowered(buf)
-    h, s, e, first = B.word_hashes(low, off, B.ALNUM)
-    raw, out = low.tobytes(), {}
-    for n, keys in index.keys.items():
-        g = B.grams(h, n)
-        table = index.prefix[n]
-        for p in _within(g, keys).tolist():
-            d = int(np.searchsorted(first, p, "right")) - 1
-            for w, at in table[int(g[p])]:
-                a, z = p - at, p - at + index.size[w]
-                if a >= first[d] and z <= first[d + 1] and b" ".join(raw[i:j] for i, j in zip(s[a:z].tolist(), e[a:z].tolist())) == index.text[w]:
-                    out.setdefault(d, []).append((a - int(first[d]), z - int(first[d]), w))
-    return np.diff(first), out
-
-
-def _merged(hits: list[tuple[int, int, int]]) -> list[int]:
-    """Disjoint runs, as first << 32 | end."""
-    out: list[list[int]] = []
-    for a, z, _ in sorted(hits):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(z, out[-1][1])
-        else:
-            out.append([a, z])
-    return [a << 32 | z for a, z in out]
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, index_bytes: int = INDEX_BYTES, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, item_ids, hits (runs of hit words), contaminated for every row of docs; keep: more columns of docs.
+                h, _, _, first = B.word_hashes(B.lowered(b), o, B.ALNUM)
+                for n, _, _, g in _occurrences(h, first, model.value, sizes):
+                    v, c = np.unique(g, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), n), pa.int32()), pa.array(v), pa.array(c)], names=["n", "h", "c"])
+
+    return docs.select("text").mapInArrow(count, "n int, h long, c long").groupBy("n", "h").agg(F.sum("c").alias("c"))
+
+
+def occurrences(docs: DataFrame, bitmap: Bitmap, sizes: list[int], longest: int, window: int = WINDOW) -> DataFrame:
+    """k1, k2 (a text's digest), n, h, place, before, ctx: shingles of the bitmap in docs (k1, k2, text), with up to window - 1 words on each side.
+
+    A word of more than `longest` bytes, longer than any of an item, stands there as an empty one, so that what a row holds is bounded.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(bitmap)
+    names = ["k1", "k2", "n", "h", "place", "before", "ctx"]
+
+    def find(batches):
+        for batch in batches:
+            k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, _, b, o in B.blocks(*B.column(batch.column(2))):
+                low = B.lowered(b)
+                h, s, e, first = B.word_hashes(low, o, B.ALNUM)
+                size = e - s
+                fits = size <= longest
+                size = np.where(fits, size, 0)
+                held = np.zeros(len(low), bool)
+                edge = np.zeros(len(low) + 1, np.int8)
+                edge[s[fits]] += 1
+                edge[e[fits]] -= 1
+                held = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+                bounds = np.concatenate([[0], np.cumsum(size)])
+                words = pa.LargeStringArray.from_buffers(len(s), pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(low[held].tobytes()))
+                for n, doc, place, g in _occurrences(h, first, model.value, sizes):
+                    for low_at in range(0, len(place), 1 << 16):
+                        part = slice(low_at, low_at + (1 << 16))
+                        p, d = place[part], doc[part]
+                        a, z = np.maximum(first[d], p - (window - 1)), np.minimum(first[d + 1], p + window)
+                        many = z - a
+                        ends = np.cumsum(many)
+                        flat = np.repeat(a - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)
+                        ctx = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pc.cast(words.take(pa.array(flat)), pa.string()))
+                        cols = [pa.array(k1[i + d]), pa.array(k2[i + d]), pa.array(np.full(len(p), n), pa.int32()), pa.array(g[part]), pa.array((p - first[d]).astype(np.int32)), pa.array((p - a).astype(np.int32)), ctx]
+                        yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return docs.mapInArrow(find, "k1 long, k2 long, n int, h long, place int, before int, ctx array<string>")
+
+
+def prefixes(docs: DataFrame, found: DataFrame, sizes: list[int], window: int = WINDOW) -> DataFrame:
+    """w, size, n, h, at: each distinct window of found with its rarest shingle, the first of equal ones, and that shingle's place in it."""
+    distinct = stored(found.groupBy("w", "size", "n").agg(F.first("shingles").alias("shingles")), "windows")
+    each = distinct.select("w", "size", "n", F.posexplode("shingles").alias("at", "h"))
+    known = each.groupBy("n", "h").agg(F.count("*").alias("k"))
+    counts = shingle_counts(docs, Bitmap(each, "h", distinct.count() * window), sizes).join(known, ["n", "h"])
+    counts = stored(counts.select("h", F.col("n").alias("m"), "c", F.col("k").alias("n")), "shingle-counts")
+    each = weighted_join(each.withColumnRenamed("n", "m"), counts, ["m", "h"], "left")
+    rarest = F.min_by(F.struct("h", "at"), F.struct(F.coalesce("c", F.lit(0)), "at"))
+    return stored(each.groupBy("w", "size", F.col("m").alias("n")).agg(rarest.alias("x")).select("w", "size", "n", "x.*"), "prefixes")
+
+
+def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(hits, owners). hits: k1, k2, first, end, w of every occurrence of a window in docs (k1, k2, text), once for each text; owners: w, item."""
+    found = stored(windows(items, window), "item-windows")
+    sizes, longest = found.agg(F.sort_array(F.collect_set("n")), F.max(F.array_max(F.transform(F.split("w", " "), F.octet_length)))).first()
+    owners = found.where("item is not null").select("w", "item").distinct()
+    none = docs.sparkSession.createDataFrame([], "k1 long, k2 long, first int, end int, w string")
+    if not sizes:
+        return none, owners
+    rare = prefixes(docs.select("text"), found, sizes, window)
+    seen = stored(occurrences(docs, Bitmap(rare, "h", rare.count()), sizes, longest, window), "occurrences")
+    # the words where the window would lie, if it fits between the words around; a hot prefix is dealt by Spark's own splitting of skewed joins
+    low = F.col("before") - F.col("at")
+    fits = (low >= 0) & (low + F.col("size") <= F.size("ctx"))
+    same = F.array_join(F.slice("ctx", low + 1, F.col("size")), " ") == F.col("w")
+    hits = seen.join(small(rare, 200_000), ["n", "h"]).where(fits).where(same)
+    first = F.col("place") - F.col("at")
+    hits = stored(hits.select("k1", "k2", first.alias("first"), (first + F.col("size")).alias("end"), "w").distinct(), "hits")
+    drop(rare, seen)
+    return hits, owners
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep: list[str] | None = None, broadcast_rows: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, item_ids, hits (runs of hit words: first, end), contaminated for every row of docs; keep: more columns of docs.
 
     Null text or item text has no words; a null item_id is hit but not listed; repeated items count once by id; repeated documents stay.
-    An empty benchmark hits nothing. Column names of items never clash with those of docs.
+    An empty benchmark hits nothing. Column names of items never clash with those of docs, and columns of docs may have any name but _text, _k1, _k2.
     """
     keep = [c for c in keep or [] if c != "doc_id"]
-    d = docs.select("doc_id", *keep, F.col("text").alias("_text"))
-    indexes = []
-    for block in item_blocks(items, index_bytes):
-        index = Index(block, window)
-        if index.words:
-            index.order(shingle_counts(docs, index))
-            indexes.append(index)
-    if not indexes:
-        indexes = [Index([], window)]
-        indexes[0].order({})
-    for k, index in enumerate(indexes):
-        d = _searched(d, index, k, k + 1 < len(indexes))
-    runs = F.sort_array(F.concat(*(f"_hits{k}" for k in range(len(indexes)))))
-    ids = F.array_sort(F.array_distinct(F.concat(*(f"_items{k}" for k in range(len(indexes))))))
-    reach = F.aggregate(
-        runs, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
-        lambda a, r: F.struct(
-            (a["n"] + F.greatest(F.lit(0), r.bitwiseAND(F.lit(0xFFFFFFFF)) - F.greatest(a["end"], F.shiftright(r, 32)))).alias("n"),
-            F.greatest(a["end"], r.bitwiseAND(F.lit(0xFFFFFFFF))).alias("end"),
-        ),
-    )
-    d = d.select("doc_id", *keep, F.col("_n0").alias("n_words"), reach["n"].alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), runs.alias("hits"))
-    return d.withColumn("contaminated", F.col("n_hit") > 0)
-
-
-def _searched(d: DataFrame, index: Index, k: int, more: bool) -> DataFrame:
-    """d (with the text last) with _n{k}, _hits{k}, _items{k}; the text is kept, last again, if more blocks follow."""
-    d = d.select(*[c for c in d.columns if c != "_text"], "_text")
-    model = d.sparkSession.sparkContext.broadcast(index)
-
-    def search(batches):
-        index = model.value
-        for batch in batches:
-            buf, off = B.column(batch.column(batch.num_columns - 1))
-            n = batch.num_rows
-            count, runs, ids = np.zeros(n, np.int64), [[]] * n, [[]] * n
-            for i, j, b, o in B.blocks(buf, off):
-                count[i:j], hits = block_hits(b, o, index)
-                for at, found in hits.items():
-                    runs[i + at] = _merged(found)
-                    ids[i + at] = sorted({x for w in {w for _, _, w in found} for x in index.items[w]})
-            cols = [pa.array(count), pa.array(runs, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))]
-            old = batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*old, *cols, *([batch.column(batch.num_columns - 1)] if more else [])], names=names)
-
-    schema = plus(d.drop("_text").schema, f"_n{k} long, _hits{k} array<long>, _items{k} array<string>" + ", _text string" * more)
-    names = schema.fieldNames()
-    return d.mapInArrow(search, schema)
+    k1, k2 = F.xxhash64("_text"), F.xxhash64(F.lit(7), "_text")
+    d = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("_text"))
+    hits, owners = window_hits(d.select(k1.alias("k1"), k2.alias("k2"), F.col("_text").alias("text")), items, window)
+    # runs that overlap or touch as one
+    step = lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["end"] >= x["first"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["first"].alias("first"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(a, F.array(x)))
+    empty = F.array().cast("array<struct<first:int,end:int>>")
+    spans = hits.select("k1", "k2", "first", "end").distinct().groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("_s"))
+    spans = spans.select("k1", "k2", F.aggregate("_s", empty, step).alias("hits"))
+    ids = hits.select("k1", "k2", "w").distinct().join(small(owners, 200_000), "w").select("k1", "k2", "item").distinct().groupBy("k1", "k2").agg(F.sort_array(F.collect_list("item")).alias("item_ids"))
+    found = stored(spans.join(ids, ["k1", "k2"], "left").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "hits", "item_ids"), "contaminated").toDF("_k1", "_k2", "_hits", "_ids")
+    own = (k1 == F.col("_k1")) & (k2 == F.col("_k2"))
+    rows = 100_000 if broadcast_rows is None else broadcast_rows
+    if found.limit(rows + 1).count() <= rows:
+        d = d.join(F.broadcast(found), own, "left")
+    else:  # only texts that a filter of the contaminated ones lets through are dealt by their digest
+        bits = stored(_text_filter(found.select(F.col("_k1").alias("k"))), "contaminated-filter")
+        some = F.getbit(F.get(bits.scalar(), F.shiftright(k1.bitwiseAND(F.lit(TEXT_BITS - 1)), 6).cast("int")), (k1.bitwiseAND(F.lit(63))).cast("int")) == 1
+        part = d.where(some).join(found.hint("merge"), own, "left")
+        none = [F.lit(None).cast(t).alias(c) for c, t in found.dtypes]
+        d = part.unionByName(d.where(~some).select("*", *none))
+    runs, items_of = F.coalesce("_hits", empty), F.coalesce("_ids", F.array().cast("array<string>"))
+    n_hit = F.aggregate(runs, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
+    n_words = F.regexp_count("_text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    return d.select("doc_id", *keep, n_words.alias("n_words"), n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), items_of.alias("item_ids"), runs.alias("hits"), (n_hit > 0).alias("contaminated"))
+
+
+def _text_filter(keys: DataFrame) -> DataFrame:
+    """One row: a bitmap of TEXT_BITS bits by the low bits of k."""
+    p = F.col("k").bitwiseAND(F.lit(TEXT_BITS - 1))
+    words = keys.select(F.shiftright(p, 6).alias("w"), F.expr("shiftleft(1L, cast(k & 63 as int))").alias("b"))
+    words = words.unionByName(keys.sparkSession.range(TEXT_BITS // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b")))
+    return words.groupBy("w").agg(F.bit_or("b").alias("b")).agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("bits"))
 
 
 def item_digest(ids: Column) -> Column:
