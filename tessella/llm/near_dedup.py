@@ -1,25 +1,25 @@
 """Near-duplicate documents by a chosen-path similarity join over minwise tokens.
 
-Every document with distinct content is SIGNATURE minwise values of its shingle set. In each of TREES independent trees a node picks, by hashes that
-all documents share, about 1 / similarity of the SIGNATURE coordinates; a document goes down to one child for each picked coordinate and
+Every document with distinct content is SIGNATURE minwise values of its shingle set. In each of TREES independent trees a node picks, by hashes of its
+path, about 1 / similarity of the SIGNATURE coordinates; a document goes down to one child for each picked coordinate and
 its value there. Nodes of one document end; small nodes are compared exhaustively; larger ones branch again, up to DEPTH levels. Documents that by
 their signatures may have a partner in another component of their node are compared on full shingle sets, inside the node. A node gives no more
-links than it takes to join its components, and the first trees' components spare most of the other trees' nodes: what is written grows with the
-documents, not with the pairs of a large group.
+links than it takes to join its components, and the first trees' components spare most of the other trees' nodes. A node that stays large is mostly one
+group of copies: its documents are first compared with a hub, one each, and only those outside the hub's component then meet the others in blocks. So
+what is written grows with the documents, not with the pairs of a large group.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import bytesops as B
-from tessella.llm.shared import small, stored
-
-#: Rows of a lookup table that may be broadcast (16 to 24 bytes each).
-BROADCAST_ROWS = 500_000
+from tessella.llm.shared import drop, small, stored, weighted_join
 
 SHINGLE, SIMILARITY = 5, 0.85
 SIGNATURE, TREES, DEPTH = 128, 16, 4
@@ -29,8 +29,8 @@ NODE = 64
 CELLS = 1 << 24
 #: Trees of the first batch: it joins most copies, so that the other trees' nodes hold few documents of different components.
 FIRST_TREES = 2
-#: Nodes still larger than this after the last level are cut into overlapping blocks, see _last_nodes().
-BLOCK = 1024
+#: Documents of a block of a node that is still larger than two blocks after the last level, see _blocked(); and the hubs that such a node is compared with at most.
+BLOCK, HUBS = 1024, 8
 _rng = np.random.default_rng(11)
 MULTIPLIERS = _rng.integers(1, 1 << 63, SIGNATURE).astype(B.U) * B.U(2) + B.U(1)
 
@@ -59,6 +59,12 @@ def _running(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_digests(sets: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Two independent 64-bit digests of each set."""
+    acc = [_running(B.mix(sets + B.U(s))) for s in (1, 2)]
+    return [(a[bounds[1:]] - a[bounds[:-1]]).view(np.int64) for a in acc]
+
+
 def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """SIGNATURE minwise values (32 bits) of each document; zero for empty sets."""
     out = np.zeros((len(bounds) - 1, SIGNATURE), np.uint32)
@@ -78,8 +84,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             for i, j, b, o in B.blocks(buf, off, 1 << 19):
                 sets, bounds = shingle_sets(b, o, size)
                 sig = signatures(sets, bounds)
-                acc = [_running(B.mix(sets + B.U(s))) for s in (1, 2)]
-                dig = [(a[bounds[1:]] - a[bounds[:-1]]).view(np.int64) for a in acc]
+                dig = set_digests(sets, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(dig[0]), pa.array(dig[1]), pa.array([r.tobytes() for r in sig], pa.binary())],
                     names=["doc_id", "key", "n_shingles", "set_a", "set_b", "signature"],
@@ -99,11 +104,18 @@ def _short(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "signature").mapInArrow(cut, "rep long, short binary")
 
 
-def _chosen(tree: int, level: int, similarity: float) -> np.ndarray:
-    """Which coordinates the nodes of a tree's level may pick (about 1 / similarity of them, one at least): shared by all documents."""
-    rng = np.random.default_rng((tree + 1) * 1000 + level)
-    n = 1 + (rng.random() < 1 / similarity - 1)
-    return rng.choice(SIGNATURE, n, replace=False)
+def _chosen(tree: int, similarity: float) -> np.ndarray:
+    """Which coordinates the root of a tree picks (about 1 / similarity of them, one at least)."""
+    rng = np.random.default_rng((tree + 1) * 1000)
+    return rng.choice(SIGNATURE, 1 + (rng.random() < 1 / similarity - 1), replace=False)
+
+
+def _picked(node: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The coordinate that each node picks by its path, and the second one of those that pick two, else -1."""
+    h = B.mix(node + B.U(0x9E3779B97F4A7C15))
+    first = (h % B.U(SIGNATURE)).astype(np.int64)
+    second = (first + 1 + ((h >> B.U(16)) % B.U(SIGNATURE - 1)).astype(np.int64)) % SIGNATURE
+    return first, np.where((h >> B.U(40)).astype(np.float64) / (1 << 24) < 1 / similarity - 1, second, -1)
 
 
 def _first_nodes(reps: DataFrame, trees: int, similarity: float) -> DataFrame:
@@ -114,25 +126,23 @@ def _first_nodes(reps: DataFrame, trees: int, similarity: float) -> DataFrame:
             rep = batch.column(0)
             sig = _matrix(batch.column(1))
             for t in range(trees):
-                for c in _chosen(t, 0, similarity):
+                for c in _chosen(t, similarity):
                     node = B.mix(sig[:, c].astype(B.U) + B.U(c << 33) + B.U((t + 1) << 48))
                     yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), rep, pa.array(np.full(len(node), t), pa.int32())], names=["node", "rep", "tree"])
 
     return reps.select("rep", "signature").mapInArrow(branch, "node long, rep long, tree int")
 
 
-def _branch(rows: DataFrame, level: int, similarity: float) -> DataFrame:
+def _branch(rows: DataFrame, similarity: float) -> DataFrame:
     """Children of the nodes of rows (node, rep, tree, signature)."""
 
     def branch(batches):
         for batch in batches:
-            node, tree = batch.column(0).to_numpy().view(B.U), batch.column(2).to_numpy()
-            sig = _matrix(batch.column(3))
-            for t in np.unique(tree).tolist():
-                at = np.flatnonzero(tree == t)
-                for c in _chosen(t, level, similarity):
-                    child = B.mix(node[at] * B.U(0xD6E8FEB86659FD93) + sig[at, c].astype(B.U) + B.U(c << 33))
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at))], names=["node", "rep", "tree"])
+            node, sig = batch.column(0).to_numpy().view(B.U), _matrix(batch.column(3))
+            for c in _picked(node, similarity):
+                at = np.flatnonzero(c >= 0)
+                child = B.mix(node[at] * B.U(0xD6E8FEB86659FD93) + sig[at, c[at]].astype(B.U) + (c[at].astype(B.U) << B.U(33)))
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at))], names=["node", "rep", "tree"])
 
     return rows.select("node", "rep", "tree", "signature").mapInArrow(branch, "node long, rep long, tree int")
 
@@ -142,37 +152,76 @@ def _matrix(col) -> np.ndarray:
 
 
 def leaves(reps: DataFrame, trees: int, similarity: float, depth: int = DEPTH, limit: int = NODE) -> DataFrame:
-    """node, rep, n (documents), tree of all nodes to be compared (two documents or more); nodes with the same documents are kept once."""
-    rows, out = _first_nodes(reps, trees, similarity), None
+    """A stored table: node, rep, n (documents), tree of all nodes to be compared (two documents or more); nodes with the same documents are kept once."""
+    rows, out, used = _first_nodes(reps, trees, similarity), None, []
     for level in range(1, depth + 1):
-        rows = stored(rows, f"nodes-{level}") if level > 1 else rows
-        # a node's size and a digest of its documents, summed before the shuffle
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("rep"), 24)).alias("what"), F.min("tree").alias("tree")).where("n > 1")
-        sizes = stored(sizes, f"sizes-{level}")
+        if level > 1:
+            rows = stored(rows, f"nodes-{level}")
+            used.append(rows)
+        # a node's size and a digest of its documents, summed before the shuffle: two sums of 40 bits
+        what = [F.sum(F.shiftrightunsigned(F.xxhash64("rep", F.lit(k)), 24)).alias(f"what{k}") for k in (1, 2)]
+        sizes = stored(rows.groupBy("node").agg(F.count("*").alias("n"), *what, F.min("tree").alias("tree")).where("n > 1"), f"sizes-{level}")
         leaf = sizes if level == depth else sizes.where(F.col("n") <= limit)
-        once = leaf.groupBy("n", "what").agg(F.min(F.struct("tree", "node")).alias("x")).select(F.col("x.node").alias("node"), "n", F.col("x.tree").alias("t"))
-        found = rows.join(small(stored(once, "leaf-nodes"), BROADCAST_ROWS), "node").select("node", "rep", "n", F.col("t").alias("tree"))
+        once = leaf.groupBy("n", "what1", "what2").agg(F.min(F.struct("tree", "node")).alias("x")).select(F.col("x.node").alias("node"), "n", F.col("x.tree").alias("t"))
+        once = stored(once, "leaf-nodes")
+        used += [sizes, once]
+        found = weighted_join(rows, once.withColumn("_n", F.col("n")), ["node"]).select("node", "rep", F.col("_n").alias("n"), F.col("t").alias("tree"))
         out = found if out is None else out.unionByName(found)
-        if level == depth:
+        large = sizes.where(F.col("n") > limit).select("node", "n")
+        if level == depth or large.isEmpty():
             break
-        large = sizes.where(F.col("n") > limit).select("node")
-        if large.isEmpty():
-            break
-        sig = reps.select("rep", "signature")
-        rows = _branch(rows.join(large, "node").join(sig, "rep"), level, similarity)
+        rows = _branch(weighted_join(rows, large, ["node"]).join(reps.select("rep", "signature"), "rep"), similarity)
+    out = stored(out, "leaves")
+    drop(*used)
     return out
 
 
+def _mains(rows: DataFrame) -> DataFrame:
+    """node, main (the component with most documents of a node), m (these documents), r (the others) of rows (node, label)."""
+    counts = rows.groupBy("node", "label").agg(F.count("*").alias("c"))
+    return counts.groupBy("node").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("m"), (F.sum("c") - F.max("c")).alias("r"))
+
+
 def _blocked(rows: DataFrame, block: int) -> DataFrame:
-    """Nodes of at most 2 * block documents: a larger one becomes one node for each pair of its blocks of about `block` documents."""
+    """node, rep, label of nodes of at most about 2 * block documents, from rows (node, rep, n, label) of nodes of several components.
+
+    A larger node becomes one node for each block of its main component and block of its other documents, and one for each two blocks of the others: documents of the
+    main component need not meet each other. Rows grow with m + r + m * r / block, and hubs() has left r small.
+    """
     fine, large = rows.where(F.col("n") <= 2 * block), rows.where(F.col("n") > 2 * block)
     if large.isEmpty():
-        return fine.select("node", "rep", "tree")
-    k = F.expr(f"cast(ceil(n / {float(block)}D) as int)")
-    large = large.withColumns({"_k": k, "_b": F.pmod(F.xxhash64("rep", F.lit(5)), k).cast("int")})
-    pairs = large.select(F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_o"), "*")
-    cut = pairs.select(F.xxhash64("node", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("node"), "rep", "tree")
-    return fine.select("node", "rep", "tree").unionByName(cut)
+        return fine.select("node", "rep", "label")
+    of = _mains(large)
+    blocks = lambda c: F.greatest(F.lit(1), F.expr(f"cast(ceil({c} / {float(block)}D) as int)"))
+    large = large.join(small(of), "node").withColumns({"_km": blocks("m"), "_kr": blocks("r"), "_in": F.col("label") == F.col("main")})
+    large = large.withColumn("_b", F.pmod(F.xxhash64("rep", F.lit(5)), F.when(F.col("_in"), F.col("_km")).otherwise(F.col("_kr"))).cast("int"))
+    upto = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    cross = large.select("node", "rep", "label", "_in", "_b", F.explode(F.when(F.col("_in"), upto("_kr")).otherwise(upto("_km"))).alias("_o"))
+    cross = cross.select(F.xxhash64("node", F.when(F.col("_in"), F.col("_b")).otherwise(F.col("_o")), F.when(F.col("_in"), F.col("_o")).otherwise(F.col("_b"))).alias("node"), "rep", "label")
+    rest = large.where("not _in and _kr > 1").select("node", "rep", "label", "_b", F.explode(upto("_kr")).alias("_o")).where("_o <> _b")
+    rest = rest.select(F.xxhash64("node", F.least("_b", "_o"), F.greatest("_b", "_o"), F.lit("rest")).alias("node"), "rep", "label")
+    return fine.select("node", "rep", "label").unionByName(cross).unionByName(rest)
+
+
+def _near_hubs(rows: DataFrame, share: float) -> DataFrame:
+    """a, b: reps of a and of the hub of its node whose signatures agree in at least `share` of the values. rows: rep, short, hub, hub_short."""
+
+    def near(batches):
+        for batch in batches:
+            one, two = (B.column(batch.column(c))[0].reshape(-1, SIGNATURE) for c in (1, 3))
+            ok = pa.array((one == two).sum(1) >= share * SIGNATURE)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(2).filter(ok)], names=["a", "b"])
+
+    return rows.select("rep", "short", "hub", "hub_short").mapInArrow(near, "a long, b long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b of the pairs whose full sets (rep, shingles) are similar enough."""
+    d = pairs
+    for c in "ba":  # a hub's pairs are many, its set is one row: Spark splits such a join
+        d = d.join(sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}")).hint("merge"), c)
+    both = F.size(F.array_intersect("sa", "sb"))
+    return d.where(100 * both >= round(similarity * 100) * (F.size("sa") + F.size("sb") - both)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _alike(label: np.ndarray, short: np.ndarray, share: float) -> np.ndarray:
@@ -298,46 +347,49 @@ def components(links: DataFrame) -> DataFrame:
         ends = nxt.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("up")), F.struct(F.col("b").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
         if ends.groupBy("x").agg(F.sum("up").alias("up"), F.min("up").alias("low")).where("up > 1 or (up = 1 and low = 0)").isEmpty():
             break
+        drop(e)
         e = nxt
-    return stored(nxt.select(F.col("a").alias("rep"), F.col("b").alias("label")).unionByName(nxt.select(F.col("b").alias("rep"), F.col("b").alias("label")).distinct()), "components")
+    out = stored(nxt.select(F.col("a").alias("rep"), F.col("b").alias("label")).unionByName(nxt.select(F.col("b").alias("rep"), F.col("b").alias("label")).distinct()), "components")
+    drop(e, nxt)
+    return out
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """rep, shingles of the contents in wanted (rep, first: a document that holds it)."""
+    """rep, shingles of the contents in wanted (rep, set_a, set_b, first: a document that holds it)."""
 
     def sets(batches):
         for batch in batches:
             buf, off = B.column(batch.column(0))
             for _, _, b, o in B.blocks(buf, off, 1 << 19):
                 got, bounds = shingle_sets(b, o, size)
-                acc = _running(B.mix(got + B.U(1)))
-                rep = (acc[bounds[1:]] - acc[bounds[:-1]]).view(np.int64)
+                digests = [pa.array(d) for d in set_digests(got, bounds)]
                 arrays = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(rep), arrays], names=["rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([*digests, arrays], names=["set_a", "set_b", "shingles"])
 
-    first = small(wanted.select(F.col("first").alias("_first")).distinct(), BROADCAST_ROWS)
-    found = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(first, F.col("_id").eqNullSafe(F.col("_first")), "left_semi").select("text").mapInArrow(sets, "rep long, shingles array<long>")
-    return found.join(small(wanted.select("rep"), BROADCAST_ROWS), "rep", "left_semi").dropDuplicates(["rep"])
+    first = small(wanted.select(F.col("first").alias("_first")).distinct())
+    found = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(first, F.col("_id").eqNullSafe(F.col("_first")), "left_semi").select("text").mapInArrow(sets, "set_a long, set_b long, shingles array<long>")
+    return found.join(small(wanted.select("rep", "set_a", "set_b")), ["set_a", "set_b"]).select("rep", "shingles").dropDuplicates(["rep"])
 
 
 def _unsettled(nodes: DataFrame, label: DataFrame | None) -> DataFrame:
     """nodes that hold more than one component, with label: the component of rep, itself if it has no link."""
     if label is None:
         return nodes.withColumn("label", F.col("rep"))
-    now = nodes.join(small(label, BROADCAST_ROWS), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = now.groupBy("node").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("node")
-    return now.join(small(stored(mixed, "mixed"), BROADCAST_ROWS), "node", "left_semi")
+    now = nodes.join(small(label), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = now.groupBy("node").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n")).where("l <> h").select("node", "n")
+    return weighted_join(now, stored(mixed, "mixed"), ["node"])
 
 
 def _relabelled(label: DataFrame | None, new: DataFrame) -> DataFrame:
     """Labels after new links: components of the links between the components so far, then of their members."""
     if label is None:
         return components(new)
-    small_label = small(label, BROADCAST_ROWS)
+    new = new.select("a", "b")
+    small_label = small(label)
     for c in "ab":
         new = new.join(small_label.select(F.col("rep").alias(c), F.col("label").alias(f"l{c}")), c, "left").withColumn(c, F.coalesce(f"l{c}", c)).drop(f"l{c}")
     moved = components(new.where("a <> b"))
-    known = label.join(small(moved.select(F.col("rep").alias("label"), F.col("label").alias("_to")), BROADCAST_ROWS), "label", "left").select("rep", F.coalesce("_to", "label").alias("label"))
+    known = label.join(small(moved.select(F.col("rep").alias("label"), F.col("label").alias("_to"))), "label", "left").select("rep", F.coalesce("_to", "label").alias("label"))
     fresh = moved.join(small_label.select("rep"), "rep", "left_anti")
     return stored(known.unionByName(fresh.select("rep", "label")), "labels")
 
@@ -347,50 +399,105 @@ def look(similarity: float) -> float:
     return similarity - 4.5 * (similarity * (1 - similarity) / SIGNATURE) ** 0.5
 
 
-def similarity_join(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, trees: int = TREES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, links, labels): rows has doc_id, key, n_shingles, rep (its content) for every document; links has a, b, contents joined into the same components by proven links; labels has rep, label for every content with a link."""
+class _Join:
+    """The state of one similarity join: labels, and the sets that have been read so far."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, similarity: float, size: int, block: int):
+        self.docs, self.reps, self.similarity, self.size, self.block = docs, reps, similarity, size, block
+        self.short = stored(_short(reps), "short-signatures")
+        self.label: DataFrame | None = None
+        self.sets: DataFrame | None = None
+        self.links: list[DataFrame] = []
+        self.used: list[DataFrame] = [self.short]
+
+    def read(self, ends: DataFrame) -> bool:
+        """Reads the sets of reps in ends that aren't there yet; whether there are any sets at all."""
+        if self.sets is not None:
+            ends = ends.join(self.sets.select("rep"), "rep", "left_anti")
+        wanted = stored(self.reps.join(ends, "rep", "left_semi").select("rep", "set_a", "set_b", "first"), "wanted")
+        if not wanted.isEmpty():
+            more = stored(_sets(self.docs, wanted, self.size), "sets")
+            self.used.append(more)
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+        drop(wanted)
+        return self.sets is not None
+
+    def add(self, new: DataFrame) -> None:
+        new = stored(new.distinct(), "proven")
+        if not new.isEmpty():
+            self.links.append(new)
+            before, self.label = self.label, _relabelled(self.label, new)
+            drop(before)
+
+    def hubs(self, nodes: DataFrame) -> None:
+        """Compares the documents of large nodes with one hub of their node, as long as this takes a tenth of those outside the main components away."""
+        last = None
+        for k in range(HUBS):
+            rows = stored(_unsettled(nodes, self.label).select("node", "rep", "label"), "large-nodes")
+            of = stored(_mains(rows), "main-components")
+            rest = of.agg(F.sum(F.when(F.col("r") > self.block, F.col("r")))).first()[0] or 0
+            if not rest or last and rest > 0.9 * last:
+                drop(rows, of)
+                return
+            last = rest
+            rows = rows.join(small(of.where(F.col("r") > self.block).select("node", "main", "m")), "node")
+            outside = rows.where("label <> main or m = 1")
+            hub = outside.groupBy("node").agg(F.min_by(F.struct(F.col("rep").alias("hub"), F.col("label").alias("hub_label")), F.xxhash64("rep", F.lit(k))).alias("h")).select("node", "h.*")
+            hub = stored(hub.join(self.short.select(F.col("rep").alias("hub"), F.col("short").alias("hub_short")), "hub"), "hubs")
+            pairs = rows.join(small(hub), "node").where("label <> hub_label").join(self.short, "rep")
+            pairs = stored(_near_hubs(pairs, look(self.similarity)).distinct(), "hub-pairs")
+            if self.read(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()):
+                self.add(verified(pairs, self.sets, self.similarity))
+            drop(rows, of, hub, pairs)
+
+    def compare(self, nodes: DataFrame) -> None:
+        """Finds the links of nodes (node, rep, n) between different components."""
+        large = nodes.where(F.col("n") > 2 * self.block)
+        if not large.isEmpty():
+            self.hubs(large)
+        rows = _blocked(_unsettled(nodes, self.label), self.block)
+        found = stored(alike(rows.join(self.short, "rep"), look(self.similarity)), "alike")
+        if self.read(found.select("rep").distinct()):
+            self.add(proven(found, self.sets, self.similarity))
+        drop(found)
+
+
+def similarity_join(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, trees: int = TREES, node: int = NODE, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, contents, links, labels), the first two stored. rows: doc_id, key, n_shingles, set_a, set_b for every document; contents: set_a, set_b, rep, first (its smallest doc_id), n (its documents) for every set but the empty one;
+    links: a, b, contents joined into the same components by proven links; labels: rep, label for every content with a link.
+
+    A content is known by both halves of its set's 128-bit digest; rep is a number of its own.
+    """
     spark = docs.sparkSession
     rows = stored(sketches(docs, size), "sketches")
     # copies are one content from here on; summed before the shuffle
-    reps = rows.where("n_shingles > 0").groupBy(F.col("set_a").alias("rep"), "signature").agg(F.min("doc_id").alias("first"))
-    reps = stored(reps, "contents")
-    nodes = stored(_blocked(leaves(reps, trees, similarity), BLOCK).join(_short(reps), "rep"), "leaves")
-    links = sets = label = None
+    reps = rows.where("n_shingles > 0").groupBy("set_a", "set_b", "signature").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    reps = stored(reps.withColumn("rep", F.monotonically_increasing_id()), "contents")
+    nodes = leaves(reps, trees, similarity, limit=node)
+    join = _Join(docs, reps, similarity, size, block)
     for first_tree, last_tree in ((0, FIRST_TREES - 1), (FIRST_TREES, trees - 1)):
-        found = stored(alike(_unsettled(nodes.where(F.col("tree").between(first_tree, last_tree)), label), look(similarity)), "alike")
-        ends = found.select("rep").distinct()
-        if sets is not None:
-            ends = ends.join(sets.select("rep"), "rep", "left_anti")
-        wanted = stored(reps.join(ends, "rep", "left_semi").select("rep", "first"), "wanted")
-        if not wanted.isEmpty():
-            more = stored(_sets(docs, wanted, size), "sets")
-            sets = more if sets is None else sets.unionByName(more)
-        if sets is None:
-            continue
-        new = stored(proven(found, sets, similarity).distinct(), "proven")
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            label = _relabelled(label, new)
-    if links is None:
-        links, label = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "rep long, label long")
-    return rows.select("doc_id", "key", "n_shingles", F.col("set_a").alias("rep")).join(small(reps.select("rep", "first"), BROADCAST_ROWS), "rep", "left"), links, label
+        join.compare(nodes.where(F.col("tree").between(first_tree, last_tree)).select("node", "rep", "n"))
+    drop(nodes, *join.used)
+    links = reduce(DataFrame.unionByName, join.links) if join.links else spark.createDataFrame([], "a long, b long")
+    label = join.label if join.label is not None else spark.createDataFrame([], "rep long, label long")
+    return rows, reps, links, label
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, trees: int = TREES, keyed: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, trees: int = TREES, keyed: bool = False, node: int = NODE, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (and key, a digest of the text, if keyed) for every row of docs (doc_id, text).
 
     component_id is the smallest doc_id reachable by links; documents without words are linked with nothing, and stay. A null doc_id takes
     the smallest id of its component and isn't kept; rows that repeat the smallest doc_id are all kept. Recall is that of `trees` trees (about
     1 - 3e-6 for a pair just at the similarity in nodes that branch DEPTH times, more elsewhere).
     """
-    rows, _, label = similarity_join(docs, similarity, size, trees)
-    contents = rows.where("first is not null").select("rep", "first").distinct()
-    label = contents.join(label, "rep", "inner")
+    rows, contents, _, label = similarity_join(docs, similarity, size, trees, node, block)
+    label = contents.select("rep", "first").join(small(label), "rep")
     low = label.groupBy("label").agg(F.min("first").alias("_low"))
-    low = stored(label.join(low, "label").select(F.col("rep").alias("_rep"), "_low"), "lowest")
-    d = rows.join(small(low, BROADCAST_ROWS), F.col("rep") == F.col("_rep"), "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("_low", "first")).otherwise(F.col("doc_id"))
-    d = d.select("doc_id", "n_shingles", own.alias("component_id"), *["key"] * keyed)
+    low = stored(label.join(small(low), "label").select("rep", "_low"), "lowest")
+    known = contents.join(small(low), "rep", "left").select("set_a", "set_b", F.coalesce("_low", "first").alias("component_id"), "n")
+    cols = ["doc_id", "n_shingles", "component_id", *["key"] * keyed]
+    some = weighted_join(rows.where("n_shingles > 0").drop("signature"), stored(known, "components-of-contents"), ["set_a", "set_b"])
+    d = some.select(*cols).unionByName(rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).select(*cols))
     return d.withColumn("kept", (F.col("n_shingles") == 0) | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -403,9 +510,9 @@ def drop_near_duplicates(docs: DataFrame, similarity: float, size: int = SHINGLE
     marks = near_duplicates(docs.where("doc_id is not null"), similarity, size, trees, keyed=True).where("kept")
     marks = stored(marks.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("_n")), "survivors")
     same = (F.col("doc_id").cast("long") == F.col("_id")) & (key == F.col("_key"))
-    out = docs.where("doc_id is null").unionByName(docs.join(small(marks.where("_n = 1"), BROADCAST_ROWS), same, "left_semi"))
+    out = docs.where("doc_id is null").unionByName(docs.join(small(marks.where("_n = 1")), same, "left_semi"))
     repeated = marks.where("_n > 1")
     if repeated.isEmpty():
         return out
-    more = docs.join(small(repeated, BROADCAST_ROWS), same, "left_semi").withColumn("_key", key).dropDuplicates(["doc_id", "_key"])
+    more = docs.join(small(repeated), same, "left_semi").withColumn("_key", key).dropDuplicates(["doc_id", "_key"])
     return out.unionByName(more.drop("_key"))
