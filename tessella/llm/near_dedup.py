@@ -473,6 +473,8 @@ def similarity_join(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     # copies are one content from here on; summed before the shuffle
     reps = rows.where("n_shingles > 0").groupBy("set_a", "set_b", "signature").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     reps = stored(reps.withColumn("rep", F.monotonically_increasing_id()), "contents")
+    slim = stored(rows.drop("signature"), "documents-by-content")
+    drop(rows)
     nodes = leaves(reps, trees, similarity, limit=node)
     join = _Join(docs, reps, similarity, size, block)
     for first_tree, last_tree in ((0, FIRST_TREES - 1), (FIRST_TREES, trees - 1)):
@@ -480,25 +482,31 @@ def similarity_join(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     drop(nodes, *join.used)
     links = reduce(DataFrame.unionByName, join.links) if join.links else spark.createDataFrame([], "a long, b long")
     label = join.label if join.label is not None else spark.createDataFrame([], "rep long, label long")
-    return rows, reps, links, label
+    return slim, reps, links, label
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, trees: int = TREES, keyed: bool = False, node: int = NODE, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept (and key, a digest of the text, if keyed) for every row of docs (doc_id, text).
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, trees: int = TREES, node: int = NODE, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     component_id is the smallest doc_id reachable by links; documents without words are linked with nothing, and stay. A null doc_id takes
     the smallest id of its component and isn't kept; rows that repeat the smallest doc_id are all kept. Recall is that of `trees` trees (about
     1 - 3e-6 for a pair just at the similarity in nodes that branch DEPTH times, more elsewhere).
     """
+    return _near(docs, similarity, size, trees, node, block)[0].drop("key")
+
+
+def _near(docs: DataFrame, similarity: float, size: int, trees: int, node: int = NODE, block: int = BLOCK) -> tuple[DataFrame, list[DataFrame]]:
+    """near_duplicates() with key, a digest of the text; and the stored tables that it reads."""
     rows, contents, _, label = similarity_join(docs, similarity, size, trees, node, block)
     label = contents.select("rep", "first").join(small(label), "rep")
     low = label.groupBy("label").agg(F.min("first").alias("_low"))
     low = stored(label.join(small(low), "label").select("rep", "_low"), "lowest")
     known = contents.join(small(low), "rep", "left").select("set_a", "set_b", F.coalesce("_low", "first").alias("component_id"), "n")
-    cols = ["doc_id", "n_shingles", "component_id", *["key"] * keyed]
-    some = weighted_join(rows.where("n_shingles > 0").drop("signature"), stored(known, "components-of-contents"), ["set_a", "set_b"])
-    d = some.select(*cols).unionByName(rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).select(*cols))
-    return d.withColumn("kept", (F.col("n_shingles") == 0) | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    known = stored(known, "components-of-contents")
+    drop(contents, low)
+    cols = ["doc_id", "key", "n_shingles", "component_id"]
+    d = weighted_join(rows.where("n_shingles > 0"), known, ["set_a", "set_b"]).select(*cols).unionByName(rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).select(*cols))
+    return d.withColumn("kept", (F.col("n_shingles") == 0) | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), [rows, known]
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float, size: int = SHINGLE, trees: int = TREES) -> DataFrame:
@@ -507,12 +515,13 @@ def drop_near_duplicates(docs: DataFrame, similarity: float, size: int = SHINGLE
     Rows that repeat a doc_id and its text leave one. Rows without doc_id can't be told apart and stay, as do texts without words.
     """
     key = F.xxhash64("text")
-    marks = near_duplicates(docs.where("doc_id is not null"), similarity, size, trees, keyed=True).where("kept")
-    marks = stored(marks.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("_n")), "survivors")
+    marks, used = _near(docs.where("doc_id is not null"), similarity, size, trees)
+    marks = stored(marks.where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("_n")), "survivors")
+    drop(*used)
     same = (F.col("doc_id").cast("long") == F.col("_id")) & (key == F.col("_key"))
     out = docs.where("doc_id is null").unionByName(docs.join(small(marks.where("_n = 1")), same, "left_semi"))
     repeated = marks.where("_n > 1")
     if repeated.isEmpty():
         return out
-    more = docs.join(small(repeated), same, "left_semi").withColumn("_key", key).dropDuplicates(["doc_id", "_key"])
-    return out.unionByName(more.drop("_key"))
+    more = docs.join(small(repeated), same, "left_semi").groupBy("doc_id", "text").agg(*(F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns if c not in ("doc_id", "text")))
+    return out.unionByName(more.select(*docs.columns))
