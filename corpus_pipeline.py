@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessella.llm.decontaminate import contamination
 from tessella.llm.near_dedup import drop_near_duplicates
 from tessella.llm.packing import pack_documents
-from tessella.llm.shared import stored, table
+from tessella.llm.shared import drop, stored, table
 from tessella.llm.suffix_dedup import remove_repeats
 from tessella.llm.toxicity import score_toxicity
 
@@ -81,5 +81,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
