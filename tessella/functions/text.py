@@ -83,9 +83,9 @@ def char_to_byte(text: Column, chars: Column) -> Column:
 
 
 def word_place(text: Column, word: Column) -> Column:
-    """Place of the first whole-word occurrence, from 0; null if none."""
-    at = F.regexp_instr(text, F.concat(F.lit(r"(?<!\w)\Q"), word, F.lit(r"\E(?!\w)")))
-    return F.when(at > 0, at - 1)
+    """Place of the first whole-word occurrence, from 0, in characters; null if none. Letters and digits of any script and _ make up words."""
+    parts = F.split(text, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), word, F.lit(r"\E(?![\p{L}\p{N}_])")), 2)
+    return F.when(F.size(parts) == 2, F.length(F.get(parts, F.lit(0))))
 
 
 def code_place(line: Column, code: Column) -> tuple[Column, Column]:

@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.storage import stored
+
 MIN_PMI, MIN_JOINT, TOP = 1.5, 10, 20
+#: Selected concepts that may stand in a plan as a set.
+CONCEPTS = 2_000
 
 
 def active(ids: str = "feature_ids", acts: str = "feature_activations") -> Column:
@@ -24,10 +28,18 @@ def label_counts(labels: DataFrame, concepts: str = "concepts") -> DataFrame:
     return labels.select(F.explode(concepts).alias("concept")).groupBy("concept").agg(F.count("*").alias("n"))
 
 
-def select_concepts(labels: DataFrame, threshold: int = 10, concepts: str = "concepts") -> DataFrame:
-    """Label rows that have a concept of more than `threshold` label rows; the selected concepts are few and are broadcast by Spark's own size check."""
-    chosen = label_counts(labels, concepts).where(F.col("n") > threshold).select(F.col("concept").alias("_chosen"))
-    return labels.join(chosen, F.array_contains(concepts, F.col("_chosen")), "left_semi")
+def select_concepts(labels: DataFrame, threshold: int = 10, concepts: str = "concepts", limit: int = CONCEPTS) -> DataFrame:
+    """Label rows that have a concept of more than `threshold` label rows.
+
+    Up to CONCEPTS of these are a set that each row is tested against; beyond, rows are numbered, and their concepts joined with the chosen ones by name.
+    """
+    chosen = label_counts(labels, concepts).where((F.col("n") > threshold) & F.col("concept").isNotNull()).select("concept")
+    few = [r[0] for r in chosen.limit(limit + 1).collect()]
+    if len(few) <= limit:
+        return labels.where(F.exists(concepts, lambda c: c.isin(few) if few else F.lit(False)))
+    rows = stored(labels.withColumn("_row", F.monotonically_increasing_id()), "label-rows")
+    hit = rows.select("_row", F.explode(concepts).alias("concept")).join(chosen, "concept", "left_semi").select("_row").distinct()
+    return rows.join(hit, "_row", "left_semi").drop("_row")
 
 
 def feature_marginals(df: DataFrame, by: list[str]) -> DataFrame:
@@ -90,6 +102,22 @@ def candidates(metrics: DataFrame, by: list[str] | None = None, min_pmi: float =
     return d.withColumn("rank", F.row_number().over(Window.partitionBy(*(by or []), "concept").orderBy(*order))).where(F.col("rank") <= top)
 
 
-def ordered_metrics(metrics: DataFrame) -> DataFrame:
-    """Total order of the pair table: concept, then the best pairs first."""
-    return metrics.orderBy("concept", *(F.desc(c) for c in ("pmi", "precision", "recall", "f1", "count_joint")), "feature_id")
+def best_first() -> list[Column]:
+    """The order of a concept's pairs."""
+    return [*(F.desc(c) for c in ("pmi", "precision", "recall", "f1", "count_joint")), F.asc("feature_id")]
+
+
+def ordered_metrics(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Total order of the pair table: by, concept, then the best pairs first."""
+    return metrics.orderBy(*(by or []), "concept", *best_first())
+
+
+def numbered_metrics(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The pair table with place: each pair's number, from 1, in the order of its group. Concepts are dealt by ranges; a range's first number is a sum over the ranges before it."""
+    by = list(by or [])
+    d = stored(metrics.repartitionByRange(*by, "concept").withColumn("_part", F.spark_partition_id()), "ranged-pairs")
+    heads = d.groupBy(*by, "_part").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("_head", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    n = F.row_number().over(Window.partitionBy(*by, "_part").orderBy("concept", *best_first()))
+    return d.withColumn("_n", n).join(heads, [*by, "_part"]).withColumn("place", (F.col("_n") + F.col("_head")).cast("int")).drop("_n", "_head", "_part")

@@ -28,27 +28,31 @@ INDEXING = ("<operator>.indirectIndexAccess", "<operator>.indirection")
 TRAVERSALS = ("next", "hasNext", "begin", "end", "find")
 READS = ("next", "read", "getline", "get", "front", "back", "at")
 MUTATORS = ("push_back", "push_front", "pop_back", "pop_front", "insert", "emplace", "emplace_back", "emplace_front", "erase", "remove", "clear", "append")
-REORDERS = ("sort", "stable_sort", "partial_sort", "nth_element", "reverse", "rotate", "shuffle", "random_shuffle")
+ORGANIZERS = (
+    "sort", "stable_sort", "partial_sort", "nth_element", "reverse", "rotate", "shuffle", "random_shuffle",
+    "std::sort", "std::stable_sort", "std::partial_sort", "std::nth_element", "std::reverse", "std::rotate", "std::shuffle", "std::random_shuffle",
+)
 # End of fixed values.
 WRITES = (ASSIGNMENT, *COMPOUND, *STEPS)
-ORGANIZERS = (*REORDERS, *(f"std::{c}" for c in REORDERS))
 LOOPS2, LOOPS3 = ("FOR", "WHILE"), ("FOR", "WHILE", "DO")
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """a, b, depth: b lies `depth` >= 1 tree edges below a. edges: src, dst of a forest.
 
-    Paths are doubled, so a tree of depth n takes log2(n) joins; each round is stored. The result has a row per node and ancestor: its size follows the
+    Paths are doubled, so a tree of depth n takes log2(n) joins; what each round adds is stored once. The result has a row per node and ancestor: its size follows the
     depth of the trees, and all joins are on node keys.
     """
-    step = stored(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).alias("depth")).distinct(), "closure")
+    parts = [stored(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).alias("depth")).distinct(), "closure")]
     reach = 1
     while True:
-        last = step.where(F.col("depth") == reach)
-        more = last.select("a", F.col("b").alias("m"), F.col("depth").alias("_d")).join(step.select(F.col("a").alias("m"), "b", "depth"), "m").select("a", "b", (F.col("_d") + F.col("depth")).alias("depth"))
+        step = reduce(DataFrame.unionByName, parts)
+        last = parts[-1].where(F.col("depth") == reach).select("a", F.col("b").alias("m"))
+        more = stored(last.join(step.select(F.col("a").alias("m"), "b", (F.col("depth") + reach).alias("depth")), "m").select("a", "b", "depth"), "closure")
         if more.isEmpty():
             return step
-        step, reach = stored(step.unionByName(more), "closure"), 2 * reach
+        parts.append(more)
+        reach *= 2
 
 
 class Cpg:
@@ -160,9 +164,10 @@ def gatherer(g: Cpg) -> DataFrame:
     first = g.assigned.where("d_label = 'LOCAL'").select("d", F.col("ref_edge").alias("r1"), F.col("arg_edge").alias("a1"))
     up = g.edge("AST").select(F.col("src").alias("p"), F.col("dst").alias("d"), F.col("edge_id").alias("e1"))
     down = g.edge("AST").select(F.col("src").alias("p"), F.col("dst").alias("cs"), F.col("edge_id").alias("e2"))
-    beside = up.join(down, "p").where("e1 <> e2").select("d", "cs")
     update = g.uses.select("d", F.col("c").alias("b"), "c_name", "ix", F.col("ref_edge").alias("r2"), F.col("arg_edge").alias("a2"))
-    d = first.join(beside, "d").join(update, "d").where("r1 <> r2 and a1 <> a2").join(g.control_over(*LOOPS2).select("cs", "b"), ["cs", "b"])
+    # loops that update a variable come first, then those of them beside its declaration: siblings are never paired
+    inside_loop = update.join(g.control_over(*LOOPS2).select("cs", "b"), "b").join(first, "d").where("r1 <> r2 and a1 <> a2")
+    d = inside_loop.join(up, "d").join(down, ["p", "cs"]).where("e1 <> e2").drop("p", "e1", "e2")
     by_operator = g.right_side().where("r_label <> 'LITERAL'").select(F.col("c").alias("b"))
     own = g.assigned.select(F.col("c").alias("b"), "d")
     again = g.right_side().join(g.holds.withColumnRenamed("x", "r"), "r").select(F.col("c").alias("b"), "d")

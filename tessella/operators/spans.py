@@ -30,7 +30,7 @@ def overlap_join(tokens: DataFrame, spans: DataFrame, on: list[str], token: tupl
     return d.where(F.col("_bucket") == F.floor(F.greatest(F.col(ts), F.col(ss)) / bucket)).drop("_bucket")
 
 
-def tree_labels(tokens: DataFrame, tree: DataFrame) -> DataFrame:
+def tree_labels(tokens: DataFrame, tree: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """tokens (path, token_index, token_id, token, start_byte, end_byte) with concepts: types of the named tree nodes that intersect each, in pre-order.
 
     Zero-width tokens are left out; tokens that meet no node have an empty list. A child's range lies inside its parent's, so the flat range condition
@@ -38,9 +38,15 @@ def tree_labels(tokens: DataFrame, tree: DataFrame) -> DataFrame:
     """
     tokens = tokens.where("end_byte > start_byte")
     nodes = tree.where("is_named").select("path", "preorder", "type", F.col("start_byte").alias("_ns"), F.col("end_byte").alias("_ne"))
-    hit = overlap_join(tokens.select("path", "token_index", "start_byte", "end_byte"), nodes, ["path"], ("start_byte", "end_byte"), ("_ns", "_ne"))
-    hit = hit.groupBy("path", "token_index").agg(F.sort_array(F.collect_list(F.struct("preorder", "type"))).alias("_n"))
-    return tokens.join(hit, ["path", "token_index"], "left").withColumn("concepts", F.coalesce(F.transform("_n", lambda n: n["type"]), F.array().cast("array<string>"))).drop("_n")
+    t = tokens.withColumn("_bucket", F.explode(_buckets(F.col("start_byte"), F.col("end_byte"), bucket))).alias("t")
+    n = nodes.withColumn("_bucket", F.explode(_buckets(F.col("_ns"), F.col("_ne"), bucket))).alias("n")
+    # tokens without a node come through the same join, as rows without one; a pair that shares several buckets is kept in the first
+    first = F.col("t._bucket") == F.floor(F.greatest("start_byte", "_ns") / bucket)
+    d = t.join(n, (F.col("t.path") == F.col("n.path")) & (F.col("t._bucket") == F.col("n._bucket")) & (F.col("end_byte") > F.col("_ns")) & (F.col("start_byte") < F.col("_ne")) & first, "left")
+    rest = [c for c in tokens.columns if c not in ("path", "token_index")]
+    hit = F.when(F.col("_ns").isNotNull(), F.struct("preorder", "type"))
+    d = d.groupBy("t.path", "token_index").agg(*(F.first(c).alias(c) for c in rest), F.sort_array(F.collect_list(hit)).alias("_n"))
+    return d.select(*tokens.columns, F.transform("_n", lambda n: n["type"]).alias("concepts"))
 
 
 def deepest_node(spans: DataFrame, tree: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -100,7 +106,10 @@ def token_labels_from_lines(annotations: DataFrame, files: DataFrame, tokens: Da
 
     Records without spans give nothing; a span that starts beyond its file labels nothing; repeated labels of a token are kept once (evidence ignored).
     """
-    records = annotations.where("size(spans) > 0").select(F.monotonically_increasing_id().alias("_record"), F.col("concept").alias("_concept"), "path", "spans")
+    # a record is known by its content and, of equal ones, its number, so that a task that runs again gives the same keys
+    records = annotations.where("size(spans) > 0").groupBy(F.col("concept").alias("_concept"), "path", "spans").agg(F.count("*").alias("_many"))
+    records = records.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "_many")).alias("_copy"))
+    records = records.select(F.struct("_concept", F.xxhash64("spans").alias("a"), F.xxhash64(F.lit(7), "spans").alias("b"), "_copy").alias("_record"), "_concept", "path", "spans")
     spans = records.select("_record", "_concept", "path", F.posexplode("spans").alias("_o", "_span"))
     spans = spans.select("_record", "_concept", "path", "_o", F.col("_span.start_line").alias("start_line"), F.col("_span.end_line").alias("end_line"), F.col("_span.annotations").alias("_a"))
     spans = line_spans_to_chars(spans, line_table(files)).where("span_start is not null")

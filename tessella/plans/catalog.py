@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +17,13 @@ from tessella.operators import purity as P
 from tessella.operators import snippets as N
 from tessella.operators import spans as S
 from tessella.operators.sweep import threshold_sweep
-from tessella.plans import graph_sql
+from tessella.plans import graph_sql, scoring
 from tessella.plans import views as V
 from tessella.plans.graph_fixture import build, sources
 from tessella.plans.prompts import messages, prompt_parts
 from tessella.plans.scoring import labelled_tokens, same_language, same_paths
-from tessella.sources import corpus, html, providers, taxonomy
+from tessella.sources import corpus, html, providers, sinks, taxonomy
+from tessella.sources.storage import shared_dir
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -111,6 +114,18 @@ def concept_select(s, d):
     return M.select_concepts(V.label_rows(s, d), 52).select("path", "token_index", F.array_join("concepts", ",").alias("concepts"))
 
 
+@query(f"{LAY} select path, token_index, array_to_string(concepts, ',') concepts from tok where exists (select 1 from (select concept from con group by concept having count(*) > 52) k where list_contains(concepts, k.concept))")
+def concept_select_joined(s, d):
+    # as for very many concepts
+    return M.select_concepts(V.label_rows(s, d), 52, limit=0).select("path", "token_index", F.array_join("concepts", ",").alias("concepts"))
+
+
+@query(f"{LAY}, once as (select layer, path, token_index, feature_id from post) select layer, feature_id, count(*) n from once group by all")
+def feature_presence(s, d):
+    a = V.activations(s, d)
+    return A.presence(a.withColumn("feature_ids", F.concat("feature_ids", "feature_ids")), ["layer", "path", "token_index"]).groupBy("layer", "feature_id").agg(F.count("*").alias("n"))
+
+
 @query(f"{LAY} select layer, concept, feature_id, count(*) count_joint from post join con using (path, token_index) group by all")
 def joint_counts(s, d):
     return M.joint_counts(V.activations(s, d), ["layer"])
@@ -141,28 +156,9 @@ def candidate_topk(s, d):
     return rounded(M.candidates(_pairs(s, d), ["layer"], MIN_PMI).select("layer", "concept", "feature_id", "rank", "count_joint", "pmi", "f1"))
 
 
-@query(f"""{MET} select concept, feature_id, (row_number() over (order by concept, pmi desc, "precision" desc, recall desc, f1 desc, count_joint desc, feature_id))::int place from m where layer = 0""")
-def ordered_metrics(s, d):
-    from pyspark.sql import Window
-
-    # the window only shows the order as a column; the operator itself is a range-partitioned sort
-    m = M.ordered_metrics(_pairs(s, d).where("layer = 0"))
-    key = ["concept", *(F.desc(c) for c in ("pmi", "precision", "recall", "f1", "count_joint")), "feature_id"]
-    first = m.groupBy("concept").agg(F.count("*").alias("n"))
-    heads = first.alias("a").join(first.select(F.col("concept").alias("c2"), F.col("n").alias("n2")), F.col("c2") < F.col("concept"), "left").groupBy("concept").agg(F.coalesce(F.sum("n2"), F.lit(0)).alias("head"))
-    return m.withColumn("k", F.row_number().over(Window.partitionBy("concept").orderBy(*key[1:]))).join(heads, "concept").select("concept", "feature_id", (F.col("k") + F.col("head")).cast("int").alias("place"))
-
-
 @query(f"""{MET} select layer, concept, feature_id, (row_number() over (partition by layer order by concept, pmi desc, "precision" desc, recall desc, f1 desc, count_joint desc, feature_id))::int place from m""")
-def ordered_metrics_whole(s, d):
-    from pyspark.sql import Window
-
-    # each layer has its own pair table and order
-    m = M.ordered_metrics(_pairs(s, d))
-    key = [*(F.desc(c) for c in ("pmi", "precision", "recall", "f1", "count_joint")), "feature_id"]
-    first = m.groupBy("layer", "concept").agg(F.count("*").alias("n"))
-    heads = first.join(first.select("layer", F.col("concept").alias("c2"), F.col("n").alias("n2")), "layer").groupBy("layer", "concept").agg(F.coalesce(F.sum(F.when(F.col("c2") < F.col("concept"), F.col("n2"))), F.lit(0)).alias("head"))
-    return m.withColumn("k", F.row_number().over(Window.partitionBy("layer", "concept").orderBy(*key))).join(heads, ["layer", "concept"]).select("layer", "concept", "feature_id", (F.col("k") + F.col("head")).cast("int").alias("place"))
+def ordered_metrics(s, d):
+    return M.numbered_metrics(_pairs(s, d), ["layer"]).select("layer", "concept", "feature_id", "place")
 
 
 EVT = """with ev as (select user_id::varchar path, (row_number() over (partition by user_id order by ts, event_id) - 1)::int token_index, event_type concept, value act, (props->>'$.k')::int feature_id from events),
@@ -237,9 +233,9 @@ def label_counts(s, d):
     return M.label_counts(V.events(s, d))
 
 
-@query(f"{LAY} select layer, path, token_index, case when token_index % 2 = 0 then array_to_string(concepts, ',') end concepts from lay")
+@query(f"{LAY}, k as (select concept from con group by concept having count(*) > 52) select layer, path, token_index, case when exists (select 1 from k where list_contains(concepts, k.concept)) then array_to_string(concepts, ',') end concepts from lay")
 def labels_left_join(s, d):
-    labels = V.label_rows(s, d).where("token_index % 2 = 0")
+    labels = M.select_concepts(V.label_rows(s, d), 52)
     return labelled_tokens(V.activations(s, d).drop("concepts"), labels).select("layer", "path", "token_index", F.array_join("concepts", ",").alias("concepts"))
 
 
@@ -302,23 +298,18 @@ def tree_overlap_join(s, d):
     return t.groupBy("path", X.last_element(F.col("concepts")).alias("ast_type")).agg(F.count("*").alias("n"), F.sum(F.size("concepts").cast("long")).alias("hits"))
 
 
-@query(f"{TRE}, sp as (select path, token_index, ba, bz from tk where token_index % 9 = 0), h as (select sp.path, sp.token_index, first(type order by z - a, preorder desc) node_type from sp join tre on tre.path = sp.path and tre.a <= ba and tre.z >= bz group by all) select path, node_type, count(*) n, sum(token_index)::bigint total from sp left join h using (path, token_index) group by all")
-def deepest_node(s, d):
-    sp = providers.byte_tokens(V.files(s, d)).where("token_index % 9 = 0").select("path", F.col("token_index").alias("span_id"), F.col("start_byte").alias("span_start"), F.col("end_byte").alias("span_end"))
-    return S.deepest_node(sp, _tree(s, d)).groupBy("path", "node_type").agg(F.count("*").alias("n"), F.sum("span_id").alias("total"))
-
-
 @query(f"{TRE}, h as (select tk.path, tk.token_index, first(type order by z - a, preorder desc) node_type from (select path, token_index, ba, bz from tk) tk join tre on tre.path = tk.path and tre.a <= ba and tre.z >= bz group by all) select tk.path, node_type, count(*) n, sum(token_index)::bigint total from tk left join h using (path, token_index) group by all")
-def deepest_node_whole(s, d):
+def deepest_node(s, d):
     sp = providers.byte_tokens(V.files(s, d)).select("path", F.col("token_index").alias("span_id"), F.col("start_byte").alias("span_start"), F.col("end_byte").alias("span_end"))
     return S.deepest_node(sp, _tree(s, d)).groupBy("path", "node_type").agg(F.count("*").alias("n"), F.sum("span_id").alias("total"))
 
 
-@query("""with a as (select conv_id, turn, role, left(text, 1) l from conversations), r as (select *, row_number() over (partition by conv_id, role, l order by turn) k from a)
-select conv_id, string_agg(role || l, ',' order by turn) labels, string_agg(turn, ',' order by turn) turns from r where k = 1 group by conv_id""")
+@query("""with r as (select *, row_number() over (partition by conv_id, role, text order by turn) k from conversations)
+select conv_id, string_agg(role || text, ',' order by turn) labels, string_agg(turn, ',' order by turn) turns from r where k = 1 group by conv_id""")
 def annotation_dedup(s, d):
-    c = V.table(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.left("text", F.lit(1)).alias("l")))).alias("a"))
-    a = F.transform("a", lambda x: F.struct(x["role"].alias("category"), x["l"].alias("label"), F.lit("t").alias("label_type"), F.lit("low").alias("confidence"), x["turn"].cast("string").alias("evidence")))
+    # each conversation twice over, so that every label comes again
+    c = V.table(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("l")))).alias("a"))
+    a = F.transform(F.concat("a", "a"), lambda x: F.struct(x["role"].alias("category"), x["l"].alias("label"), F.lit("t").alias("label_type"), F.lit("low").alias("confidence"), x["turn"].cast("string").alias("evidence")))
     k = S.dedupe_annotations(a, S.LABEL_KEYS)
     return c.select("conv_id", F.array_join(F.transform(k, lambda x: F.concat(x["category"], x["label"])), ",").alias("labels"), F.array_join(F.transform(k, lambda x: x["evidence"]), ",").alias("turns"))
 
@@ -339,43 +330,23 @@ def token_labels(s, d):
     return t.groupBy("path", F.array_join("concepts", ",").alias("concepts")).agg(F.count("*").alias("n"), F.sum("token_index").alias("total"))
 
 
-@query(f"{TOK} select tk.path, line, count(*) n, sum(token_index)::bigint total from tk join (select path, line::int line, line_start, line_end from lin where line % 3 = 1) l on l.path = tk.path and z > line_start and a < line_end group by all")
-def token_labels_graph(s, d):
-    f = V.files(s, d)
-    g = S.line_table(f).where("line % 3 = 1").select(F.lit("g").alias("concept"), "path", F.lit("v").alias("variable_name"), "line", F.lit(1).alias("column"), F.lit("").alias("code"), F.col("line_start").alias("span_start"), F.col("line_end").alias("span_end"), F.lit(None).cast("int").alias("num_writes"))
-    t = S.build_token_labels("graph", g, f, providers.tokens(f), filter_space_tokens=False)
-    return t.groupBy("path", "line").agg(F.count("*").alias("n"), F.sum("token_index").alias("total"))
-
-
 @query(f"{TOK} select tk.path, line, count(*) n, sum(token_index)::bigint total from tk join (select path, line::int line, line_start, line_end from lin) l on l.path = tk.path and z > line_start and a < line_end group by all")
-def token_labels_graph_whole(s, d):
+def token_labels_graph(s, d):
     f = V.files(s, d)
     g = S.line_table(f).select(F.lit("g").alias("concept"), "path", F.lit("v").alias("variable_name"), "line", F.lit(1).alias("column"), F.lit("").alias("code"), F.col("line_start").alias("span_start"), F.col("line_end").alias("span_end"), F.lit(None).cast("int").alias("num_writes"))
     t = S.build_token_labels("graph", g, f, providers.tokens(f), filter_space_tokens=False)
     return t.groupBy("path", "line").agg(F.count("*").alias("n"), F.sum("token_index").alias("total"))
 
 
-@query("select doc_id, strlen(left(coalesce(text, ''), (doc_id * 7 % 500)::bigint))::int bytes from documents")
-def char_to_byte(s, d):
-    return V.table(s, d, "documents").select("doc_id", X.char_to_byte(F.coalesce("text", F.lit("")), (F.col("doc_id") * 7 % 500).cast("int")).alias("bytes"))
-
-
 @query("select doc_id, k::int k, strlen(left(coalesce(text, ''), (k * length(coalesce(text, '')) // 10)::bigint))::int bytes from documents, unnest(range(11)) u(k)")
-def char_to_byte_whole(s, d):
+def char_to_byte(s, d):
     x = V.table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     at = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda k: F.struct(k.alias("k"), X.char_to_byte(F.col("text"), F.floor(F.length("text").cast("long") * k / 10).cast("int")).alias("bytes")))
     return x.select("doc_id", F.inline(at))
 
 
-@query("select doc_id, replace(replace(left(text, 12), ' ', '▁'), 'e', '▁') token from documents where replace(replace(replace(left(text, (doc_id % 3)::bigint), ' ', '▁'), 'e', '▁'), '▁', '') <> ''")
-def space_filter(s, d):
-    marks = lambda c: F.replace(F.replace(c, F.lit(" "), F.lit("▁")), F.lit("e"), F.lit("▁"))
-    x = V.table(s, d, "documents").select("doc_id", marks(F.left("text", F.lit(12))).alias("token"), marks(F.left("text", (F.col("doc_id") % 3).cast("int"))).alias("_p"))
-    return x.where(~X.is_space_token(F.col("_p"))).drop("_p")
-
-
 @query(f"{TOK}, m as (select path, token_index, replace(replace(token, ' ', '▁'), 'e', '▁') token from tk) select path, count(*) n, sum(token_index)::bigint total, sum(length(token))::bigint chars from m where replace(token, '▁', '') <> '' group by path")
-def space_filter_whole(s, d):
+def space_filter(s, d):
     x = providers.tokens(V.files(s, d)).withColumn("token", F.replace(F.replace("token", F.lit(" "), F.lit("▁")), F.lit("e"), F.lit("▁")))
     return x.where(~X.is_space_token(F.col("token"))).groupBy("path").agg(F.count("*").alias("n"), F.sum("token_index").alias("total"), F.sum(F.length("token")).alias("chars"))
 
@@ -399,23 +370,16 @@ def language_resolution(s, d):
     return p.select("page_id", corpus.language_of(F.col("path")).alias("language"))
 
 
-@query(r"select a.item_id l, b.item_id r, levenshtein(left(regexp_replace(a.text, '[^\x00-\x7F]', '', 'g'), 60), left(regexp_replace(b.text, '[^\x00-\x7F]', '', 'g'), 60))::int distance from benchmark a join benchmark b on a.item_id < b.item_id")
-def levenshtein(s, d):
-    # a benchmark is a list of bounded length: its pairs are the query's subject
-    t = V.table(s, d, "benchmark").select(F.col("item_id").alias("l"), F.left(F.regexp_replace("text", r"[^\x00-\x7F]", ""), F.lit(60)).alias("a"))
-    return t.join(t.select(F.col("l").alias("r"), F.col("a").alias("b")), F.col("l") < F.col("r")).select("l", "r", F.levenshtein("a", "b").alias("distance"))
-
-
 def bytewise(table: str) -> str:
     """Relation x (f, g): the characters of the table's texts that aren't printable ASCII or white space, and a control character for each. DuckDB's edit distance counts bytes; an error if there are more than 22."""
     return rf"""x as (select f, case when length(f) > 22 then error('more characters than stand-ins') else left((select string_agg(chr(i::int), '' order by i) from (select unnest(range(1, 9) || range(14, 28)) i)), length(f)) end g
 from (select coalesce(string_agg(distinct c, '' order by c), '') f from (select unnest(string_split(regexp_replace(text, '[\x09-\x0D\x1C-\x7F]', '', 'g'), '')) c from {table}) where c <> ''))"""
 
 
-@query(f"with {bytewise('benchmark')}, t as (select item_id, translate(text, f, g) text from benchmark cross join x) select a.item_id l, b.item_id r, levenshtein(a.text, b.text)::int distance from t a join t b on a.item_id < b.item_id")
-def levenshtein_whole(s, d):
-    t = V.table(s, d, "benchmark").select(F.col("item_id").alias("l"), F.col("text").alias("a"))
-    return t.join(t.select(F.col("l").alias("r"), F.col("a").alias("b")), F.col("l") < F.col("r")).select("l", "r", F.levenshtein("a", "b").alias("distance"))
+@query(f"with {bytewise('benchmark')}, t as (select item_id, translate(text, f, g) text from benchmark cross join x) select a.item_id l, b.item_id r, levenshtein(a.text, b.text)::int distance from t a join t b on b.item_id = a.item_id + 1")
+def levenshtein(s, d):
+    t = V.table(s, d, "benchmark").select("item_id", "text")
+    return t.join(t.select((F.col("item_id") - 1).alias("_before"), F.col("item_id").alias("r"), F.col("text").alias("b")), F.col("item_id") == F.col("_before")).select(F.col("item_id").alias("l"), "r", F.levenshtein("text", "b").alias("distance"))
 
 
 @query(r"select doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) text from documents")
@@ -453,23 +417,12 @@ def match_span(s, d):
     return N.match_span(f, ["doc_id"]).select("doc_id", "start_line", "end_line", "match_method")
 
 
-@query(r"""with p as (select conv_id, turn, regexp_replace(text, '[^\x00-\x7F]', '', 'g') text from conversations), c as (select *, 'zq ' || left(text, 9) || ' qz' q, split(text, chr(10)) ls from p),
-w as (select conv_id, turn, q, a, k, array_to_string(ls[a : a + k - 1], chr(10)) r from c, unnest(range(1, len(ls) + 1)) x(a), unnest(range(1, least(15, len(ls) - a + 1) + 1)) y(k)),
-v as (select *, levenshtein(trim(regexp_replace(r, '\s+', ' ', 'g')), trim(regexp_replace(q, '\s+', ' ', 'g'))) cost from w),
-g as (select conv_id, turn, first(a order by cost, abs(a - 1), k, a) a, first(k order by cost, abs(a - 1), k, a) k, bool_or(contains(r, q) or contains(q, r)) exact from v group by all)
-select conv_id, turn, a::int start_line, (a + k - 1)::int end_line from g where not exact""")
-def match_span_fuzzy(s, d):
-    # edit distances of letters outside ASCII are counted in bytes by some engines
-    c = V.table(s, d, "conversations").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "")).select("conv_id", "turn", F.col("text").alias("code"), F.concat(F.lit("zq "), F.left("text", F.lit(9)), F.lit(" qz")).alias("snippet"), F.lit(0).alias("start_hint"), F.lit(0).alias("end_hint"))
-    return N.match_span(c, ["conv_id", "turn"]).where("match_method = 'levenshtein'").select("conv_id", "turn", "start_line", "end_line")
-
-
 @query(rf"""with {bytewise('conversations')}, p as (select conv_id, turn, translate(text, f, g) text from conversations cross join x), c as (select *, 'zq ' || left(text, 9) || ' qz' q, split(text, chr(10)) ls from p),
 w as (select conv_id, turn, q, a, k, array_to_string(ls[a : a + k - 1], chr(10)) r from c, unnest(range(1, len(ls) + 1)) x(a), unnest(range(1, least(15, len(ls) - a + 1) + 1)) y(k)),
 v as (select *, levenshtein(trim(regexp_replace(r, '\s+', ' ', 'g')), trim(regexp_replace(q, '\s+', ' ', 'g'))) cost from w),
 g as (select conv_id, turn, first(a order by cost, abs(a - 1), k, a) a, first(k order by cost, abs(a - 1), k, a) k, bool_or(contains(r, q) or contains(q, r)) exact from v group by all)
 select conv_id, turn, a::int start_line, (a + k - 1)::int end_line from g where not exact""")
-def match_span_fuzzy_whole(s, d):
+def match_span_fuzzy(s, d):
     c = V.table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("code"), F.concat(F.lit("zq "), F.left("text", F.lit(9)), F.lit(" qz")).alias("snippet"), F.lit(0).alias("start_hint"), F.lit(0).alias("end_hint"))
     return N.match_span(c, ["conv_id", "turn"]).where("match_method = 'levenshtein'").select("conv_id", "turn", "start_line", "end_line")
 
@@ -495,11 +448,23 @@ def normalize_annotation(s, d):
     return e.withColumn("l", X.normalize_label(F.col("a"), F.lit("con"))).select("event_id", "l.label", "l.label_type", "l.category", "l.confidence")
 
 
-@query(r"select doc_id, regexp_extract(lower(coalesce(text, '')), '[a-z]{4,}') word, case when regexp_extract(lower(coalesce(text, '')), '[a-z]{4,}') <> '' then length(regexp_extract(lower(coalesce(text, '')), '(?s)^(.*?)(^|[^a-zà-ÿ0-9_])' || regexp_extract(lower(coalesce(text, '')), '(?:^|[^a-zà-ÿ0-9_])([a-z]{4,})(?:$|[^a-zà-ÿ0-9_])', 1) || '($|[^a-zà-ÿ0-9_])', 1)) end * 0 zero from documents")
+@query("""select event_id, case event_id % 3 when 0 then 'own' when 1 then event_type else 'c' || event_type end label, case event_id % 3 when 0 then 'kept' when 1 then 'pattern' else 'label' end label_type, null::varchar confidence from events""")
+def normalize_annotation_kept(s, d):
+    m, none = F.col("event_id") % 3, F.lit(None).cast("string")
+    a = F.struct(
+        F.when(m == 0, "own").alias("label"), F.when(m == 1, F.col("event_type")).alias("pattern"), none.alias("idiom"), none.alias("paradigm"), F.concat(F.lit("c"), "event_type").alias("concept"), F.when(m == 0, "kept").alias("label_type"),
+        none.alias("category"), none.alias("confidence"), none.alias("evidence"),
+    )
+    e = V.table(s, d, "events").select("event_id", a.alias("a"))
+    return e.withColumn("l", X.normalize_label_kept(F.col("a"))).select("event_id", "l.label", "l.label_type", "l.confidence")
+
+
+@query(r"""with t as (select doc_id, coalesce(text, '') t, regexp_extract(coalesce(text, ''), '[a-z]{4,}') w from documents),
+p as (select *, '(?s)^(|.*?[^\pL\pN_])' || w || '($|[^\pL\pN_])' p from t) select doc_id, w word, case when w <> '' and regexp_matches(t, p) then length(regexp_extract(t, p, 1)) end::int place from p""")
 def identifier_word(s, d):
-    t = F.lower(F.coalesce("text", F.lit("")))
-    w = F.regexp_extract(t, "[a-z]{4,}", 0)
-    return V.table(s, d, "documents").select("doc_id", w.alias("word"), F.when(w != "", F.coalesce(X.word_place(F.concat_ws(" ", w, t), w), F.lit(0)) * 0).cast("long").alias("zero"))
+    t = F.coalesce(F.col("text"), F.lit(""))
+    d = V.table(s, d, "documents").select("doc_id", t.alias("t"), F.regexp_extract(t, "[a-z]{4,}", 0).alias("word"))
+    return d.select("doc_id", "word", F.when(F.col("word") != "", X.word_place(F.col("t"), F.col("word"))).alias("place"))
 
 
 @query("select l_orderkey, l_linenumber, l_partkey, length('for (' || l_suppkey || '; ')::int place, length('part' || l_partkey)::int size from lineitem")
@@ -530,6 +495,93 @@ def html_list(s, d):
     return got.groupBy("page_id").agg(F.count("*").cast("int").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "name"))), lambda x: x["name"]), "|").alias("names"))
 
 
+
+@query("select o_custkey page_id, 'Customer ' || o_custkey section, 'Orders of ' || o_custkey section_description, 'Order ' || o_orderkey name, o_orderstatus description from orders")
+def html_tables(s, d):
+    row = F.concat(F.lit("<tr><td>Order <b>"), F.col("o_orderkey").cast("string"), F.lit("</b>[1]</td><td>"), "o_orderstatus", F.lit("</td></tr>"))
+    o = V.table(s, d, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_join(F.collect_list(row), "").alias("r"))
+    page = F.concat(F.lit("<h3>Customer "), "page_id", F.lit("</h3><p>Orders of "), "page_id", F.lit("</p><table class='wikitable big'><tr><th>a</th></tr>"), "r", F.lit("<tr><td>alone</td></tr></table><h3>No table</h3>"))
+    return html.extract_tables(o.select("page_id", page.alias("html")))
+
+
+@query(r"""with c as (select conv_id || '/' || turn path, split(text, chr(10))[1] l from conversations), m as (select *, trim(regexp_replace(l, '\s+', ' ', 'g')) <> '' ok from c)
+select path, case when ok then 1 else 0 end::int n, case when ok then 'exact_bounds' end match_method, case when ok then 'Guard' end label, case when ok then 'k' end category from m""")
+def collect_spans(s, d):
+    first = F.get(F.split("text", "\n"), F.lit(0))
+    element = F.struct(F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), first.alias("snippet"))
+    answer = F.concat(F.lit("Sure: "), F.to_json(F.struct(F.array(F.struct(F.lit("Guard").alias("idiom"), F.array(element).alias("code_elements"))).alias("labels"))), F.lit(" bye"))
+    c = V.table(s, d, "conversations").select(F.lit("k").alias("concept"), F.lit("C").alias("language"), F.concat("conv_id", F.lit("/"), "turn").alias("path"), F.col("text").alias("code"), answer.alias("answer"))
+    got, one = N.collect_spans(c), F.get("spans", F.lit(0))
+    return got.select("path", F.size("spans").alias("n"), one["match_method"].alias("match_method"), one["annotations"][0]["label"].alias("label"), one["annotations"][0]["category"].alias("category"))
+
+
+@query("""with c as (select p_partkey k, 'v' || p_partkey || ' = ' || p_size code from part) select k, 'Module' type, 0 start_byte, length(code)::int + 1 end_byte from c union all select k, 'Assign', 0, length(code)::int from c
+union all select k, 'Name', 0, instr(code, ' ')::int - 1 from c union all select k, 'Constant', instr(code, '=')::int + 1, length(code)::int from c""")
+def syntax_trees(s, d):
+    code = F.concat(F.lit("v"), F.col("p_partkey").cast("string"), F.lit(" = "), F.col("p_size").cast("string"), F.lit("\n"))
+    t = providers.syntax_trees(V.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.lit("Python").alias("language"), code.alias("code")))
+    return t.select(F.col("path").cast("long").alias("k"), "type", "start_byte", "end_byte")
+
+
+@query(f"{SWP} select layer, concept, feature_id, count_joint, rank, {_SCORE} from swp")
+def scoring_job(s, d):
+    # every token has a frequent label, so the selection of concepts keeps all rows; one layer is there before, and stays
+    base = f"{shared_dir(s)}/scoring-{uuid.uuid4().hex}"
+    folder = {"tcf": f"{base}/tcf", "ast_purity": f"{base}/purity"}
+    a, labels = V.activations(s, d).drop("concepts"), V.label_rows(s, d)
+    scoring.run(a.where("layer = 1"), labels, None, folder, min_pmi=MIN_PMI)
+    scoring.run(a, labels, None, folder, min_pmi=MIN_PMI)
+    return rounded(s.read.parquet(folder["tcf"]).select("layer", "concept", "feature_id", "count_joint", "rank", "pmi", "f1", "tcf", "precision", "recall", "span_recall", "optimal_threshold"))
+
+
+# --- what is written is read again -------------------------------------------------------------------------------------------
+
+
+def _written(s, df: DataFrame, ending: str) -> str:
+    path = f"{shared_dir(s)}/written-{uuid.uuid4().hex}{ending}"
+    sinks.write_frame(df, path)
+    return path
+
+
+@query("select conv_id, turn, role, text, text || '|' || turn joined from conversations")
+def write_csv(s, d):
+    c = V.table(s, d, "conversations").withColumn("parts", F.array("text", F.col("turn").cast("string")))
+    # quotes inside quoted fields are escaped by a backslash, line ends stay
+    back = s.read.schema("conv_id long, turn int, role string, text string, parts string").option("header", "true").option("multiLine", "true").csv(_written(s, c.select("conv_id", "turn", "role", "text", "parts"), ".csv"))
+    return back.select("conv_id", F.col("turn").cast(c.schema["turn"].dataType).alias("turn"), "role", "text", F.array_join(F.from_json("parts", "array<string>"), "|").alias("joined"))
+
+
+@query("select conv_id, turn, role, text, text || '|' || turn joined from conversations")
+def write_jsonl(s, d):
+    c = V.table(s, d, "conversations").withColumn("parts", F.array("text", F.col("turn").cast("string")))
+    back = corpus.read_jsonl(s, _written(s, c, ".jsonl"), "conv_id long, turn int, role string, text string, parts array<string>").where("_corrupt_record is null")
+    return back.select("conv_id", F.col("turn").cast(c.schema["turn"].dataType).alias("turn"), "role", "text", F.array_join("parts", "|").alias("joined"))
+
+
+@query("select vec_id, list_sum(list_transform(embedding, lambda x: round_even(x::double * 1024, 0)::bigint))::bigint total from embeddings")
+def write_parquet(s, d):
+    back = s.read.parquet(_written(s, V.table(s, d, "embeddings").select("vec_id", "embedding"), ".parquet"))
+    return back.select("vec_id", F.aggregate("embedding", F.lit(0).cast("long"), lambda a, x: a + F.rint(x.cast("double") * 1024).cast("long")).alias("total"))
+
+
+@query("select 'N' || s_nationkey language, s_suppkey || '.txt' name, s_name || chr(10) || s_suppkey code from supplier")
+def write_files(s, d):
+    path = f"{shared_dir(s)}/files-{uuid.uuid4().hex}"
+    x = V.table(s, d, "supplier").select(F.concat(F.lit("N"), "s_nationkey").alias("language"), F.concat(F.lit("N/"), "s_suppkey", F.lit(".txt")).alias("file_name"), F.concat("s_name", F.lit("\n"), "s_suppkey").alias("code"))
+    sinks.write_files(x, path)
+    back = corpus.read_files(s, path, known_only=False)
+    folder = lambda k: F.regexp_extract("path", f"/{k}=([^/]*)", 1)
+    return back.select(folder("language").alias("language"), folder("name").alias("name"), F.regexp_replace("code", "\n$", "").alias("code"))
+
+
+@query("select n_nationkey::int ordinal, n_name name, 'In ' || n_regionkey description, 3 as level from nation")
+def write_taxonomy(s, d):
+    path = f"{shared_dir(s)}/taxonomy-{uuid.uuid4().hex}.json"
+    x = V.table(s, d, "nation").orderBy("n_nationkey").select(F.col("n_name").alias("name"), F.concat(F.lit("In "), "n_regionkey").alias("description"))
+    sinks.write_taxonomy(x, path, 3, "Nations")
+    return taxonomy.read_taxonomy(s, {path: 3}).select("ordinal", "name", "description", "level")
+
+
 TREE = {"label": "Shapes", "level": 9, "concepts": [{"name": "Loop", "description": "Runs again", "subconcepts": [{"name": "For", "description": "Counts"}, {"name": "While", "description": "Waits", "subconcepts": [{"name": "Do"}]}]}, {"name": "Branch", "description": "Chooses"}]}
 
 
@@ -556,7 +608,7 @@ def language_map(s, d):
 
 def _pattern(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return G.default_registry().run(name, V.cpg(spark))
+        return G.default_registry().run(name, V.cpg(spark, sf_dir))
 
     run.__name__ = f"cpg_{name}"
     return query(graph_sql.pattern_sql(name))(run)
@@ -569,5 +621,15 @@ for _name in CONCEPTS:
 
 @query(graph_sql.annotations_sql(CONCEPTS, sources(build()[0])))
 def graph_annotations(s, d):
-    g = V.cpg(s)
-    return G.annotations(G.default_registry().run_all(g), g.nodes, V.cpg_files(s))[0]
+    g = V.cpg(s, d)
+    return G.annotations(G.default_registry().run_all(g), g.nodes, V.cpg_files(s, d))[0]
+
+
+PLACES = ["future_return_dependency_decl", "future_return_dependency", *G.CONTROL]
+
+
+@query(graph_sql.unmatched_sql(PLACES, sources(build()[0])))
+def graph_unmatched(s, d):
+    g, r = V.cpg(s, d), G.default_registry()
+    r.patterns = {c: r.patterns[c] for c in PLACES}
+    return G.annotations(r.run_all(g), g.nodes, V.cpg_files(s, d))[1]

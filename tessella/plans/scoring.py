@@ -34,7 +34,8 @@ def labelled_tokens(activations: DataFrame, labels: DataFrame, dedupe_labels: bo
 def score(activations: DataFrame, labels: DataFrame, min_pmi: float = MIN_PMI, min_joint: int = MIN_JOINT, top: int = TOP, bins: int = BINS, threshold: int = 10, dedupe_labels: bool = False) -> tuple[DataFrame, DataFrame]:
     """(scores, pairs): candidate pairs with their sweep, and all pairs, by layer. One plan for all layers; segmentation depends on labels alone."""
     labels = select_concepts(labels, threshold)
-    df = labelled_tokens(same_language(activations, labels), labels, dedupe_labels)
+    activations = same_language(activations, labels)
+    df = labelled_tokens(activations, labels, dedupe_labels)
     pairs = pair_metrics(df, ["layer"])
     best = candidates(pairs, ["layer"], min_pmi, min_joint, top)
     post = postings(activations, ["layer", "path", "token_index"]).where("act > 0")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from tessella import schemas
 from tessella.operators.activations import dense_to_sparse
 from tessella.operators.graph import Cpg
 from tessella.plans.graph_fixture import build, sources
+from tessella.sources.sinks import read_graph, write_graph
+from tessella.sources.storage import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,17 +59,35 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.concat(F.lit("/c/"), F.coalesce("lang", F.lit("?")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("lang").alias("language"), F.coalesce("text", F.lit("")).alias("code"))
 
 
-_CPG: dict[str, Cpg] = {}
+_CPG: dict[tuple[str, str], Cpg] = {}
+
+
+def _per_supplier(spark: SparkSession, d: str, rows: list[tuple], schema: str) -> DataFrame:
+    """k and the rows of a small literal table, once for each supplier: the literal is a constant of the plan, so nothing is joined."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    kind = f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in schema.split(', '))}>>"
+    return table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("k"), F.inline(F.from_json(F.lit(text), kind)))
+
+
+def fixture_cpg(spark: SparkSession) -> Cpg:
+    nodes, edges = build()
+    return Cpg(spark.createDataFrame(nodes, schemas.CPG_NODES), spark.createDataFrame(edges, schemas.CPG_EDGES))
 
 
-def cpg(spark: SparkSession) -> Cpg:
-    """The fixture's graph, once for each application: its stored relations serve all pattern queries."""
-    key = spark.sparkContext.applicationId
+def cpg(spark: SparkSession, d: str) -> Cpg:
+    """The fixture's graph once for each supplier, in files of its own, so that the graph grows with the tables. Its stored relations serve all pattern queries of an application."""
+    key = spark.sparkContext.applicationId, d
     if key not in _CPG:
         nodes, edges = build()
-        _CPG[key] = Cpg(spark.createDataFrame(nodes, schemas.CPG_NODES), spark.createDataFrame(edges, schemas.CPG_EDGES))
+        own = F.when(F.col("filename") != "<empty>", F.concat(F.lit("s"), F.col("k").cast("string"), F.lit("/"), "filename")).otherwise(F.col("filename"))
+        n = _per_supplier(spark, d, nodes, schemas.CPG_NODES).withColumns({"id": F.col("id") + 1000 * F.col("k"), "filename": own}).drop("k")
+        e = _per_supplier(spark, d, edges, schemas.CPG_EDGES).withColumns({c: F.col(c) + 1000 * F.col("k") for c in ("edge_id", "src", "dst")}).drop("k")
+        root = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+        write_graph(n, e, root)
+        _CPG[key] = Cpg(*read_graph(spark, root))
     return _CPG[key]
 
 
-def cpg_files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sources(build()[0]), schemas.CODE_FILES)
+def cpg_files(spark: SparkSession, d: str) -> DataFrame:
+    return _per_supplier(spark, d, sources(build()[0]), schemas.CODE_FILES).withColumn("path", F.concat(F.lit("s"), F.col("k").cast("string"), F.lit("/"), "path")).drop("k")

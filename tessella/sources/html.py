@@ -16,18 +16,29 @@ class _Node:
     def __init__(self, tag: str, attrs: dict, parent: "_Node | None"):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
-    def find(self, tag: str) -> list["_Node"]:
-        out = []
-        for c in self.children:
-            if isinstance(c, _Node):
-                out += [c] * (c.tag == tag) + c.find(tag)
+    def below(self) -> list["_Node"]:
+        """All nodes under this one, in document order; by a stack, as pages nest deeper than calls may."""
+        out, todo = [], [c for c in reversed(self.children) if isinstance(c, _Node)]
+        while todo:
+            out.append(todo.pop())
+            todo += [c for c in reversed(out[-1].children) if isinstance(c, _Node)]
         return out
 
+    def find(self, tag: str) -> list["_Node"]:
+        return [n for n in self.below() if n.tag == tag]
+
     def direct(self, tag: str) -> list["_Node"]:
         return [c for c in self.children if isinstance(c, _Node) and c.tag == tag]
 
     def text(self, without: str = "") -> str:
-        return "".join(c if isinstance(c, str) else "" if c.tag == without else c.text(without) for c in self.children)
+        out, todo = [], self.children[::-1]
+        while todo:
+            c = todo.pop()
+            if isinstance(c, str):
+                out.append(c)
+            elif c.tag != without:
+                todo += c.children[::-1]
+        return "".join(out)
 
 
 class _Tree(HTMLParser):
@@ -81,20 +92,13 @@ def title_and_description(s: str) -> tuple[str, str]:
 
 def tables(html: str) -> list[tuple]:
     """(section, section description, name, description) of each row with two cells of the n-th wikitable, under the n-th h3; the shorter list ends it."""
-    root, order = parse(html), []
-
-    def walk(n: _Node) -> None:
-        order.append(n)
-        for c in n.children:
-            if isinstance(c, _Node):
-                walk(c)
-
-    walk(root)
+    order = parse(html).below()
+    place = {id(n): i for i, n in enumerate(order)}
     heads = [n for n in order if n.tag == "h3"]
     found = [n for n in order if n.tag == "table" and "wikitable" in (n.attrs.get("class") or "").split()]
     out = []
     for h, t in zip(heads, found):
-        after = next((n for n in order[order.index(h) + 1 :] if n.tag == "p"), None)
+        after = next((n for n in order[place[id(h)] + 1 :] if n.tag == "p"), None)
         about = _SPACE.sub(" ", after.text()).strip() if after else ""
         for row in t.find("tr"):
             cells = row.direct("td")
@@ -110,17 +114,15 @@ def nested_list(html: str, first: str | None = "Imperative") -> list[tuple]:
     def name_of(li: _Node) -> tuple[str, str]:
         return title_and_description(_SPACE.sub(" ", li.text("ul")).strip())
 
-    def walk(ul: _Node, parent: str | None, depth: int) -> None:
-        for li in ul.direct("li"):
-            name, about = name_of(li)
-            out.append((name, about, parent, depth, len(out)))
-            for inner in li.direct("ul"):
-                walk(inner, name, depth + 1)
-
     for ul in parse(html).find("ul"):
         items = ul.direct("li")
         if items and (first is None or name_of(items[0])[0] == first):
-            walk(ul, None, 0)
+            todo = [(li, None, 0) for li in reversed(items)]
+            while todo:
+                li, parent, depth = todo.pop()
+                name, about = name_of(li)
+                out.append((name, about, parent, depth, len(out)))
+                todo += [(x, name, depth + 1) for inner in reversed(li.direct("ul")) for x in reversed(inner.direct("li"))]
             break
     return out
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Callable
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.schemas import ACTIVATIONS, TREE
+from tessella.sources.braces import KEYWORDS, brace_tree
 
 #: Words, runs of white space, and single other characters.
 TOKEN = r"\w+|\s+|[^\w\s]"
@@ -19,6 +21,26 @@ def hook_name(layer: int, point: str) -> str:
     return f"blocks.{layer}.{point}"
 
 
+def layer_count(config: dict) -> int:
+    """The number of layers of a model's configuration (num_hidden_layers or n_layers); ValueError if it is missing or 0."""
+    n = config.get("num_hidden_layers") or config.get("n_layers")
+    if not n:
+        raise ValueError("the model configuration states no layers")
+    return int(n)
+
+
+def token_vectors(values: list) -> list[list[float]]:
+    """Activations of one text as a vector for each token: tokens x width as they are, 1 x tokens x width without its outer level; anything else raises ValueError."""
+    depth, x = 0, values
+    while isinstance(x, (list, tuple)) or hasattr(x, "shape") and getattr(x, "shape", ()):
+        depth, x = depth + 1, x[0] if len(x) else None
+    if depth == 3 and len(values) == 1:
+        values, depth = values[0], 2
+    if depth != 2 or len({len(v) for v in values}) != 1:
+        raise ValueError("activations must be tokens x width, or 1 x tokens x width")
+    return [list(map(float, v)) for v in values]
+
+
 def tokens(files: DataFrame, pattern: str = TOKEN) -> DataFrame:
     """schemas.TOKENS of files (path, code; a row for each path) by a regular expression: expressions, no Python. token_id is a hash.
 
@@ -47,7 +69,9 @@ def python_tree(code: str) -> list[tuple]:
         heads.append(n)
         n += len(line) + 1
 
-    def walk(node: ast.AST, parent: int | None) -> None:
+    todo: list[tuple[ast.AST, int | None]] = [(ast.parse(code), None)]  # a stack: deep trees are no deep calls
+    while todo:
+        node, parent = todo.pop()
         here = parent
         if hasattr(node, "lineno"):
             here = len(out)
@@ -55,15 +79,12 @@ def python_tree(code: str) -> list[tuple]:
         elif isinstance(node, ast.Module):
             here = 0
             out.append((0, None, 0, "Module", True, 0, len(code.encode())))
-        for child in ast.iter_child_nodes(node):
-            walk(child, here)
-
-    walk(ast.parse(code), None)
+        todo += [(child, here) for child in reversed(list(ast.iter_child_nodes(node)))]
     return out
 
 
-#: Language -> source text to tree rows. Register a parser here.
-TREE_BUILDERS: dict[str, Callable[[str], list[tuple]]] = {"Python": python_tree}
+#: Language -> source text to tree rows: Python by its own parser, the others by their brackets and words. Register another parser here.
+TREE_BUILDERS: dict[str, Callable[[str], list[tuple]]] = {"Python": python_tree, **{k: partial(brace_tree, language=k) for k in KEYWORDS}}
 
 
 def syntax_trees(files: DataFrame, builders: dict[str, Callable[[str], list[tuple]]] | None = None) -> DataFrame:
@@ -79,7 +100,7 @@ def syntax_trees(files: DataFrame, builders: dict[str, Callable[[str], list[tupl
                     raise ValueError(f"no tree builder for {language!r}")
                 try:
                     tree = table[language](code or "")
-                except SyntaxError:
+                except (SyntaxError, RecursionError, MemoryError, ValueError):  # the parser itself gives up on some nesting, and on null bytes
                     tree = [(0, None, 0, "ERROR", True, 0, len((code or "").encode()))]
                 got += [(path, *r) for r in tree]
             yield pd.DataFrame(got, columns=cols).astype({"node_id": "int32", "preorder": "int32", "start_byte": "int32", "end_byte": "int32", "parent_id": "Int32"})

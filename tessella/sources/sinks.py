@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import slug
+from tessella.schemas import CPG_EDGES, CPG_NODES
 
 
 def write_frame(df: DataFrame, path: str) -> None:
@@ -24,9 +26,45 @@ def write_frame(df: DataFrame, path: str) -> None:
         df.write.mode("overwrite").parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
+def write_once(df: DataFrame, path: str, overwrite: bool = False) -> bool:
+    """Parquet at path, unless it is there and overwrite isn't set; whether it was written. Written beside it first and then renamed, so that path is there whole or not at all.
+
+    A job that leaves nothing behind is an error.
+    """
+    spark = df.sparkSession
+    if exists(spark, path) and not overwrite:
+        return False
+    part = f"{path.rstrip('/')}.{uuid.uuid4().hex}.part"
+    df.write.parquet(part)
+    src, dst = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (part, path))
+    fs = dst.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(src):
+        raise RuntimeError(f"nothing was written to {part}")
+    fs.delete(dst, True)
+    if not fs.rename(src, dst):
+        raise RuntimeError(f"{part} can't be renamed to {path}")
+    return True
+
+
+def read_graph(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a stored graph: root/nodes and root/edges, as write_graph() leaves them."""
+    return spark.read.schema(CPG_NODES).parquet(f"{root}/nodes"), spark.read.schema(CPG_EDGES).parquet(f"{root}/edges")
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, root: str, overwrite: bool = False) -> None:
+    write_once(nodes, f"{root}/nodes", overwrite)
+    write_once(edges, f"{root}/edges", overwrite)
+
+
 def write_files(rows: DataFrame, path: str) -> None:
-    """One text file for each row (language, file_name, code), in a folder for each language and file."""
-    rows.select("language", F.element_at(F.split("file_name", "/"), -1).alias("name"), F.col("code").alias("value")).write.mode("append").partitionBy("language", "name").option("lineSep", "").text(path)
+    """One text file for each row (language, file_name, code), in a folder for each language and file. Texts end in a line end: one is added where there is none."""
+    d = rows.select("language", F.element_at(F.split("file_name", "/"), -1).alias("name"), F.regexp_replace("code", r"\n\z", "").alias("value"))
+    d.write.mode("append").partitionBy("language", "name").text(path)
 
 
 def write_taxonomy(rows: DataFrame, path: str, level: int, label: str) -> None:

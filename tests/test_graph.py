@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessella import schemas
 from tessella.operators import graph as G
 from tessella.plans import views as V
+from tessella.plans.graph_fixture import build, sources
 
 NAMES = {
     "fixed_value": "a dep p q s x", "gatherer": "sum x", "stepper": "n x z", "walker": "it j", "most_recent_holder": "best got last", "most_wanted_holder": "best", "one_way_flag": "f h mixed t",
@@ -16,7 +17,7 @@ LINES = {"single_control_flow": {42, 84}, "binary_control_flow": {83}, "n_case_c
 
 @pytest.fixture(scope="module")
 def graph(spark):
-    return V.cpg(spark)
+    return V.fixture_cpg(spark)
 
 
 @pytest.mark.parametrize("concept", sorted(NAMES))
@@ -50,7 +51,8 @@ def test_closure_and_empty_graph(spark):
 
 def test_annotations(spark, graph):
     found = G.default_registry().run("future_return_dependency", graph).select(F.lit("r").alias("concept"), "var", "filename", "num_writes")
-    good, lost = G.annotations(found, graph.nodes, V.cpg_files(spark))
+    files = spark.createDataFrame(sources(build()[0]), schemas.CODE_FILES)
+    good, lost = G.annotations(found, graph.nodes, files)
     assert {r.path for r in good.collect()} == {"a.cpp"} and lost.collect()[0].unmatched >= 1
-    text = {r.path: r.code.replace("\r\n", "\n") for r in V.cpg_files(spark).collect()}
+    text = {r.path: r.code.replace("\r\n", "\n") for r in files.collect()}
     assert all(text[r.path][r.span_start : r.span_end] == r.variable_name for r in good.collect())

@@ -4,7 +4,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tessella.operators import activations as A
 from tessella.operators import association as M
@@ -12,6 +11,7 @@ from tessella.operators import blocks as B
 from tessella.operators import coverage as C
 from tessella.operators import purity as P
 from tessella.operators.sweep import threshold_sweep
+from tessella.plans import scoring
 from tessella.plans.scoring import score
 
 ROWS = "path string, token_index int, concepts array<string>, feature_ids array<int>, feature_activations array<float>"
@@ -131,10 +131,32 @@ def test_coverage(spark):
     assert none.collect() == [] and C.coverage_auc(none).collect()[0].auc == 0
 
 
-def test_score_pipeline(spark):
-    d = small(spark)
-    act = d.select(F.lit(0).alias("layer"), F.lit("L").alias("language"), "path", "token_index", "feature_ids", "feature_activations")
-    labels = d.where("size(concepts) > 0").select("path", "token_index", F.lit("L").alias("language"), "concepts")
-    found, pairs = score(act, labels, min_pmi=0.1, min_joint=2, threshold=1)
-    assert pairs.count() == 0  # the default pair filter wants features of five tokens
-    assert found.count() == 0 and "optimal_threshold" in found.columns
+def test_score_pipeline(spark, tmp_path):
+    """Two layers against the sweep as a loop and counts by hand; the job writes each layer once."""
+    rng = random.Random(7)
+    data, lab, acts = [], {t for t in range(60) if t % 10 < 4}, {}
+    for layer in (0, 1):
+        acts[layer] = {t: float(rng.randrange(1, 9)) for t in range(60) if (t in lab) == (rng.random() < 0.8)}
+        data += [(layer, "L", "p", t, [7] if t in acts[layer] else [], [acts[layer][t]] if t in acts[layer] else []) for t in range(60)]
+    act = spark.createDataFrame(data + [(0, "other", "q", 0, [7], [1.0])], "layer int, language string, path string, token_index int, feature_ids array<int>, feature_activations array<float>")
+    labels = spark.createDataFrame([("p", t, "L", ["A"]) for t in sorted(lab)] + [("p", 1, "L", ["rare"])], "path string, token_index int, language string, concepts array<string>")
+    found, pairs = score(act, labels, min_pmi=0.1, min_joint=2, threshold=5)
+    runs = [[t for t in range(10 * k, 10 * k + 4)] for k in range(6)]
+    n_pairs = {(r.layer, r.concept, r.feature_id): (r.count_feature, r.count_concept, r.count_joint, r.n_tokens) for r in pairs.collect()}
+    assert n_pairs == {(k, "A", 7): (len(acts[k]), 24, len(lab & set(acts[k])), 60) for k in (0, 1)}
+    got = {r.layer: (r.tcf, r.precision, r.recall, r.span_recall, r.optimal_threshold) for r in found.collect()}
+    assert sorted(got) == [0, 1] and all(got[k] == pytest.approx(plain_sweep(acts[k], lab, runs)) for k in got)
+    folder = {"tcf": str(tmp_path / "tcf"), "ast_purity": str(tmp_path / "purity")}
+    kinds = spark.createDataFrame([("p", t, "L", ["x", "even" if t % 2 else "odd"]) for t in range(60)], labels.schema)
+    scoring.run(act.where("layer = 0"), labels, None, folder, min_pmi=0.1, min_joint=2, threshold=5)
+    scoring.run(act, labels, kinds, folder, min_pmi=0.1, min_joint=2, threshold=5)
+    assert {r.layer: r.tcf for r in spark.read.parquet(folder["tcf"]).collect()} == pytest.approx({k: v[0] for k, v in got.items()})
+    assert {r.layer for r in spark.read.parquet(folder["ast_purity"]).collect()} == {0, 1}
+
+
+def test_numbered_metrics(spark):
+    d = spark.range(500).selectExpr("concat('c', id % 23) concept", "cast(id as int) feature_id", "double(id % 7) pmi", "1D precision", "1D recall", "1D f1", "id count_joint", "cast(id % 2 as int) layer")
+    got = M.numbered_metrics(d, ["layer"]).collect()
+    for layer in (0, 1):
+        rows = sorted((r for r in got if r.layer == layer), key=lambda r: (r.concept, -r.pmi, -r.count_joint, r.feature_id))
+        assert [r.place for r in rows] == list(range(1, 251))

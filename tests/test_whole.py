@@ -13,8 +13,8 @@ def test_levenshtein(spark, tmp_path):
     same = "the same words for more than sixty characters, " * 3
     texts = [same + "end", same + "other end", "caf\u00e9 " + same, "cafe " + same, "\u00e9\u00e8", "\u00e8", ""]
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = {(r.l, r.r): r.distance for r in QUERIES["levenshtein_whole"](spark, str(tmp_path)).collect()}
-    assert got == {(i, j): edit(a, b) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j}
+    got = {(r.l, r.r): r.distance for r in QUERIES["levenshtein"](spark, str(tmp_path)).collect()}
+    assert got == {(i, i + 1): edit(a, b) for i, (a, b) in enumerate(zip(texts, texts[1:]))}
     assert got[0, 1] == 6 and got[2, 3] == 1
 
 
@@ -24,8 +24,7 @@ def test_match_span_fuzzy(spark, tmp_path):
     spark.createDataFrame([(1, 1, "\n".join(lines[::-1]))], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     cost = [edit(t, f"zq {lines[1][:9]} qz") for t in (*lines, " ".join(lines[::-1]))]
     assert cost[1] < min(cost[0], cost[2])
-    assert [(r.start_line, r.end_line) for r in QUERIES["match_span_fuzzy_whole"](spark, str(tmp_path)).collect()] == [(1, 1)]
-    assert QUERIES["match_span_fuzzy"](spark, str(tmp_path)).count() == 0
+    assert [(r.start_line, r.end_line) for r in QUERIES["match_span_fuzzy"](spark, str(tmp_path)).collect()] == [(1, 1)]
 
 
 def documents(spark, tmp_path, texts):
@@ -48,13 +47,13 @@ def test_deepest_node(spark, bucket):
 def test_all_tokens_and_lines(spark, tmp_path):
     d = documents(spark, tmp_path, ["a b\n" * 4])
     # tokens: a, space, b, line end, four times; a line end lies in no line's node
-    assert {(r.node_type, r.n, r.total) for r in QUERIES["deepest_node_whole"](spark, d).collect()} == {("l0", 6, 42), ("l1", 3, 15), ("l2", 3, 27), ("doc", 4, 36)}
-    assert {(r.line, r.n, r.total) for r in QUERIES["token_labels_graph_whole"](spark, d).collect()} == {(1, 4, 6), (2, 4, 22), (3, 4, 38), (4, 4, 54)}
+    assert {(r.node_type, r.n, r.total) for r in QUERIES["deepest_node"](spark, d).collect()} == {("l0", 6, 42), ("l1", 3, 15), ("l2", 3, 27), ("doc", 4, 36)}
+    assert {(r.line, r.n, r.total) for r in QUERIES["token_labels_graph"](spark, d).collect()} == {(1, 4, 6), (2, 4, 22), (3, 4, 38), (4, 4, 54)}
 
 
 def test_all_layers(spark, sf):
     places = {}
-    for r in QUERIES["ordered_metrics_whole"](spark, sf).collect():
+    for r in QUERIES["ordered_metrics"](spark, sf).collect():
         places.setdefault(r.layer, []).append(r.place)
     assert sorted(places) == [0, 1] and all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values())
 
@@ -64,7 +63,7 @@ def test_blank_tokens_and_places(spark, tmp_path):
     long = "é" * 700 + "x" * 300
     d = documents(spark, tmp_path, [text, long, None])
     # tokens: ab, space, e, spaces, ee, line end, c; those of long are single é and one run of x
-    got = {r.path: (r.n, r.total, r.chars) for r in QUERIES["space_filter_whole"](spark, d).collect()}
+    got = {r.path: (r.n, r.total, r.chars) for r in QUERIES["space_filter"](spark, d).collect()}
     assert got == {"/c/en/0.txt": (3, 0 + 5 + 6, 4), "/c/en/1.txt": (701, sum(range(701)), 1000)}
-    got = {(r.doc_id, r.k): r.bytes for r in QUERIES["char_to_byte_whole"](spark, d).collect()}
+    got = {(r.doc_id, r.k): r.bytes for r in QUERIES["char_to_byte"](spark, d).collect()}
     assert got == {(i, k): len(x[: k * len(x) // 10].encode()) for i, x in enumerate((text, long, "")) for k in range(11)}
