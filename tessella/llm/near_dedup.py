@@ -118,14 +118,14 @@ def _picked(node: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray
     return first, np.where((h >> B.U(40)).astype(np.float64) / (1 << 24) < 1 / similarity - 1, second, -1)
 
 
-def _first_nodes(reps: DataFrame, trees: int, similarity: float) -> DataFrame:
+def _first_nodes(reps: DataFrame, trees: range, similarity: float) -> DataFrame:
     """node, rep, tree of every document's children of the roots."""
 
     def branch(batches):
         for batch in batches:
             rep = batch.column(0)
             sig = _matrix(batch.column(1))
-            for t in range(trees):
+            for t in trees:
                 for c in _chosen(t, similarity):
                     node = B.mix(sig[:, c].astype(B.U) + B.U(c << 33) + B.U((t + 1) << 48))
                     yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), rep, pa.array(np.full(len(node), t), pa.int32())], names=["node", "rep", "tree"])
@@ -151,31 +151,6 @@ def _matrix(col) -> np.ndarray:
     return B.column(col)[0].view(np.uint32).reshape(-1, SIGNATURE)
 
 
-def leaves(reps: DataFrame, trees: int, similarity: float, depth: int = DEPTH, limit: int = NODE) -> DataFrame:
-    """A stored table: node, rep, n (documents), tree of all nodes to be compared (two documents or more); nodes with the same documents are kept once."""
-    rows, out, used = _first_nodes(reps, trees, similarity), None, []
-    for level in range(1, depth + 1):
-        if level > 1:
-            rows = stored(rows, f"nodes-{level}")
-            used.append(rows)
-        # a node's size and a digest of its documents, summed before the shuffle: two sums of 40 bits
-        what = [F.sum(F.shiftrightunsigned(F.xxhash64("rep", F.lit(k)), 24)).alias(f"what{k}") for k in (1, 2)]
-        sizes = stored(rows.groupBy("node").agg(F.count("*").alias("n"), *what, F.min("tree").alias("tree")).where("n > 1"), f"sizes-{level}")
-        leaf = sizes if level == depth else sizes.where(F.col("n") <= limit)
-        once = leaf.groupBy("n", "what1", "what2").agg(F.min(F.struct("tree", "node")).alias("x")).select(F.col("x.node").alias("node"), "n", F.col("x.tree").alias("t"))
-        once = stored(once, "leaf-nodes")
-        used += [sizes, once]
-        found = weighted_join(rows, once.withColumn("_n", F.col("n")), ["node"]).select("node", "rep", F.col("_n").alias("n"), F.col("t").alias("tree"))
-        out = found if out is None else out.unionByName(found)
-        large = sizes.where(F.col("n") > limit).select("node", "n")
-        if level == depth or large.isEmpty():
-            break
-        rows = _branch(weighted_join(rows, large, ["node"]).join(reps.select("rep", "signature"), "rep"), similarity)
-    out = stored(out, "leaves")
-    drop(*used)
-    return out
-
-
 def _mains(rows: DataFrame) -> DataFrame:
     """node, main (the component with most documents of a node), m (these documents), r (the others) of rows (node, label)."""
     counts = rows.groupBy("node", "label").agg(F.count("*").alias("c"))
@@ -450,8 +425,46 @@ class _Join:
                 self.add(verified(pairs, self.sets, self.similarity))
             drop(rows, of, hub, pairs)
 
-    def compare(self, nodes: DataFrame) -> None:
-        """Finds the links of nodes (node, rep, n) between different components."""
+    def nodes(self, trees: range, depth: int, limit: int) -> DataFrame:
+        """A stored table: node, rep, n (documents) of all nodes to be compared (two documents or more); nodes with the same documents are kept once.
+
+        A node over two blocks meets hubs as soon as it is found. It branches only if it still holds several components, and over a block of documents outside its main one.
+        """
+        rows, out, used = _first_nodes(self.reps, trees, self.similarity), None, []
+        for level in range(1, depth + 1):
+            if level > 1:
+                rows = stored(rows, f"nodes-{level}")
+                used.append(rows)
+            # a node's size and a digest of its documents, summed before the shuffle: two sums of 40 bits
+            what = [F.sum(F.shiftrightunsigned(F.xxhash64("rep", F.lit(k)), 24)).alias(f"what{k}") for k in (1, 2)]
+            sizes = stored(rows.groupBy("node").agg(F.count("*").alias("n"), *what).where("n > 1"), f"sizes-{level}")
+            used.append(sizes)
+            leaf = sizes if level == depth else sizes.where(F.col("n") <= limit)
+            once = stored(leaf.groupBy("n", "what1", "what2").agg(F.min("node").alias("node")).select("node", "n", F.col("n").alias("size")), "leaf-nodes")
+            used.append(once)
+            found = weighted_join(rows, once, ["node"]).select("node", "rep", F.col("size").alias("n"))
+            out = found if out is None else out.unionByName(found)
+            large = sizes.where(F.col("n") > limit).select("node", "n", F.col("n").alias("size"))
+            if level == depth or large.isEmpty():
+                break
+            rows = stored(weighted_join(rows, large, ["node"]).withColumnRenamed("size", "n"), "large-nodes")
+            used.append(rows)
+            if not rows.where(F.col("n") > 2 * self.block).isEmpty():
+                self.hubs(rows.where(F.col("n") > 2 * self.block).select("node", "rep", "n"))
+            if self.label is not None:
+                mixed = stored(_unsettled(rows, self.label), "mixed-nodes")
+                done = stored(_mains(mixed.where(F.col("n") > 2 * self.block)).where(F.col("r") <= self.block).select("node", (F.col("m") + F.col("r")).alias("n")), "hub-nodes")
+                used += [mixed, done]
+                out = out.unionByName(weighted_join(mixed.select("node", "rep", F.col("n").alias("size")), done, ["node"]).withColumnRenamed("size", "n"))
+                rows = mixed.join(small(done.select("node")), "node", "left_anti")
+            rows = _branch(rows.select("node", "rep", "tree").join(self.reps.select("rep", "signature"), "rep"), self.similarity)
+        out = stored(out, "leaves")
+        drop(*used)
+        return out
+
+    def compare(self, trees: range, depth: int, limit: int) -> None:
+        """Finds the links of the nodes of these trees between different components."""
+        nodes = self.nodes(trees, depth, limit)
         large = nodes.where(F.col("n") > 2 * self.block)
         if not large.isEmpty():
             self.hubs(large)
@@ -459,7 +472,7 @@ class _Join:
         found = stored(alike(rows.join(self.short, "rep"), look(self.similarity)), "alike")
         if self.read(found.select("rep").distinct()):
             self.add(proven(found, self.sets, self.similarity))
-        drop(found)
+        drop(nodes, found)
 
 
 def similarity_join(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, trees: int = TREES, node: int = NODE, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -475,11 +488,11 @@ def similarity_join(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     reps = stored(reps.withColumn("rep", F.monotonically_increasing_id()), "contents")
     slim = stored(rows.drop("signature"), "documents-by-content")
     drop(rows)
-    nodes = leaves(reps, trees, similarity, limit=node)
     join = _Join(docs, reps, similarity, size, block)
-    for first_tree, last_tree in ((0, FIRST_TREES - 1), (FIRST_TREES, trees - 1)):
-        join.compare(nodes.where(F.col("tree").between(first_tree, last_tree)).select("node", "rep", "n"))
-    drop(nodes, *join.used)
+    for part in (range(min(FIRST_TREES, trees)), range(FIRST_TREES, trees)):
+        if part:
+            join.compare(part, DEPTH, node)
+    drop(*join.used)
     links = reduce(DataFrame.unionByName, join.links) if join.links else spark.createDataFrame([], "a long, b long")
     label = join.label if join.label is not None else spark.createDataFrame([], "rep long, label long")
     return slim, reps, links, label

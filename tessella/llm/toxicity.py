@@ -218,19 +218,6 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return [r[2] for r in got], np.array([r[1] for r in got], np.int64)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, sizes: dict[int, int], chars: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of a bounded sample: at most sizes[c] labelled rows of class c outside the held-out fold, lowest hash first, of at most chars characters."""
-    lab = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != held))
-    lab = lab.groupBy("doc_id").agg(F.max(label).alias("_y"))
-    chosen = None
-    for c, n in sizes.items():
-        part = lab.where(F.col("_y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select("doc_id", F.col("text").alias("_t")).where(F.col("_t").isNotNull() & (F.length("_t") <= chars)).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    rows = sorted((r["doc_id"], r["_y"], r["_t"]) for r in rows.collect())
-    return [r[2] for r in rows], np.array([r[1] for r in rows], np.int64)
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, keep: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs; keep: further columns of docs to return.
 

@@ -70,3 +70,42 @@ def contamination(docs, items, window=10):
                     ids |= found[k]
         out[i] = (len(w), len(hit), sorted(ids))
     return out
+
+
+def toxic_logit(raw, table, bias):
+    """The largest mean of two neighbouring words' mean gram values."""
+    import numpy as np
+
+    from tessella.llm import bytesops as B
+    from tessella.llm import toxicity as T
+
+    words = []
+    for w in WORD.findall(raw.translate(LOWER)):
+        w = b" " + w + b" "
+        grams = [w[i : i + n] for n in T.GRAMS for i in range(len(w) - n + 1)]
+        at = [int(B.span_hash(B.prefix(np.frombuffer(g, np.uint8)), np.array([0]), np.array([len(g)]))[0]) >> (64 - T.BUCKET_BITS) for g in grams]
+        words.append(sum(float(table[k]) for k in at) / max(1, len(at)))
+    if not words:
+        return bias
+    return max((a + b) / 2 for a, b in zip(words, words[1:] or words)) + bias
+
+
+def crf_score(unary, size, model):
+    """A document's score from its lines' unary scores, by forward and backward sums of logs."""
+    import math
+
+    add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+    t = model["trans"].tolist()
+    forward = [[0.0, unary[0]]]
+    for u in unary[1:]:
+        f = forward[-1]
+        forward.append([add(f[0] + t[0][0], f[1] + t[1][0]), add(f[0] + t[0][1], f[1] + t[1][1]) + u])
+    back = [[0.0, 0.0]]
+    for u in unary[:0:-1]:
+        b = back[-1]
+        back.append([add(t[0][0] + b[0], t[0][1] + u + b[1]), add(t[1][0] + b[0], t[1][1] + u + b[1])])
+    back.reverse()
+    good = [1 / (1 + math.exp(min(700, (f[0] + b[0]) - (f[1] + b[1])))) for f, b in zip(forward, back)]
+    q = sum(g * (n + 1) for g, n in zip(good, size)) / sum(n + 1 for n in size)
+    z = model["a"] * math.log((q + 1e-3) / (1 - q + 1e-3)) + model["b"]
+    return 1 / (1 + math.exp(-max(-50, min(50, z))))
