@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 _OWN: dict[str, str] = {}
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 #: Rows of a lookup table that may be broadcast (16 to 50 bytes each).
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
