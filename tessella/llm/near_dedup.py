@@ -25,8 +25,8 @@ SHINGLE, SIMILARITY = 5, 0.85
 SIGNATURE, TREES, DEPTH = 128, 16, 4
 #: Documents of a node that are compared exhaustively; larger nodes branch.
 NODE = 64
-#: Cells of one membership matrix (64 MB).
-CELLS = 1 << 24
+#: Cells of one membership matrix (16 MB).
+CELLS = 1 << 22
 #: Trees of the first batch: it joins most copies, so that the other trees' nodes hold few documents of different components.
 FIRST_TREES = 2
 #: Documents of a block of a node that is still larger than two blocks after the last level, see _blocked(); and the hubs that such a node is compared with at most.
@@ -217,36 +217,30 @@ def shared_counts(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     row = np.repeat(np.arange(n), np.diff(bounds))
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
-    out = np.zeros((n, n), np.float64)
+    out = np.zeros((n, n), np.int32)
     every = int(column[-1]) + 1 if len(column) else 0
     wide = min(max(every, 1), max(256, CELLS // n))
     for low in range(0, every, wide):
         a, z = np.searchsorted(column, [low, low + wide])
         m = np.zeros((n, wide), np.float32)
         m[row[a:z], column[a:z] - low] = 1
-        out += m @ m.T
-    return out.astype(np.int64)
+        out += (m @ m.T).astype(np.int32)
+    return out
 
 
 def _links(rep: np.ndarray, label: np.ndarray, values: np.ndarray, bounds: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links between the documents of a node, by full sets: enough of them to join all components that the node's links join."""
     size = np.diff(bounds)
     both = shared_counts(values, bounds)
-    linked = np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1)
-    _, inverse = np.unique(label, return_inverse=True)
-    parent = np.arange(inverse.max() + 1).tolist()
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
+    _, part = np.unique(label, return_inverse=True)
     out = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
-        x, y = find(int(inverse[i])), find(int(inverse[j]))
-        if x != y:
-            parent[x] = y
-            out.append((min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))))
+    for i in range(len(rep) - 1):  # a row at a time: a node's pairs are never listed
+        b = both[i, i + 1 :].astype(np.int64)
+        new = (100 * b >= percent * (size[i] + size[i + 1 :] - b)) & (part[i + 1 :] != part[i])
+        for j in (i + 1 + np.flatnonzero(new)).tolist():
+            if part[j] != part[i]:
+                part[part == part[j]] = part[i]
+                out.append((min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))))
     return out
 
 

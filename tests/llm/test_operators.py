@@ -504,6 +504,26 @@ def test_shared_counts():
     assert got.tolist() == [[len(set(a) & set(b)) for b in sets] for a in sets]
 
 
+def test_links():
+    """Links of a node against all its pairs: they join exactly what those join, one fewer than the components they unite."""
+    rng = np.random.default_rng(4)
+    base = [rng.choice(4000, 40, replace=False) for _ in range(6)]
+    sets = [np.unique(np.concatenate([base[k % 6][rng.integers(0, 5) :], rng.choice(4000, rng.integers(0, 5))])).astype(np.int64) for k in range(60)]
+    rep, label = rng.permutation(60) + 100, np.where(np.arange(60) % 5 == 0, np.arange(60) % 6, np.arange(60) + 10)
+    got = near_dedup._links(rep, label, np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), 85)
+
+    def parts(pairs):
+        of = {int(r): {("label", int(x))} | {int(r)} for r, x in zip(rep, label)}
+        groups = []
+        for g in [*of.values(), *({a, b} for a, b in pairs)]:
+            inside = [x for x in groups if x & g]
+            groups = [x for x in groups if not x & g] + [g.union(*inside)]
+        return {frozenset(x) for x in groups}
+
+    every = [(int(rep[i]), int(rep[j])) for i in range(60) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
+    assert parts(got) == parts(every) and len(got) == len(parts([])) - len(parts(every)) > 20
+
+
 def test_bytes():
     buf, off = B.column(__import__("pyarrow").array(["a b", None, "", "b"]))
     h, s, e, first = B.word_hashes(buf, off, B.NOT_SPACE)
