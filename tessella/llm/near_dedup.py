@@ -134,17 +134,17 @@ def _first_nodes(reps: DataFrame, trees: range, similarity: float) -> DataFrame:
 
 
 def _branch(rows: DataFrame, similarity: float) -> DataFrame:
-    """Children of the nodes of rows (node, rep, tree, signature)."""
+    """Children of the nodes of rows (node, rep, tree, short). The low byte of a value tells children apart: unequal values share a child once in 256 times, and equal ones always."""
 
     def branch(batches):
         for batch in batches:
-            node, sig = batch.column(0).to_numpy().view(B.U), _matrix(batch.column(3))
+            node, sig = batch.column(0).to_numpy().view(B.U), B.column(batch.column(3))[0].reshape(-1, SIGNATURE)
             for c in _picked(node, similarity):
                 at = np.flatnonzero(c >= 0)
                 child = B.mix(node[at] * B.U(0xD6E8FEB86659FD93) + sig[at, c[at]].astype(B.U) + (c[at].astype(B.U) << B.U(33)))
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at))], names=["node", "rep", "tree"])
 
-    return rows.select("node", "rep", "tree", "signature").mapInArrow(branch, "node long, rep long, tree int")
+    return rows.select("node", "rep", "tree", "short").mapInArrow(branch, "node long, rep long, tree int")
 
 
 def _matrix(col) -> np.ndarray:
@@ -451,7 +451,7 @@ class _Join:
                 used += [mixed, done]
                 out = out.unionByName(weighted_join(mixed.select("node", "rep", F.col("n").alias("size")), done, ["node"]).withColumnRenamed("size", "n"))
                 rows = mixed.join(small(done.select("node")), "node", "left_anti")
-            rows = _branch(rows.select("node", "rep", "tree").join(self.reps.select("rep", "signature"), "rep"), self.similarity)
+            rows = _branch(rows.select("node", "rep", "tree").join(self.short, "rep"), self.similarity)
         out = stored(out, "leaves")
         drop(*used)
         return out
