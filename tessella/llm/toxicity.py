@@ -24,6 +24,8 @@ SAMPLE_CHARS = 6_000
 #: Labelled ids that are looked up for each text of the sample, as some texts are too long.
 OVERSAMPLE = 4
 EPOCHS, RATE, DECAY = 30, 0.0005, 0.0
+#: Runs whose gradients are spread over their words at once in training.
+SPREAD = 1 << 16
 
 
 def _padded(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,9 +139,10 @@ def train(texts: list[str], y: np.ndarray, epochs: int | None = None, seed: int
     if not len(doc):
         return np.zeros(size, np.float32), 0.0
     head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    word_doc = np.unique(ids * np.int64(len(texts)) + np.repeat(np.arange(len(texts)), count))
+    ids, lo, hi, doc = (x.astype(np.int32) for x in (ids, lo, hi, doc))  # the sample bounds them
     length = hi - lo
     runs = np.bincount(doc, minlength=len(texts))
-    word_doc = np.unique(ids * np.int64(len(texts)) + np.repeat(np.arange(len(texts)), count))
     in_docs = np.bincount(word_doc // len(texts), minlength=len(us))
     del word_doc
     known = sum(np.bincount(g, in_docs[w], size) for g, w in grams) >= MIN_DOCS
@@ -147,9 +150,13 @@ def train(texts: list[str], y: np.ndarray, epochs: int | None = None, seed: int
 
     def spread(value: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Sum, for each distinct word, of the value of every chosen run that holds it."""
-        n = length[which]
-        at = np.repeat(lo[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(ids[at], np.repeat(value, n), len(us))
+        out = np.zeros(len(us))
+        for k in range(0, len(which), SPREAD):
+            part = which[k : k + SPREAD]
+            n = length[part].astype(np.int64)
+            at = np.repeat(lo[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out += np.bincount(ids[at], np.repeat(value[k : k + SPREAD], n), len(us))
+        return out
 
     emb = np.where(known[:, None], rng.normal(0, 0.02, (size, DIM)), 0).astype(np.float32)
     soft = np.zeros((DIM, 2), np.float32)
@@ -157,14 +164,14 @@ def train(texts: list[str], y: np.ndarray, epochs: int | None = None, seed: int
     soft[:, 0] = -soft[:, 1]
     bias = np.zeros(2)
     # a gram's step is its gradient over the mean square of its share of a run: frequent grams don't outweigh telling ones
-    every = np.arange(len(doc))
-    share = spread(1 / length**2, every) / per**2
+    every = np.arange(len(doc), dtype=np.int32)
+    share = spread(1 / length.astype(np.int64) ** 2, every) / per**2
     square = sum(np.bincount(g, share[w], size) for g, w in grams) / len(doc)
     scale = (1 / (square + MIN_DOCS / len(doc) * np.median(1 / per) ** 2 / np.median(length) ** 2))[:, None].astype(np.float32)
     speed = [np.zeros_like(emb), np.zeros_like(soft), np.zeros_like(bias)]
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     epochs = epochs or EPOCHS
-    acc = np.zeros((DIM, len(ids) + 1))
+    acc, mean = np.zeros(len(ids) + 1), np.zeros((len(doc), DIM))
     for epoch in range(epochs):
         words = np.zeros((len(us), DIM), np.float32)
         for g, w in grams:
@@ -173,10 +180,11 @@ def train(texts: list[str], y: np.ndarray, epochs: int | None = None, seed: int
                 words[w[first]] += np.add.reduceat(emb[g], first, axis=0)
         words /= per[:, None]
         for k in range(DIM):
-            np.cumsum(words[ids, k], out=acc[k, 1:])
-        mean = np.stack([(a[hi] - a[lo]) / length for a in acc], 1)
-        logit = mean @ soft + bias
-        diff = logit[:, 1] - logit[:, 0]
+            np.cumsum(words[ids, k], out=acc[1:])
+            mean[:, k] = acc[hi]
+            mean[:, k] -= acc[lo]
+            mean[:, k] /= length
+        diff = mean @ (soft[:, 1] - soft[:, 0]) + (bias[1] - bias[0])
         if epoch < epochs // 4:  # every run of a document, until the grams tell something
             pick, share = every, 1 / runs[doc]
         else:  # its most toxic run, the first of equal ones
@@ -186,9 +194,8 @@ def train(texts: list[str], y: np.ndarray, epochs: int | None = None, seed: int
         prob = 1 / (1 + np.exp(-diff[pick]))
         g = ((prob - y[doc[pick]]) * weight[doc[pick]] * share).astype(np.float32)
         both = np.stack([-g, g], 1)
-        run_grad = both @ soft.T / length[pick][:, None]
-        grad_soft, grad_bias = mean[pick].T @ both, both.sum(0)
-        word_grad = np.stack([spread(run_grad[:, k], pick) for k in range(DIM)], 1) / per[:, None]
+        grad_soft, grad_bias = sum(mean[pick[k : k + SPREAD]].T @ both[k : k + SPREAD] for k in range(0, len(pick), SPREAD)), both.sum(0)
+        word_grad = np.stack([spread(both @ soft[k] / length[pick], pick) for k in range(DIM)], 1) / per[:, None]
         grad = np.stack([sum(np.bincount(g, word_grad[w, k], size) for g, w in grams) for k in range(DIM)], 1)
         grad = np.where(known[:, None], grad * scale + DECAY * emb, 0)
         for x, g, v, rate in zip((emb, soft, bias), (grad, grad_soft, grad_bias), speed, (RATE, 0.02, 0.5)):
