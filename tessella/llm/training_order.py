@@ -66,12 +66,12 @@ def sequences(docs: DataFrame, length: int = LENGTH, path: str | None = None) ->
                 got, bounds = bpe.encode(b, o)
                 ids, bounds = np.concatenate([rest, got]), bounds + len(rest)
                 n = len(ids) // length
-                owner = np.searchsorted(bounds, np.arange(n + 1) * length, "right") - 1
+                owner = np.searchsorted(bounds, np.arange(0, len(ids), length), "right") - 1  # of the rest too, if there is one
                 owners = [doc[i + k].as_py() if k >= 0 else rest_doc for k in owner.tolist()]
                 if n:
                     yield out(ids[: n * length], owners[:n], np.full(n, length), number)
                 number += n
-                rest, rest_doc = ids[n * length :], owners[n] if n * length < len(ids) else None
+                rest, rest_doc = ids[n * length :], owners[n] if n < len(owners) else None
         if len(rest):
             yield out(np.concatenate([rest, np.full(length - len(rest), END_ID, np.uint16)]), [rest_doc], [len(rest)], number)
 

@@ -413,6 +413,20 @@ def test_training_order_content(spark, tmp_path):
         assert [k for k, _ in got] == list(range(start, n)) and all(ids == raw[int(np.flatnonzero(slots == k)[0])] for k, ids in got)
 
 
+@pytest.mark.parametrize("batch", [1, 2, 10_000])
+def test_training_order_whole_sequences(spark, batch):
+    """Batches and splits that end with a sequence have no rest, and those that don't pass theirs on."""
+    one = len(tokens.word_bpe(tokens.default_path()).encode(np.frombuffer(LONG.encode(), np.uint8), np.array([0, len(LONG)]))[0])
+    docs = frame(spark, [(k, LONG, "en", "s", 1) for k in range(3)]).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for length, want in ((one, [(0, one), (1, one), (2, one)]), (one * 3, [(0, one * 3)]), (one * 2, [(0, one * 2), (2, one)])):
+            rows = training_order.sequences(docs, length).orderBy("number").collect()
+            assert [(r.doc_id, r.n_ids) for r in rows] == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_toxicity(spark):
     score, predicted, y = held_out(spark, "op9_toxicity", "toxic", "/root/testdata/sf0.1")
     assert y.sum() > 50 and auc(score, y) > 0.93 and np.mean(predicted[y == 1]) > 0.8 and np.mean(predicted[y == 0]) < 0.03
