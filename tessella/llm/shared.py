@@ -14,6 +14,8 @@ _OWN: dict[str, str] = {}
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 #: Rows of a lookup table that may be broadcast (16 to 50 bytes each).
 BROADCAST_ROWS = 20_000
+#: Bits of a filter of likely() for each key, and at most (64 MB); bits in one of its rows.
+FILTER_BITS, MAX_FILTER, FILTER_ROW = 16, 1 << 29, 1 << 11
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +64,25 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows without most of those whose key is not in keys, a stored table; both have the column key, a 64-bit hash.
+
+    A bitmap by the low bits of the hashes is broadcast, of FILTER_BITS for each key and at most MAX_FILTER. A fuller one lets more rows through, and loses none: the join that follows decides.
+    """
+    bits = min(MAX_FILTER, 1 << max(15, (keys.count() * FILTER_BITS).bit_length()))
+    whole = 1 << 15  # bits of one bitmap_construct_agg
+    at = F.col(key).bitwiseAND(F.lit(bits - 1))
+    bitmaps = keys.select(F.shiftright(at, 15).alias("w"), (at % whole).alias("p")).groupBy("w").agg(F.bitmap_construct_agg("p").alias("bits"))
+    part = f"substring(bits, cast(i * {FILTER_ROW // 8} + 1 as int), {FILTER_ROW // 8})"
+    small_rows = bitmaps.select("w", "bits", F.explode(F.sequence(F.lit(0), F.lit(whole // FILTER_ROW - 1))).alias("i"))
+    small_rows = small_rows.select((F.col("w") * (whole // FILTER_ROW) + F.col("i")).alias("_w"), F.expr(part).alias("_bits"))
+    place = at % FILTER_ROW
+    byte = F.conv(F.hex(F.col("_bits").substr((F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (place % 8).cast("int")) == 1
+    found = rows.withColumn("_w", F.shiftright(at, FILTER_ROW.bit_length() - 1))
+    return found.join(F.broadcast(small_rows), "_w").where(hit).select(*rows.columns)
+
+
 def weighted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
     """left joined (inner or left) to right, a stored table with a row for each key and n, how many rows of left have that key; n isn't returned.
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import bytesops as B
-from tessella.llm.shared import drop, small, stored, weighted_join
+from tessella.llm.shared import drop, likely, small, stored, weighted_join
 
 LENGTH, GRAM = 200, 64
 #: Suffixes that one bucket of the merge should hold, and those of one group beyond which it is dealt again, into SPLIT classes of depths.
@@ -372,10 +372,18 @@ def _merge(table: pa.Table, length: int) -> pa.Table:
     return pa.table({"a": flat(a, np.int64)[who], "b": flat(b, np.int64)[who], "first": (p - hi).astype(np.int32), "end": (p - lo + length).astype(np.int32)})
 
 
+def _with_texts(each: DataFrame, todo: DataFrame, name: str) -> DataFrame:
+    """todo (a, b and more) with the texts of each, both of them stored; only texts of todo's contents, and a few others, are shuffled."""
+    todo = stored(todo, f"{name}-places")
+    out = stored(likely(each, todo, "a").join(todo, ["a", "b"]), name)
+    drop(todo)
+    return out
+
+
 def _sorted_spans(each: DataFrame, todo: DataFrame, bucket: int, length: int, used: list[DataFrame]) -> DataFrame:
     """a, b, first, end of the strings of wanted (single) entries that the merged order finds again. todo: a, b, gram, pos, single, l, h."""
     todo = todo.groupBy("a", "b").agg(F.collect_list(F.struct("gram", "pos", "single", "l", "h")).alias("at"))
-    texts = stored(each.join(todo, ["a", "b"]), "ambiguous")
+    texts = _with_texts(each, todo, "ambiguous")
     total = texts.agg(F.sum(F.size("at"))).first()[0] or 0
     runs = stored(_runs(texts, int(max(1, -(-total // bucket))), length), "runs")
     out = stored(runs.groupBy("l", "h", "bucket").applyInArrow(lambda t: _merge(t, length), "a long, b long, first int, end int"), "sorted-out")
@@ -400,7 +408,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int
         used.append(several)
     every = stored(_places(each, length, gram), "anchors")
     grams = stored(every.groupBy("gram").agg(F.sum("n").alias("k"), F.count("*").alias("n")).where("k > 1").select("gram", "n"), "shared-grams")
-    found = stored(weighted_join(every.withColumnRenamed("n", "k"), grams, ["gram"]), "shared-anchors")
+    found = stored(weighted_join(likely(every.withColumnRenamed("n", "k"), grams, "gram"), grams, ["gram"]), "shared-anchors")
     drop(every, grams)
     kinds = stored(found.groupBy("gram", "c1", "c2").agg(F.sum("k").alias("k"), F.count("*").alias("n"), F.min(F.struct("a", "b", "pos")).alias("at")), "windows")
     one = F.array(F.struct((F.col("pos") - reach).alias("first"), (F.col("pos") + length).alias("end")))
@@ -422,7 +430,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int
             break
         width = -(-width // split)
         again = weighted_join(rows, large, ["gram"]).groupBy("a", "b").agg(F.collect_list(F.struct("pos", "single", "l", "h")).alias("at"))
-        members = stored(_dealt_again(each.join(again, ["a", "b"]), length, width), "dealt-again")
+        texts = _with_texts(each, again, "large-groups")
+        members = stored(_dealt_again(texts, length, width), "dealt-again")
+        drop(texts)
         same = stored(members.groupBy("gram", "c1", "c2").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("k"), F.count("*").alias("n"), F.min(F.struct("a", "b", "pos", "l", "h")).alias("at")), "windows")
         used += [members, same]
         twice = weighted_join(members.where("single"), same.where("k > 1").select("gram", "c1", "c2", "n"), ["gram", "c1", "c2"])
@@ -497,7 +507,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     ab = d.select("*", a.alias("_a"), b.alias("_b"), F.octet_length("_text").cast("long").alias("_n_bytes"))
     cols = ["a", "b", "n_removed", "n_spans", "kept_sha256", "kept", "removed"][: None if texts else -2]
     copies = contents.where("n > 1").select("a", "b")
-    part = d.select(*_digest("_text"), F.col("_text").alias("text")).join(small(copies), ["a", "b"], "left_anti").join(spans, ["a", "b"])
+    part = d.select(*_digest("_text"), F.col("_text").alias("text")).join(small(copies), ["a", "b"], "left_anti")
+    part = likely(part, spans, "a").join(spans, ["a", "b"])
     some = stored(_kept(part, length, gram).where("n_removed > 0").select(*cols), "kept")
     drop(spans)
     whole = small(copies.select(F.col("a").alias("_ca"), F.col("b").alias("_cb")))

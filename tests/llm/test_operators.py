@@ -212,6 +212,46 @@ def test_suffix_dedup_shuffled(spark, no_broadcasts):
     assert got == dict(enumerate(brute.repeats(texts)))
 
 
+def shuffled(spark, job):
+    """Bytes that job writes to shuffles."""
+    sc = spark.sparkContext
+    bus, store = sc._jsc.sc().listenerBus(), sc._jsc.sc().statusStore()
+
+    def stages():
+        bus.waitUntilEmpty()
+        got = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {got.apply(i).stageId(): got.apply(i).shuffleWriteBytes() for i in range(got.size())}
+
+    before = stages()
+    job()
+    return sum(v for k, v in stages().items() if k not in before)
+
+
+def test_likely(spark, monkeypatch):
+    rows = spark.range(-50_000, 50_000).select(F.xxhash64("id").alias("h"), "id")
+    for most in (1 << 29, 1 << 15):  # a filter that is too full loses none
+        monkeypatch.setattr(shared, "MAX_FILTER", most)
+        for n in (0, 1, 3000):
+            keys = shared.stored(rows.where(f"id % 7 = 0 and id >= 0 and id < {7 * n}").select("h"), "keys")
+            got = [r.id for r in shared.likely(rows, keys, "h").collect()]
+            assert keys.count() == n and len(set(got)) == len(got) and {*range(0, 7 * n, 7)} <= {*got}
+            assert len(got) <= n + 100_000 * n / min(most, max(1, n) * 16) + 10
+    assert shared.likely(rows, keys, "h").columns == rows.columns
+
+
+def test_suffix_dedup_shuffles_shared_texts(spark, no_broadcasts):
+    """Texts and anchors that share nothing with others stay out of the joins."""
+    rng = np.random.default_rng(8)
+    text = lambda n: rng.bytes(n).hex()
+    passage = text(200)
+    texts = [text(1500) + (passage + text(100)) * (k % 20 == 0) for k in range(1000)]
+    d = shared.stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "documents")
+    got = {}
+    size = shuffled(spark, lambda: got.update({r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(d).collect()}))
+    assert got == {k: x[1] for k, x in enumerate(brute.repeats(texts))} and got[0] >= 400
+    assert size < 0.9 * sum(map(len, texts))
+
+
 def test_suffix_dedup_segments():
     """Anchors of a long text in segments are those of the whole."""
     b = np.frombuffer((HUGE[:300_000] + "q" * 900 + HUGE[1000:3000]).encode(), np.uint8)
