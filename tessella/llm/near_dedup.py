@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import bytesops as B
-from tessella.llm.shared import drop, small, stored, weighted_join
+from tessella.llm import shared
+from tessella.llm.shared import drop, likely, small, stored, weighted_join
 
 SHINGLE, SIMILARITY = 5, 0.85
 SIGNATURE, TREES, DEPTH = 128, 16, 4
@@ -31,6 +32,8 @@ CELLS = 1 << 22
 FIRST_TREES = 2
 #: Documents of a block of a node that is still larger than two blocks after the last level, see _blocked(); and the hubs that such a node is compared with at most.
 BLOCK, HUBS = 1024, 8
+#: Shingles of all hubs of a round that are broadcast at most (8 MB).
+HUB_SHINGLES = 1 << 20
 _rng = np.random.default_rng(11)
 MULTIPLIERS = _rng.integers(1, 1 << 63, SIGNATURE).astype(B.U) * B.U(2) + B.U(1)
 
@@ -151,6 +154,12 @@ def _matrix(col) -> np.ndarray:
     return B.column(col)[0].view(np.uint32).reshape(-1, SIGNATURE)
 
 
+def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows without most of those whose rep is not in keys, of a stored table; a join decides."""
+    h = F.xxhash64("rep").alias("_h")
+    return likely(rows.select("*", h), keys.select(h), "_h").drop("_h")
+
+
 def _mains(rows: DataFrame) -> DataFrame:
     """node, main (the component with most documents of a node), m (these documents), r (the others) of rows (node, label)."""
     counts = rows.groupBy("node", "label").agg(F.count("*").alias("c"))
@@ -191,10 +200,17 @@ def _near_hubs(rows: DataFrame, share: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b of the pairs whose full sets (rep, shingles) are similar enough."""
-    d = pairs
-    for c in "ba":  # a hub's pairs are many, its set is one row: Spark splits such a join
-        d = d.join(sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}")).hint("merge"), c)
+    """a, b of the pairs (a, b: a hub; stored) whose full sets (rep, shingles) are similar enough.
+
+    The hubs' sets are broadcast if they are small in all; pairs are then shuffled without a set.
+    """
+    hubs = sets.join(small(pairs.select(F.col("b").alias("rep")).distinct()), "rep", "left_semi")
+    few = (hubs.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= HUB_SHINGLES
+    side = lambda d, c: d.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}"))
+    if few:
+        d = pairs.join(side(_among(sets, pairs.select(F.col("a").alias("rep"))), "a").hint("merge"), "a").join(F.broadcast(side(hubs, "b")), "b")
+    else:  # a hub's pairs are many, its set is one row: Spark splits such a join
+        d = pairs.join(side(sets, "b").hint("merge"), "b").join(side(sets, "a").hint("merge"), "a")
     both = F.size(F.array_intersect("sa", "sb"))
     return d.where(100 * both >= round(similarity * 100) * (F.size("sa") + F.size("sb") - both)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -335,8 +351,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 arrays = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*digests, arrays], names=["set_a", "set_b", "shingles"])
 
+    ids = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    if wanted.count() > shared.BROADCAST_ROWS:  # texts are shuffled
+        h = lambda c: F.xxhash64(c).alias("_h")
+        ids = likely(ids.select("*", h("_id")), wanted.select(h("first")), "_h")
     first = small(wanted.select(F.col("first").alias("_first")).distinct())
-    found = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(first, F.col("_id").eqNullSafe(F.col("_first")), "left_semi").select("text").mapInArrow(sets, "set_a long, set_b long, shingles array<long>")
+    found = ids.join(first, F.col("_id").eqNullSafe(F.col("_first")), "left_semi").select("text").mapInArrow(sets, "set_a long, set_b long, shingles array<long>")
     return found.join(small(wanted.select("rep", "set_a", "set_b")), ["set_a", "set_b"]).select("rep", "shingles").dropDuplicates(["rep"])
 
 
@@ -409,15 +429,18 @@ class _Join:
                 drop(rows, of)
                 return
             last = rest
+            large = rows
             rows = rows.join(small(of.where(F.col("r") > self.block).select("node", "main", "m")), "node")
             outside = rows.where("label <> main or m = 1")
             hub = outside.groupBy("node").agg(F.min_by(F.struct(F.col("rep").alias("hub"), F.col("label").alias("hub_label")), F.xxhash64("rep", F.lit(k))).alias("h")).select("node", "h.*")
-            hub = stored(hub.join(self.short.select(F.col("rep").alias("hub"), F.col("short").alias("hub_short")), "hub"), "hubs")
-            pairs = rows.join(small(hub), "node").where("label <> hub_label").join(self.short, "rep")
+            heads = stored(hub, "hub-numbers")
+            hub = stored(self.short.select(F.col("rep").alias("hub"), F.col("short").alias("hub_short")).join(small(heads), "hub"), "hubs")
+            drop(heads)
+            pairs = rows.join(small(hub), "node").where("label <> hub_label").join(_among(self.short, large), "rep")
             pairs = stored(_near_hubs(pairs, look(self.similarity)).distinct(), "hub-pairs")
             if self.read(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()):
                 self.add(verified(pairs, self.sets, self.similarity))
-            drop(rows, of, hub, pairs)
+            drop(large, of, hub, pairs)
 
     def nodes(self, trees: range, depth: int, limit: int) -> DataFrame:
         """A stored table: node, rep, n (documents) of all nodes to be compared (two documents or more); nodes with the same documents are kept once.
@@ -465,7 +488,7 @@ class _Join:
         rows = _blocked(_unsettled(nodes, self.label), self.block)
         found = stored(alike(rows.join(self.short, "rep"), look(self.similarity)), "alike")
         if self.read(found.select("rep").distinct()):
-            self.add(proven(found, self.sets, self.similarity))
+            self.add(proven(found, _among(self.sets, found), self.similarity))
         drop(nodes, found)
 
 

@@ -541,6 +541,23 @@ def test_near_dedup_blocks(spark):
     assert tight.count() < 1000 + 60
 
 
+def test_near_dedup_verified_shuffles_its_pairs(spark, no_broadcasts, monkeypatch):
+    """Sets of documents in no pair stay out of the joins, and pairs are shuffled without their hub's set."""
+    rng = np.random.default_rng(4)
+    values = [rng.integers(0, 1 << 62, 500).tolist() for _ in range(400)]
+    for k in range(1, 11):
+        values[k] = values[0][: 500 - 15 * k] + values[k][: 15 * k]
+    sets = shared.stored(spark.createDataFrame(list(enumerate(values)), "rep long, shingles array<long>"), "sets")
+    pairs = shared.stored(spark.createDataFrame([(k, 0) for k in range(1, 20)], "a long, b long"), "pairs")
+    want = {(0, k) for k in range(1, 20) if 100 * (n := len({*values[0]} & {*values[k]})) >= 85 * (1000 - n)}
+    got = []
+    size = shuffled(spark, lambda: got.extend(near_dedup.verified(pairs, sets, 0.85).collect()))
+    assert {(r.a, r.b) for r in got} == want and 0 < len(want) < 10
+    assert size < 0.3 * 400 * 500 * 8
+    monkeypatch.setattr(near_dedup, "HUB_SHINGLES", 0, raising=False)
+    assert {(r.a, r.b) for r in near_dedup.verified(pairs, sets, 0.85).collect()} == want
+
+
 def test_near_dedup_odd(spark):
     got = near_dedup.near_duplicates(clashing(spark)).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id in (4, 5, 6)} == {4} and near_dedup.near_duplicates(frame(spark, [])).count() == 0
