@@ -56,3 +56,35 @@ def test_annotations(spark, graph):
     assert {r.path for r in good.collect()} == {"a.cpp"} and lost.collect()[0].unmatched >= 1
     text = {r.path: r.code.replace("\r\n", "\n") for r in files.collect()}
     assert all(text[r.path][r.span_start : r.span_end] == r.variable_name for r in good.collect())
+
+
+def test_paths_up(spark):
+    tree = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(3, 20), (20, 21), (30, 31)], "src int, dst int")
+    got = {(a, r.b) for r in G.paths_up(tree).collect() for a in r.up}
+    assert got == {(r.a, r.b) for r in G.closure(tree).collect()}
+    assert {r.b: r.up for r in G.paths_up(tree).collect()}[21] == [20, 3, 2, 1, 0]
+
+
+@pytest.mark.parametrize("concept", sorted({**G.VARIABLES, **G.CONTROL}))
+def test_graph_is_not_broadcast(graph, concept):
+    # columnar files of a graph are far smaller than its rows: a plan that goes by their size broadcasts any of these tables
+    d = {**G.VARIABLES, **G.CONTROL}[concept](graph)
+    for x in (d, graph.owned(d.select("d"))):
+        assert "Broadcast" not in x._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_are_not_broadcast(spark, graph):
+    r = G.default_registry()
+    r.patterns = {c: r.patterns[c] for c in ("organizer_decl", "organizer", "future_loop_entry")}
+    found = r.run_all(graph)
+    alone = [(c, x.var, x.filename) for c in r.patterns for x in r.run(c, graph).collect()]
+    assert sorted((x.concept, x.var, x.filename) for x in found.collect()) == sorted(alone)
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in G.annotations(found, graph.nodes, spark.createDataFrame(sources(build()[0]), schemas.CODE_FILES))]
+    assert not any("Broadcast" in p for p in plans)
+    # the patterns themselves are no part of the plan
+    assert plans[0].count("FileScan") + plans[0].count("Scan ") < 12
+
+
+def test_graph_of_suppliers_is_dealt(spark, sf):
+    n = V.cpg_files(spark, sf)
+    assert n.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
