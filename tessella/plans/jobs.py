@@ -98,7 +98,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.job == "token-labels":
         schema = schemas.LLM_ANNOTATIONS if a.kind == "llm" else schemas.GRAPH_ANNOTATIONS
         f = files()
-        sinks.write_frame(build_token_labels(a.kind, corpus.read_jsonl(spark, a.annotations, schema).drop("_corrupt_record"), f, providers.tokens(f)), a.out)
+        sinks.write_frame(build_token_labels(a.kind, corpus.read_jsonl(spark, a.annotations, schema).drop("_corrupt_record"), f, providers.token_texts()), a.out)
     else:
         labels = spark.read.parquet(a.labels).withColumn("language", X.folder_language(F.col("path")))
         scoring.run(spark.read.parquet(a.activations), labels, None, {"tcf": a.out, "ast_purity": f"{a.out}-purity"}, min_pmi=a.min_pmi, threshold=a.num_act_threshold)

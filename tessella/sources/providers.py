@@ -7,9 +7,11 @@ from collections.abc import Callable
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import text as X
+from tessella.operators.tiles import pieces
 from tessella.schemas import ACTIVATIONS, TREE
 from tessella.sources.braces import KEYWORDS, brace_tree
 
@@ -44,21 +46,25 @@ def token_vectors(values: list) -> list[list[float]]:
 def tokens(files: DataFrame, pattern: str = TOKEN) -> DataFrame:
     """schemas.TOKENS of files (path, code; a row for each path) by a regular expression: expressions, no Python. token_id is a hash.
 
-    pattern must match every character, so that tokens tile the text and their places are running sums of lengths, dealt by path as later joins are.
+    pattern must match every character, so that tokens tile the text and their places are running sums of lengths.
     """
-    return _tiled(files, pattern, F.length, "char")
+    return _tiled(files, pattern, "char")
 
 
 def byte_tokens(files: DataFrame, pattern: str = TOKEN) -> DataFrame:
     """tokens() with start_byte and end_byte in UTF-8 instead of characters."""
-    return _tiled(files, pattern, F.octet_length, "byte")
+    return _tiled(files, pattern, "byte")
 
 
-def _tiled(files: DataFrame, pattern: str, size, unit: str) -> DataFrame:
-    d = files.select("path", F.posexplode(F.regexp_extract_all("code", F.lit(f"({pattern})"), 1)).alias("token_index", "token"))
-    end = F.sum(size("token")).over(Window.partitionBy("path").orderBy("token_index").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    d = d.withColumn(f"end_{unit}", end)
-    return d.select("path", "token_index", F.pmod(F.hash("token"), F.lit(50000)).alias("token_id"), "token", (F.col(f"end_{unit}") - size("token")).alias(f"start_{unit}"), f"end_{unit}")
+def token_texts(pattern: str = TOKEN) -> Column:
+    """The tokens of code, in order."""
+    return F.regexp_extract_all("code", F.lit(f"({pattern})"), 1)
+
+
+def _tiled(files: DataFrame, pattern: str, unit: str) -> DataFrame:
+    place = [F.col(f"_x.{k}").cast("int").alias(f"{k}_{unit}") for k in ("start", "end")]
+    d = pieces(files, ["path"], token_texts(pattern), unit).select("path", F.explode("_p").alias("_x"))
+    return d.select("path", F.col("_x.i").alias("token_index"), X.token_id(F.col("_x.item")).alias("token_id"), F.col("_x.item").alias("token"), *place)
 
 
 def python_tree(code: str) -> list[tuple]:
