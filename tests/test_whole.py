@@ -67,3 +67,11 @@ def test_blank_tokens_and_places(spark, tmp_path):
     assert got == {"/c/en/0.txt": (3, 0 + 5 + 6, 4), "/c/en/1.txt": (701, sum(range(701)), 1000)}
     got = {(r.doc_id, r.k): r.bytes for r in QUERIES["char_to_byte"](spark, d).collect()}
     assert got == {(i, k): len(x[: k * len(x) // 10].encode()) for i, x in enumerate((text, long, "")) for k in range(11)}
+
+
+def test_scoring_without_candidates(spark, tmp_path):
+    # many random vectors: no pair reaches the least PMI, and no layer has a row to write
+    rows = [(i, [1.0, -1.0] if i % 2 else [-1.0, 1.0], i // 2 % 2) for i in range(400)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    d = QUERIES["scoring_job"](spark, str(tmp_path))
+    assert d.collect() == [] and d.columns[:3] == ["layer", "concept", "feature_id"]
