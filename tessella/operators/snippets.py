@@ -17,7 +17,7 @@ def match_span(df: DataFrame, keys: list[str], max_lines: int = MAX_LINES, longe
     exact_bounds: the hinted lines (clamped to the file) are the snippet up to white space. exact_search: of all windows that contain the snippet
     or lie in it, the nearest to the hint, then the shortest (the longest, if longest_first), then the first. levenshtein: the window with the least edit distance up to white space,
     then the nearest, shortest, first. Null start_line: the snippet is empty or null, or there is no code. A hint of 0 counts as missing.
-    Windows are an array inside the row: nothing is shuffled; the edit distance is only evaluated where no window is exact.
+    Windows are an array inside the row: nothing is shuffled; the edit distance is only evaluated where no window is exact, and no further than that of the best single line.
     """
     hint = lambda c: F.nullif(F.col(c), F.lit(0))
     d = df.withColumns({"_lines": X.split_lines(F.col("code")), "_s": X.clean_snippet(F.col("snippet")), "_from": hint("start_hint")})
@@ -37,14 +37,22 @@ def match_span(df: DataFrame, keys: list[str], max_lines: int = MAX_LINES, longe
         t = text(w["start"], F.abs(w["size"]))
         return F.contains(t, F.col("_s")) | F.contains(F.col("_s"), t)
 
-    d = d.withColumn("_e", F.array_min(F.filter("_w", exact)))
-    near = F.transform("_w", lambda w: F.struct(F.levenshtein(X.normalize_text(text(w["start"], F.abs(w["size"]))), F.col("_norm")).alias("cost"), w.alias("w")))
-    d = d.withColumn("_l", F.when(F.col("_e").isNull(), F.array_min(near)["w"]))
+    # a window that holds the snippet is part of all lines together, and one that the snippet holds has its lines in it
+    some = F.contains(F.array_join("_lines", "\n"), F.col("_s")) | F.exists("_lines", lambda x: F.contains(F.col("_s"), x))
+    d = d.withColumn("_e", F.when(some, F.array_min(F.filter("_w", exact))))
+    # the best single line bounds the distance: windows whose length differs by more are out, and the others' distances are only taken up to the bound
+    d = d.withColumn("_bare", F.when(F.col("_e").isNull() & F.col("_w").isNotNull(), F.transform("_lines", X.normalize_text)))
+    d = d.withColumn("_most", F.array_min(F.transform("_bare", lambda x: F.levenshtein(x, F.col("_norm")))))
+    bare = lambda w: F.array_join(F.filter(F.slice("_bare", w["start"], F.abs(w["size"])), lambda x: x != ""), " ")
+    close = F.filter("_w", lambda w: F.abs(F.length(bare(w)) - F.length("_norm")) <= F.col("_most"))
+    near = F.transform(close, lambda w: F.struct(F.call_function("levenshtein", bare(w), F.col("_norm"), F.col("_most")).alias("cost"), w.alias("w")))
+    d = d.withColumn("_l", F.array_min(F.filter(near, lambda x: x["cost"] >= 0))["w"])
     got = F.coalesce("_e", "_l")
     start = F.when(F.col("_bounds"), F.col("_a")).otherwise(got["start"])
     end = F.when(F.col("_bounds"), F.col("_z")).otherwise(got["start"] + F.abs(got["size"]) - 1)
     method = F.when(F.col("_bounds"), "exact_bounds").when(F.col("_e").isNotNull(), "exact_search").when(F.col("_l").isNotNull(), "levenshtein")
-    return d.select(*df.columns, start.alias("start_line"), end.alias("end_line"), method.alias("match_method"))
+    # out of an array of one: a caller's filter of these columns would be pushed down to the source, with all that leads to them written out in it, windows in windows
+    return d.select(*df.columns, F.inline(F.array(F.struct(start.alias("start_line"), end.alias("end_line"), method.alias("match_method")))))
 
 
 ANSWER = "struct<labels:array<struct<pattern:string,idiom:string,paradigm:string,label:string,category:string,confidence:string,evidence:string,code_elements:string>>,no_pattern_detected:boolean>"

@@ -199,3 +199,30 @@ def test_streaming(spark, tmp_path):
     files = spark.createDataFrame([("/c/C/f.c", "C", "x y")], schemas.CODE_FILES)
     stream_token_labels(read_annotations(spark, str(tmp_path / "in")), files, providers.tokens(files), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_fuzzy_windows_by_brute_force(spark):
+    # blank lines, several equal distances, windows of several lines that beat every single one
+    import random
+    import re
+
+    from tessella.operators.snippets import match_span
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        lines = ["".join(rng.choice("ab \u00a0c") for _ in range(rng.randrange(7))) for _ in range(rng.randrange(1, 12))]
+        rows.append((i, "\n".join(lines), "zq " + "".join(rng.choice("abc \n") for _ in range(12)) + " qz", rng.randrange(0, 14), 0))
+    d = match_span(spark.createDataFrame(rows, "k int, code string, snippet string, start_hint int, end_hint int"), ["k"], max_lines=4)
+    norm = lambda t: re.sub(r"\s+", " ", t).strip(" ")
+    got = {r.k: (r.start_line, r.end_line) for r in d.where("match_method = 'levenshtein'").collect()}
+    assert len(got) > 12
+    for k, code, snippet, hint, _ in rows:
+        ls, s = re.split("\n", code), re.sub(r"^\s+|\s+$", "", snippet)
+        ls = ls[:-1] if len(ls) > 1 and ls[-1] == "" else ls
+        if k in got:
+            best = min((edit(norm("\n".join(ls[a - 1 : a - 1 + n])), norm(s)), abs(a - (hint or 1)), n, a) for n in range(1, min(4, len(ls)) + 1) for a in range(1, len(ls) - n + 2))
+            assert got[k] == (best[3], best[3] + best[2] - 1)
+    plan = d.where("match_method = 'levenshtein' and start_line > 0")._jdf.queryExecution().optimizedPlan().toString()
+    # distances are bounded by the best single line, white space is taken out of lines, not of windows, and no filter computes it all again
+    assert "_most" in plan and plan.count("levenshtein(") == 2
