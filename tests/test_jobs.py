@@ -21,6 +21,29 @@ def test_deep_pages():
     assert len(got) == 3000 and got[2999][:4] == ("N2999", "", "N2998", 2999)
 
 
+def test_simple_pages():
+    import random
+
+    def by_parser(page):
+        t = html._Tree()
+        t.feed(page)
+        t.close()
+        return t.root
+
+    def shape(n):
+        return n if isinstance(n, str) else (n.tag, n.attrs, [shape(c) for c in n.children])
+
+    rng = random.Random(4)
+    plain = ["<li>", "</li>", "<ul class='a b'>", "</UL>", "<Td ID=\"x>y\">".replace(">y", "y"), "</td >", "<tr>", "<br/>", "<br />", "<p>", "</p>", "<h3\n a='1' b=\"'\">", "text ", " > ", "é[1]", "\r\n", "<b/>"]
+    odd = ["&amp;", "<!-- <p> -->", "<a href=x>", "<a checked>", "< b>", "<script>a<b</script>", "<title>x<b></title>", "</p class='x'>", "<", "<p", "<?x?>", "<!DOCTYPE html>", "<my-tag>", "</ p>", "<x a=''>"]
+    fast = 0
+    for k in range(600):
+        page = "".join(rng.choice(plain if k % 2 or rng.random() < 0.8 else odd) for _ in range(rng.randrange(15)))
+        assert shape(html.parse(page)) == shape(by_parser(page)), page
+        fast += html._simple(page) is not None
+    assert fast > 250
+
+
 def test_deep_code(spark):
     codes = {"sum": "x = " + " + ".join(["1"] * 3000), "minus": "x = " + "-" * 3000 + "1", "null": "x = '\0'", "plain": "x = 1\n", "empty": ""}
     files = spark.createDataFrame([(k, "Python", c) for k, c in codes.items()], schemas.CODE_FILES)
