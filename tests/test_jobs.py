@@ -164,3 +164,13 @@ def test_graph_job(spark, tmp_path):
     got = jobs.annotate_graph(spark, str(tmp_path / "g"), files, ["organizer_decl", "future_loop_entry"])
     assert {r.concept for r in got.select("concept").distinct().collect()} == {"organizer_decl", "future_loop_entry"}
     assert got.where(F.col("span_end") <= F.col("span_start")).count() == 0
+
+
+def test_files_are_dealt(spark, tmp_path):
+    # one task holds all rows; every task that has rows writes its own files
+    rows = spark.range(60).coalesce(1).selectExpr("concat('L', id % 3) language", "concat('L/', id, '.txt') file_name", "concat('a', chr(10), id) code")
+    sinks.write_files(rows, str(tmp_path / "f"))
+    tasks = {p.name.split("-")[1] for p in (tmp_path / "f").rglob("part-*.txt")}
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    back = corpus.read_files(spark, str(tmp_path / "f"), known_only=False).collect()
+    assert sorted(r.code for r in back) == sorted(f"a\n{i}\n" for i in range(60)) and not list((tmp_path / "f").rglob("_temporary"))
